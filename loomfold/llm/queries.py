@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, shards, url_filter
+from . import chat, exact_dedup, mixing, shards, simhash, url_filter
 from .common import table
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op2_perspective_rotation": _over("conversations", lambda t: chat.digest(chat.rotate(t))),
     "op4_url_filter": url_filter.query,
     "op5_exact_dedup": _over("documents", exact_dedup.exact_dedup),
+    "op6_simhash_pigeonhole": _over("documents", simhash.query),
     "op9_minimax_shards": _over("documents", shards.shard),
     "op10_source_mix": _over("documents", mixing.mix),
 }
