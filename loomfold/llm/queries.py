@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, mixing, shards, simhash, toxicity, url_filter
+from . import chat, exact_dedup, language, mixing, shards, simhash, substrings, toxicity, url_filter
 from .common import table
 
 
@@ -13,6 +13,7 @@ def _over(name, operator):
 QUERIES = {
     "op1_language_bitmask": _over("documents", language.query),
     "op2_perspective_rotation": _over("conversations", lambda t: chat.digest(chat.rotate(t))),
+    "op3_radix_substrings": _over("documents", substrings.query),
     "op4_url_filter": url_filter.query,
     "op5_exact_dedup": _over("documents", exact_dedup.exact_dedup),
     "op6_simhash_pigeonhole": _over("documents", simhash.query),
