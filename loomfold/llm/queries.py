@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, mixing, shards, simhash, substrings, toxicity, url_filter
+from . import chat, exact_dedup, language, leaks, mixing, shards, simhash, substrings, toxicity, url_filter
 from .common import table
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op4_url_filter": url_filter.query,
     "op5_exact_dedup": _over("documents", exact_dedup.exact_dedup),
     "op6_simhash_pigeonhole": _over("documents", simhash.query),
+    "op7_window_leaks": leaks.query,
     "op8_kneser_ney_toxicity": toxicity.query,
     "op9_minimax_shards": _over("documents", shards.shard),
     "op10_source_mix": _over("documents", mixing.mix),
