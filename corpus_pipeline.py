@@ -1,3 +1,66 @@
-STAGES = []
+"""From raw documents to training shards: five stages, each on all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
+writes every stage as Parquet into the shared folder and reads it again, so a lost executor costs a stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomfold.llm import language, leaks, mixing, shards, simhash
+from loomfold.llm.common import settle, table
+
+#: A text of which less than this share of n-grams is known to its language is in none of those learned.
+LEAST_KNOWN = 0.2
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a learned language; those without a letter or in no such language go."""
+    found = language.identify(docs, language.train(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    found = simhash.near_dups(docs, shingle=5, radius=12, lanes=4, similarity=0.8)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(settle(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return leaks.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents as the mix takes them; a document taken in part counts whole from half of its words on."""
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = settle(mixing.mix(docs).filter("size > 0").select("doc_id", copies.alias("mix_copies")).filter("mix_copies > 0").groupBy("doc_id").agg(F.max("mix_copies").alias("mix_copies")))
+    found = docs.join(taken, "doc_id")
+    return found.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+
+
+def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places every document of the mix into one of 16 shards of near-equal bytes."""
+    return shards.shard(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", cut_shards),
+]
+
+#: No SQL expresses the fitted model or the iterations; the tests compare each stage with a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
