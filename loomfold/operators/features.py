@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def adjusted_skew(x: str) -> Column:
     """Sample skewness with the small-sample correction (the built-in function is without it)."""
@@ -36,9 +38,10 @@ def power_likelihood(long: DataFrame, lambdas: list[float]) -> DataFrame:
 def fit_power(long: DataFrame, threshold: float = 0.75, step: float = 0.05, low: float = -3.0, high: float = 5.0, rounds: int = 2) -> DataFrame:
     """(feature, lambda) of features whose adjusted skewness exceeds the threshold: a grid, then finer ones around its best."""
     skewed = long.filter("value is not null").groupBy("feature").agg(adjusted_skew("value").alias("skew")).filter(F.abs("skew") > threshold)
-    rows = long.join(skewed.select("feature"), "feature", "left_semi")
+    rows = stored(long.join(skewed.select("feature"), "feature", "left_semi"))
     best = power_likelihood(rows, [low + step * k for k in range(round((high - low) / step) + 1)]).groupBy("feature").agg(F.max_by("lambda", F.struct("ll", F.col("lambda"))).alias("lambda"))
     for _ in range(rounds):
+        best = stored(best)
         near = [step * (k - 10) / 10 for k in range(21)]
         step /= 10
         finer = rows.join(best, "feature").withColumn("step", F.explode(F.array(*[F.lit(v) for v in near]))).withColumn("lambda", F.col("lambda") + F.col("step"))

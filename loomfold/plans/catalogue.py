@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cohort, resampling, statistics
+from . import cohort, modelling, resampling, statistics
 
-MODULES = (resampling, statistics, cohort)
+MODULES = (resampling, statistics, cohort, modelling)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
