@@ -61,11 +61,14 @@ def nearest(s, d):
     return match.nearest_date(e, references(s, d), "user_id", "day", "ref_date", ["event_id"]).select("user_id", "event_id", F.col("gap_days").cast("long").alias("gap_days"))
 
 
+LINES = list(range(1, 8))
+
+
 def masked(s, d):
-    li = table(s, d, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("date").alias("ship"), "l_linenumber").filter("l_linenumber <= 3")
-    wide = li.groupBy("l_orderkey").pivot("l_linenumber", [1, 2, 3]).agg(F.min("ship"))
-    wide = wide.select("l_orderkey", *[F.col(str(k)).alias(f"d{k}") for k in (1, 2, 3)], *[((F.col("l_orderkey") + k) % 2).alias(f"m{k}") for k in (1, 2, 3)])
-    onset = match.masked_least(["d1", "d2", "d3"], ["m1", "m2", "m3"])
+    li = table(s, d, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("date").alias("ship"), "l_linenumber")
+    wide = li.groupBy("l_orderkey").pivot("l_linenumber", LINES).agg(F.min("ship"))
+    wide = wide.select("l_orderkey", *[F.col(str(k)).alias(f"d{k}") for k in LINES], *[((F.col("l_orderkey") + k) % 2).alias(f"m{k}") for k in LINES])
+    onset = match.masked_least([f"d{k}" for k in LINES], [f"m{k}" for k in LINES])
     return wide.select("l_orderkey", onset.alias("onset"), F.round(match.years_between(F.lit("2002-01-01").cast("date"), onset), 6).alias("years"))
 
 
@@ -188,7 +191,7 @@ ORACLES = {
     "latest_version": "select '/r/csv/part-2.csv' as path, 9999 as version",
     "completeness_choice": f"with {GAPPY_SQL}, o as (select event_id, a, b::double as b from e where event_id % 5 < 4), t as (select event_id, case when event_id % 4 = 0 then null else a + 1 end as a, coalesce(b::double, -1) as b from e), n as (select (select count(a) from o) >= (select count(a) from t) as pa, (select count(b) from o) >= (select count(b) from t) as pb) select event_id, round(case when pa then coalesce(o.a, t.a) else coalesce(t.a, o.a) end, 6) as a, round(case when pb then coalesce(o.b, t.b) else coalesce(t.b, o.b) end, 6) as b from t full join o using (event_id), n",
     "row_total_null_aware": "with l as (select l_orderkey, l_linenumber, case when l_orderkey % 2 = 0 then null else l_quantity end as a, case when l_orderkey % 3 = 0 then null else l_tax end as b, case when l_orderkey % 5 = 0 then null else l_discount end as c from lineitem) select l_orderkey, l_linenumber, round(case when coalesce(a, b, c) is not null then coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) end, 6) as total, round(coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0), 6)::double as filled from l",
-    "masked_min_date": "with o as (select l_orderkey, min(case when (l_orderkey + l_linenumber) % 2 = 1 then l_shipdate::date end) as onset from lineitem where l_linenumber <= 3 group by 1) select l_orderkey, onset, round(date_diff('day', onset, date '2002-01-01') / 365.25::double, 6) as years from o",
+    "masked_min_date": "with o as (select l_orderkey, min(case when (l_orderkey + l_linenumber) % 2 = 1 then l_shipdate::date end) as onset from lineitem group by 1) select l_orderkey, onset, round(date_diff('day', onset, date '2002-01-01') / 365.25::double, 6) as years from o",
     "union_ids": "select c_custkey as id from customer union select o_custkey from orders",
     "bind_rows": "select r_regionkey, r_name, null::varchar as n_name from region union all select n_regionkey, null, n_name from nation",
     "intersect_ids": "select c_custkey as id from customer intersect select user_id from events",

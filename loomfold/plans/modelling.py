@@ -17,8 +17,8 @@ BLOB = "id % 3"
 
 
 def blobs(s, d):
-    """90 customers around three centres (id, x)."""
-    own = table(s, d, "customer").filter("c_custkey < 90").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000.0).alias("a"), (F.col("c_nationkey") / 25.0).alias("b"))
+    """The suppliers around three centres (id, x)."""
+    own = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 10000.0).alias("a"), (F.col("s_nationkey") / 25.0).alias("b"))
     at = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in CENTRES]), (F.col("id") % 3 + 1).cast("int"))
     return own.select("id", F.array(F.col("a") + at(0), F.col("b") + at(1)).alias("x"))
 
@@ -39,12 +39,12 @@ def clustered(kernel):
     return run
 
 
-PARTITION_SQL = "select c_custkey as id, c_custkey % 3 as cluster, 'ok' as status from customer where c_custkey < 90"
+PARTITION_SQL = "select s_suppkey as id, s_suppkey % 3 as cluster, 'ok' as status from supplier"
 
 
 def samples(s, d, n=3):
     ids = blobs(s, d).select("id").withColumn("boot", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
-    return ids.filter("(id + boot) % 5 <> 0")
+    return ids.filter("substr(md5(concat_ws(':', id, boot)), 1, 1) > '2'")
 
 
 GENES = {"k_u": [2, 3, 4], "linkage_u": ["average", "complete"], "k_v": [2, 3, 4], "linkage_v": ["average", "complete"], "pre_linkage": ["average"], "k_final": [2, 3], "fusion": ["agreement", "consensus"]}
@@ -65,8 +65,8 @@ def classified(s, d):
 
 
 def prepared_input(s, d):
-    c = table(s, d, "customer").filter("c_custkey < 120")
-    return c.select(F.col("c_custkey").alias("subject"), F.expr("case when c_custkey % 6 = 0 then null else c_acctbal end").alias("bal"), F.col("c_nationkey").cast("double").alias("nat_a"), F.expr("case when c_custkey % 11 = 0 then null else (c_custkey % 13) * 1.0D end").alias("nat_b"))
+    c = table(s, d, "supplier")
+    return c.select(F.col("s_suppkey").alias("subject"), F.expr("case when s_suppkey % 6 = 0 then null else s_acctbal end").alias("bal"), F.col("s_nationkey").cast("double").alias("nat_a"), F.expr("case when s_suppkey % 11 = 0 then null else (s_suppkey % 13) * 1.0D end").alias("nat_b"))
 
 
 META = [("bal", "money"), ("nat", "place")]
@@ -79,15 +79,15 @@ def prepared(s, d):
 
 def replayed(s, d):
     everything = prepared_input(s, d)
-    _, fitted = pipeline.fit(everything.filter("subject % 2 = 0"), "subject", s.createDataFrame(META, "variable string, view string"))
-    return rounded(pipeline.replay(everything.filter("subject % 2 = 1"), "subject", fitted, with_reference=True), 8, "value")
+    _, fitted = pipeline.fit(everything.filter("nat_a < 13"), "subject", s.createDataFrame(META, "variable string, view string"))
+    return rounded(pipeline.replay(everything.filter("nat_a >= 13"), "subject", fitted, with_reference=True), 8, "value")
 
 
 def raw_files(s, d):
     """Two raw files: scores per visit, and dated ones without visits."""
     e = table(s, d, "events")
     visits = e.select(F.col("user_id").cast("string").alias("src_subject_id"), F.element_at(F.array(F.lit("baseline"), F.lit("month_1"), F.lit("m2")), (F.col("event_id") % 3 + 1).cast("int")).alias("visit"), F.date_format("ts", "MM/dd/yyyy").alias("interview_date"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("score"))
-    o = table(s, d, "orders").filter("o_custkey < 150")
+    o = table(s, d, "orders")
     dated = o.select(F.col("o_custkey").cast("string").alias("src_subject_id"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("interview_date"), F.col("o_orderpriority").alias("priority"))
     return [visits, dated]
 
@@ -146,8 +146,8 @@ QUERIES = {
 
 CURVE_SQL = "with s as (select quality as truth, ((doc_id % 17) * 1.0)::double as score from labels), g as (select score, sum(truth)::double as pos, count(*)::double as n from s group by 1), u as (select score, sum(pos) over w as tp, sum(n) over w as told from g window w as (order by score desc)) select score, round(tp / (select sum(pos) from g), 8) as tpr, round((told - tp) / (select sum(n) - sum(pos) from g), 8) as fpr, round(tp / told, 8) as \"precision\" from u"
 ORACLES = {
-    "cluster_null": "select c_custkey % 2 as g, c_custkey as id, 0::bigint as label, 'ok' as status from customer where c_custkey < 90",
+    "cluster_null": "select s_suppkey % 2 as g, s_suppkey as id, 0::bigint as label, 'ok' as status from supplier",
     **{name: PARTITION_SQL for name in (*(f"linkage_{m}" for m in ("single", "complete", "average", "weighted", "centroid", "median", "ward")), "spectral", "gmm", "kmeans", "meanshift", "view_ensemble")},
     "roc_curve": CURVE_SQL,
-    "assemble_table": "with v as (select user_id as id, event_id, ts::date as day from events where event_id % 3 = 2), r as (select id, min(day) as ref, arg_min(event_id, (day, event_id::varchar)) as score from v group by id), o as (select o_custkey as id, o_orderpriority, row_number() over (partition by o_custkey order by abs(date_diff('day', ref, o_orderdate::date)) nulls last, o_orderdate::date, o_orderpriority) as k from orders left join r on o_custkey = r.id where o_custkey < 150), s as (select user_id as id from events union select o_custkey from orders where o_custkey < 150) select s.id::varchar as id, r.score::varchar as score, o.o_orderpriority as priority from s left join r on s.id = r.id left join o on s.id = o.id and k = 1",
+    "assemble_table": "with v as (select user_id as id, event_id, ts::date as day from events where event_id % 3 = 2), r as (select id, min(day) as ref, arg_min(event_id, (day, event_id::varchar)) as score from v group by id), o as (select o_custkey as id, o_orderpriority, row_number() over (partition by o_custkey order by abs(date_diff('day', ref, o_orderdate::date)) nulls last, o_orderdate::date, o_orderpriority) as k from orders left join r on o_custkey = r.id), s as (select user_id as id from events union select o_custkey from orders) select s.id::varchar as id, r.score::varchar as score, o.o_orderpriority as priority from s left join r on s.id = r.id left join o on s.id = o.id and k = 1",
 }

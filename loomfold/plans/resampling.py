@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 from ..operators import fusion, quality, resample, search, stability
 from ..sources.tables import table
 
-LABELS = "(c_custkey * c_custkey * boot + c_custkey) % (boot + 2)"
+LABELS = "(s_suppkey * s_suppkey * boot + s_suppkey) % (boot + 2)"
 RANK = "row_number() over (order by md5(concat_ws(':', c_custkey, '{}')), c_custkey)"
 
 
-def labels(spark, sf_dir, boots=3, most=60):
-    """Constructed label sets of the first customers."""
-    ids = table(spark, sf_dir, "customer").filter(F.col("c_custkey") <= most).select("c_custkey")
-    return ids.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(boots)))).select("boot", F.col("c_custkey").alias("id"), F.expr(LABELS).alias("label"))
+def labels(spark, sf_dir, boots=3):
+    """Constructed label sets of all suppliers."""
+    ids = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return ids.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(boots)))).select("boot", F.col("s_suppkey").alias("id"), F.expr(LABELS).alias("label"))
 
 
-LABELS_SQL = f"l as (select boot, c_custkey as id, {LABELS} as label from customer, range(1, 4) b(boot) where c_custkey <= 60)"
-ONE_SQL = "l"
+LABELS_SQL = f"l as (select boot, s_suppkey as id, {LABELS} as label from supplier, range(1, 4) b(boot))"
 PAIRS_SQL = "co as (select x.id as i, y.id as j, avg(case when x.label = y.label then 1.0::double else 0.0::double end) as m from l x join l y on x.boot = y.boot and x.id < y.id group by all)"
 
 
@@ -41,14 +40,14 @@ CELLS_SQL = "c as (select c_custkey % 3 as a, c_nationkey % 4 as b, count(*)::do
 
 
 def boots(spark, sf_dir):
-    """Five resamples with repeated ids that disagree."""
-    c = table(spark, sf_dir, "customer").withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(5)))).filter("(c_custkey + boot) % 5 <> 0")
+    """Five resamples, each of about 80 % by hash, with repeated ids that disagree."""
+    c = table(spark, sf_dir, "customer").withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(5)))).filter("substr(md5(concat_ws(':', c_custkey, boot)), 1, 1) > '2'")
     c = c.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2))))
     return c.select("boot", F.col("c_custkey").alias("id"), F.expr("case when copy = 2 and c_custkey % 7 = boot then 9 else (c_custkey + case when c_custkey % 11 < boot then 1 else 0 end) % 4 end").alias("label"))
 
 
 BOOTS_SQL = """r as (select boot, c_custkey as id, case when copy = 2 and c_custkey % 7 = boot then 9 else (c_custkey + case when c_custkey % 11 < boot then 1 else 0 end) % 4 end as label
-  from customer, range(1, 6) b(boot), range(0, 3) k(copy) where (c_custkey + boot) % 5 <> 0),
+  from customer, range(1, 6) b(boot), range(0, 3) k(copy) where substr(md5(concat_ws(':', c_custkey, boot)), 1, 1) > '2'),
 v as (select boot, id, label from (select boot, id, label, row_number() over (partition by boot, id order by count(*) desc, label) as k from r group by boot, id, label) where k = 1),
 c as (select x.boot as b1, y.boot as b2, x.label as a, y.label as b, count(*)::double as n from v x join v y on x.id = y.id and x.boot < y.boot group by all),
 p as (select b1, b2, sum(n * (n - 1) / 2) as i, sum(n) as n from c group by b1, b2),

@@ -60,6 +60,12 @@ def supplier_gaps(s, d):
 GAPS_SQL = "w as (select s_suppkey as id, case when s_suppkey % 5 = 0 then null else s_acctbal / 1000.0::double end as bal, case when s_suppkey % 7 = 3 then null else s_nationkey * 1.0::double end as nat, (s_suppkey % 13) * 1.0::double as key from supplier), g as (select id, 'bal' as feature, bal as value from w union all select id, 'nat', nat from w union all select id, 'key', key from w)"
 
 
+def discovery(s, d):
+    """The gaps of the suppliers of half of the nations, as donors for all."""
+    known = table(s, d, "supplier").filter("s_nationkey < 13").select(F.col("s_suppkey").alias("id"))
+    return supplier_gaps(s, d).join(known, "id", "left_semi")
+
+
 def knn_sql(donors):
     return f"with {GAPS_SQL}, dn as (select id as donor, feature, value as other from g where value is not null {donors}), nd as (select distinct id from g where value is null), ds as (select g.id, donor, sqrt(3.0::double / count(*) * sum((value - other) * (value - other))) as dist from g join nd using (id) join dn using (feature) where value is not null and id <> donor group by all), r as (select x.id, x.feature, other, row_number() over (partition by x.id, x.feature order by round(dist, 9), ds.donor) as k from g x join ds using (id) join dn on ds.donor = dn.donor and x.feature = dn.feature where x.value is null), a as (select id, feature, avg(other) as filled from r where k <= 7 group by all) select g.id, g.feature, round(coalesce(g.value, filled), 8) as value from g left join a using (id, feature)"
 
@@ -90,11 +96,11 @@ def dims(s, d, low, high):
     return e.filter(F.col("k").between(low, high - 1)).select("id", F.concat(F.lit("d"), "k").alias("feature"), F.col("v").cast("double").alias("value"))
 
 
-CORR_SQL = "e as (select vec_id as id, k, embedding[k + 1]::double as v from embeddings, range(0, 8) t(k)), c as (select 'd' || a.k as f, 'd' || b.k as g, corr(a.v, b.v) as r from e a join e b on a.id = b.id and a.k < 4 and b.k >= 4 group by all)"
+CORR_SQL = "e as (select vec_id as id, k, embedding[k + 1]::double as v from embeddings, range(0, 64) t(k)), c as (select 'd' || a.k as f, 'd' || b.k as g, corr(a.v, b.v) as r from e a join e b on a.id = b.id and a.k < 32 and b.k >= 32 group by all)"
 
 
 def correlates(s, d):
-    r = features.correlations(dims(s, d, 0, 4), dims(s, d, 4, 8)).withColumn("r", F.round("r", 8))
+    r = features.correlations(dims(s, d, 0, 32), dims(s, d, 32, 64)).withColumn("r", F.round("r", 8))
     ranked = r.withColumn("place", F.row_number().over(W.partitionBy("f").orderBy(F.desc("r"), "g")))
     return ranked.filter("place <= 2")
 
@@ -109,8 +115,8 @@ def differences(s, d):
     return inference.differences_summary(tests, ["c1", "c2"])
 
 
-def customers(s, d, n=300):
-    return table(s, d, "customer").filter(F.col("c_custkey") < n).withColumn("g", (F.col("c_nationkey") < 12).cast("int"))
+def customers(s, d):
+    return table(s, d, "customer").withColumn("g", (F.col("c_nationkey") < 12).cast("int"))
 
 
 def perm_sql(seed, what):
@@ -130,14 +136,14 @@ QUERIES = {
     "minmax_scale": scale("minmax"),
     "robust_scale": scale("robust"),
     "knn_impute": lambda s, d: rounded(features.knn_impute(supplier_gaps(s, d)), 8, "value"),
-    "knn_impute_ref": lambda s, d: rounded(features.knn_impute(supplier_gaps(s, d), reference=supplier_gaps(s, d).filter("id % 2 = 1")), 8, "value").filter("id % 2 = 0"),
+    "knn_impute_ref": lambda s, d: rounded(features.knn_impute(supplier_gaps(s, d), reference=discovery(s, d)), 8, "value"),
     "ordinal_encode": ordinal,
     "one_hot": one_hot,
     "dense_codes": lambda s, d: features.dense_codes(table(s, d, "part"), "p_type").select("p_type", F.col("code").cast("long").alias("code")),
     "z_vs_control": lambda s, d: rounded(features.z_against(table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", "c_mktsegment", "BUILDING"), 8, "z").select("c_custkey", "z"),
-    "corr_block": lambda s, d: rounded(features.correlations(dims(s, d, 0, 4), dims(s, d, 4, 8)), 8, "r"),
+    "corr_block": lambda s, d: rounded(features.correlations(dims(s, d, 0, 32), dims(s, d, 32, 64)), 8, "r"),
     "top_correlates": correlates,
-    "latent_variance": lambda s, d: rounded(features.variance_share(dims(s, d, 0, 8)), 8, "mean", "share"),
+    "latent_variance": lambda s, d: rounded(features.variance_share(dims(s, d, 0, 64)), 8, "mean", "share"),
     "bh_fdr": lambda s, d: rounded(inference.bh(p_values(s, d), "p", ["family"], ["n_nationkey"]), 8, "p", "q"),
     "chi_square": lambda s, d: rounded(inference.chi_square(segments(s, d)), 6, "chi2", "cramers_v").select("n", "chi2", "df", "cramers_v"),
     "chi_square_p": lambda s, d: rounded(inference.chi_square(segments(s, d), p=True), 8, "p").select("variable", "p"),
@@ -167,21 +173,21 @@ ORACLES = {
     "minmax_scale": SCALE_SQL.format("min(c_acctbal)", "max(c_acctbal) - min(c_acctbal)"),
     "robust_scale": SCALE_SQL.format("quantile_cont(c_acctbal, 0.5)", "quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)"),
     "knn_impute": knn_sql(""),
-    "knn_impute_ref": f"select * from ({knn_sql('and id % 2 = 1')}) where id % 2 = 0",
+    "knn_impute_ref": knn_sql("and id in (select s_suppkey from supplier where s_nationkey < 13)").replace("and id <> donor ", ""),
     "ordinal_encode": "select o_orderkey as id, (substr(o_orderpriority, 1, 1)::bigint - 1) as code from orders",
     "one_hot": f"with e as (select event_id, case when event_id % 9 = 0 then null else event_type end as t from events) select event_id, case when t is null then 'event_type_nan' else 'event_type_' || t end as indicator from e where t is null or t <> (select min(event_type) from ({EVENT_TYPES}))",
     "dense_codes": "select distinct p_type, dense_rank() over (order by p_type) - 1 as code from part",
     "z_vs_control": "select c_custkey, round((c_acctbal - m) / sd, 8) as z from customer, (select avg(c_acctbal) as m, stddev_samp(c_acctbal) as sd from customer where c_mktsegment = 'BUILDING')",
     "corr_block": f"with {CORR_SQL} select f, g, round(r, 8) as r from c",
     "top_correlates": f"with {CORR_SQL}, k as (select f, g, round(r, 8) as r, row_number() over (partition by f order by round(r, 8) desc, g)::int as place from c) select * from k where place <= 2",
-    "latent_variance": "with e as (select k, avg(embedding[k + 1]::double) as mean, var_pop(embedding[k + 1]::double) as v from embeddings, range(0, 8) t(k) group by k) select 'd' || k as feature, round(mean, 8) as mean, round(v / (select sum(v) from e), 8) as share from e",
+    "latent_variance": "with e as (select k, avg(embedding[k + 1]::double) as mean, var_pop(embedding[k + 1]::double) as v from embeddings, range(0, 64) t(k) group by k) select 'd' || k as feature, round(mean, 8) as mean, round(v / (select sum(v) from e), 8) as share from e",
     "bh_fdr": f"with {P_SQL}, {BH_SQL} select n_nationkey, round(p, 8) as p, family, round(q, 8) as q from q",
     "chi_square": f"with {CHI_SQL} select n::bigint as n, round(chi2, 6) as chi2, df::bigint as df, round(sqrt(chi2 / (n * m)), 6) as cramers_v from x",
     "cohens_d": f"with {LONG_SQL} select variable, round((m1 - m0) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)), 8) as d from t",
     "welch_t": f"with {LONG_SQL} select variable, round((m0 - m1) / sqrt(v0 / n0 + v1 / n1), 6) as t, round(pow(v0 / n0 + v1 / n1, 2) / (pow(v0 / n0, 2) / (n0 - 1) + pow(v1 / n1, 2) / (n1 - 1)), 6) as df from t",
     "eta_squared": "with m as (select c_mktsegment, count(*) as n, avg(c_acctbal) as m from customer group by 1), g as (select avg(c_acctbal) as g, var_pop(c_acctbal) * count(*) as t from customer) select 'c_acctbal' as variable, round(sum(n * (m - g) * (m - g)) / max(t), 8) as eta2 from m, g",
-    "perm_pvalue": "with o as (select c_custkey as id, (c_nationkey < 12)::int as g, c_acctbal as v from customer where c_custkey < 300), " + perm_sql("perm", "z as (select b, avg(case when g = 1 then v end) - avg(case when g = 0 then v end) as d from dealt group by b), s as (select avg(case when g = 1 then v end) - avg(case when g = 0 then v end) as observed from o)") + " select round(observed, 8) as observed, round((sum(case when abs(d) >= abs(observed) - 1e-9 then 1 else 0 end) + 1) / (count(*) + 1), 8) as p from z, s group by observed",
-    "monte_carlo_chi2": "with o as (select c_custkey as id, (c_nationkey < 12)::int as g, c_mktsegment as v from customer where c_custkey < 300), " + perm_sql("mc", MC_CHI("dealt", "n", "b") + ", " + MC_CHI("o", "s", "0")) + " select round(sx.chi2, 8) as chi2, round((sum(case when nx.chi2 >= sx.chi2 - 1e-9 then 1 else 0 end) + 1) / (count(*) + 1), 8) as p from nx, sx group by sx.chi2",
+    "perm_pvalue": "with o as (select c_custkey as id, (c_nationkey < 12)::int as g, c_acctbal as v from customer), " + perm_sql("perm", "z as (select b, avg(case when g = 1 then v end) - avg(case when g = 0 then v end) as d from dealt group by b), s as (select avg(case when g = 1 then v end) - avg(case when g = 0 then v end) as observed from o)") + " select round(observed, 8) as observed, round((sum(case when abs(d) >= abs(observed) - 1e-9 then 1 else 0 end) + 1) / (count(*) + 1), 8) as p from z, s group by observed",
+    "monte_carlo_chi2": "with o as (select c_custkey as id, (c_nationkey < 12)::int as g, c_mktsegment as v from customer), " + perm_sql("mc", MC_CHI("dealt", "n", "b") + ", " + MC_CHI("o", "s", "0")) + " select round(sx.chi2, 8) as chi2, round((sum(case when nx.chi2 >= sx.chi2 - 1e-9 then 1 else 0 end) + 1) / (count(*) + 1), 8) as p from nx, sx group by sx.chi2",
     "group_table": "with l as (select c_mktsegment as level, 'c_acctbal' as variable, c_acctbal as v from customer union all select c_mktsegment, 'key', c_custkey::double from customer) select variable, level, count(v) as n, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as sd from l group by grouping sets ((variable, level), (variable))",
     "diff_summary": "select * from (values ('a', 'ES=0.26; FDR=0.040', 'ES=0.51; FDR=0.200'), ('b', 'ES=-0.33; FDR=0.012', null)) t(variable, c1, c2)",
     "heatmap_data": "with g as (select c_mktsegment as level, avg(c_acctbal) as c_acctbal, avg(c_custkey::double) as c_custkey, avg(case when c_nationkey % 5 = 0 then 1.0::double else 0.0::double end) as europe from customer group by 1), l as (unpivot g on c_acctbal, c_custkey, europe into name variable value value) select variable, level, round(value, 6) as value, round((value - avg(value) over w) / stddev_samp(value) over w, 6) as z from l window w as (partition by variable)",
