@@ -123,7 +123,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     # The texts of the documents found are read again, those of the others are not cut into words.
     sought = found.select(F.col("doc_id").alias("doc_id_"), F.col("text_hash").alias("text_hash_"), "windows")
     again = own.join(_small(sought), F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_")))
-    again = again.select("doc_id", "text_hash", "windows", _grams(_words(F.col("text"))).alias("grams")).withColumn("w", F.explode("windows"))
+    # Words are a column of their own: nested into _grams they would be cut anew for each shingle.
+    again = again.select("doc_id", "text_hash", "windows", _words(F.col("text")).alias("words"))
+    again = again.select("doc_id", "text_hash", "windows", _grams(F.col("words")).alias("grams")).withColumn("w", F.explode("windows"))
     held = F.slice("grams", F.col("w.start_word") + 1, F.greatest(F.lit(1), F.col("w.length") - (SHINGLE - 1)))
     held = again.select("doc_id", "text_hash", "w.start_word", "w.n_words", held.alias("grams"))
     held = settle(held.withColumns({"k1": F.xxhash64("grams"), "k2": F.xxhash64("grams", F.lit(1))}))
