@@ -162,6 +162,7 @@ def knn_affinity(x: np.ndarray, neighbours: int = 10) -> np.ndarray:
     """Symmetric nearest-neighbour graph; where it falls apart, a Gaussian kernel of the median distance instead."""
     d = distances(x)
     n = len(d)
+    neighbours = min(neighbours, max(2, n // 5))  # of few rows, not all the others
     a = np.zeros((n, n))
     for i, js in enumerate(d.argsort(axis=1, kind="stable")[:, : neighbours + 1]):
         a[i, js] = 1
