@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: A maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,6 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches at most BATCH rows: ten thousand texts at once would fill buffers outside the heap."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, BATCH + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

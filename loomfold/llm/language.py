@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import settle, text_batches
 
 #: The filters are fitted on at most this many documents of each language, of smallest hash.
 SAMPLE = 4000
@@ -137,7 +137,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE, kept: int
             # The row without an n-gram holds the number of documents.
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * (len(h) + 1), pa.string()), "gram": pa.array([*h.view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n.tolist(), seen[lang]], pa.int64())})
 
-    counts = settle(chosen.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = settle(text_batches(chosen).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     seen = {r["lang"]: r["n"] for r in counts.filter("gram is null").collect()}
     languages = sorted(seen)
     typical = []
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             more = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
-    return own.mapInArrow(run, schema)
+    return text_batches(own).mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

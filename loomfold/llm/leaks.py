@@ -100,7 +100,8 @@ def _near(prints: DataFrame, items: DataFrame, radius: int) -> DataFrame:
     index = items.select("key", "n_words", F.col("whole").alias("item_whole"), F.col("fp").alias("item_fp"), blocks)
     index = index.withColumn("mask", F.explode(masks)).select("key", "n_words", "item_whole", "item_fp", F.col("x.block").alias("block"), F.col("x.value").bitwiseXOR(F.col("mask")).alias("value"))
     probes = prints.select("k1", "k2", "n_words", "whole", "fp", blocks).select("k1", "k2", "n_words", "whole", "fp", "x.*")
-    near = probes.join(index, ["n_words", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    # Merged, as the planner takes the exploded lists for as small as the items and would broadcast them.
+    near = probes.join(index.hint("merge"), ["n_words", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     return near.select("k1", "k2", "key", "whole", "item_whole").distinct()
 
 

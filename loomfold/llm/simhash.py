@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import settle, text_batches
 
 SEED, BITS = 42, 64
 #: Fingerprints, of smallest hash, from which the grouping of bits is fitted; it affects speed only.
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(columns[:, k]) for k in range(lanes)]], ["doc_id", *names])
 
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, T.StructType([own.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names]]))
+    return text_batches(own).mapInArrow(run, T.StructType([own.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names]]))
 
 
 class Plan:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, table
+from .common import settle, table, text_batches
 from .language import held_out
 
 #: Bounds of the labelled documents learned from (of smallest hash), and of the tables, which are hashed.
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
             for part in np.array_split(at, len(at) // 65_536 + 1):
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), k, np.int32)), "at": pa.array(part.astype(np.int32)), "n": pa.array(t[part].astype(np.int64))})
 
-    found = rows.mapInArrow(run, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+    found = text_batches(rows).mapInArrow(run, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
     tables = [np.zeros(n) for n in (WORDS, WORDS, WORDS, PAIRS, PAIRS)]
     kept = settle(found)
     for k, t in enumerate(tables):  # as many numbers as the tables have, whatever the input
@@ -141,7 +141,7 @@ def _with_evidence(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *more], [*columns, *names])
 
     schema = T.StructType([*kept.schema, *[T.StructField(n, T.DoubleType()) for n in names]])
-    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return text_batches(docs).select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
