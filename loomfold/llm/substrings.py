@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import settle, text_batches
 
 LENGTH, GRAM, DIGIT = 200, 32, 40
 #: Bytes looked at at once; bits of a bitmap (as a power of two); runs of a minimiser that are compared in one task; runs in a task.
-CHUNK_BITS, MAP_BITS, HOT, TASK = 20, 26, 20_000, 40_000
+CHUNK_BITS, MAP_BITS, HOT, TASK = 20, 26, 10_000, 10_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -104,7 +104,7 @@ def _repeated_minimisers(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 a, c = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["minimiser", "content"])
 
-    rows = docs.select("text").mapInArrow(run, "minimiser long, content long")
+    rows = text_batches(docs).select("text").mapInArrow(run, "minimiser long, content long")
     seen = rows.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
     return settle(seen.filter("n > 1").select("minimiser", (F.col("least") != F.col("most")).alias("mixed")))
 
@@ -147,7 +147,7 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, length: int, gram: int) -
                 yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(np.concatenate(x)) for x in zip(*columns, strict=True)), pa.array(content, pa.binary())], [*keys.schema.names, "start", "windows", "minimiser", "content", "bytes"])
 
     schema = T.StructType([docs.schema["doc_id"], docs.schema["text_hash"], *[T.StructField(n, T.LongType()) for n in ("start", "windows", "minimiser", "content")], T.StructField("bytes", T.BinaryType())])
-    return settle(docs.mapInArrow(run, schema))
+    return settle(text_batches(docs).mapInArrow(run, schema))
 
 
 def _digits(text: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -248,10 +248,10 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """(doc_id, text_hash, spans): the byte ranges of keyed docs that repeated windows cover; ranges may overlap."""
     repeated = _repeated_minimisers(docs, length, gram)
     found = _occurrences(docs, repeated, length, gram)
-    known = found.join(repeated, "minimiser")
-    # Equal runs have equal bytes, so any of them stands for all.
-    kinds = known.groupBy("minimiser", "content").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"), F.max("mixed").alias("mixed"), F.max(F.when(F.col("mixed"), F.col("bytes"))).alias("bytes"))
-    kinds = settle(kinds)
+    # Equal runs have equal bytes, so the bytes may be a key: rows are combined where they are read, and a very common
+    # run is one row of each task before it meets the others of its minimiser.
+    kinds = found.groupBy("minimiser", "content", "bytes").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"))
+    kinds = settle(kinds.join(repeated, "minimiser"))
     variants = kinds.filter("mixed").groupBy("minimiser").agg(F.count(F.lit(1)).alias("variants"))
     whole = kinds.filter("n > 1").select("minimiser", "content", F.lit(0).cast("long").alias("first"), F.col("windows").alias("end"))
     part = _repeated_ranges(kinds.filter("mixed").join(variants, "minimiser"), length)
@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("kept", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
-    return joined.mapInArrow(run, schema)
+    return text_batches(joined).mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
