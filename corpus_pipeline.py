@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents as the mix takes them; a document taken in part counts whole from half of its words on."""
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     taken = settle(mixing.mix(docs).filter("size > 0").select("doc_id", copies.alias("mix_copies")).filter("mix_copies > 0").groupBy("doc_id").agg(F.max("mix_copies").alias("mix_copies")))
-    found = docs.join(taken, "doc_id")
+    found = docs.join(taken.hint("merge"), "doc_id")  # as the table grows with the documents, at every size alike
     return found.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
 
 
