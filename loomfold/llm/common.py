@@ -26,6 +26,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def row_key(docs: DataFrame, *more: str) -> Column:
+    """key, the hash of a row's doc_id and text (and more); null where each is null counts as a value."""
+    return F.xxhash64(*[x for c in ("doc_id", *more, "text") for x in (F.col(c).isNull(), c)]).alias("key")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

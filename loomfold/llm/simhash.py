@@ -10,13 +10,17 @@ an entry, and goes as a query to the cells within its threshold. Cells of more t
 sub-cells of entries and queries, each pair of which is a task of its own: no task grows with a dense cell. A task emits
 a spanning forest of the links it finds, not the links, so a group of n yields fewer than n rows from each task.
 Components come from alternating large and small stars over those edges.
+
+With a similarity, fingerprints only propose: each lane is probed in turn, and a proposed pair is a link if the Jaccard similarity
+of its shingle bags, joined from the texts, is reached. The spanning forests of closest pairs are verified first; where one of their
+pairs fails, all pairs proposed between the parts that its group falls into are verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import comb, pi
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, text_batches
+from .common import row_key, settle, text_batches
 
 SEED, BITS = 42, 64
 #: Fingerprints, of smallest hash, from which the grouping of bits is fitted; it affects speed only.
@@ -34,6 +38,10 @@ SAMPLE = 4096
 #: Entries of a cell beyond which it is split; candidates held at once; candidates that a probe costs as much as.
 CELL, CHUNK, PROBE_COST = 1 << 18, 1 << 21, 2.0
 MOST_BITS = 16
+#: Of the bits of all lanes, one in FAR may differ in a pair proposed for a similarity: 64 of 256, where 0.8 has 39 in the mean.
+FAR = 4
+#: Up to so many nodes, pairs to propose are found by comparing all.
+FEW = 2048
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -47,6 +55,14 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)], np.uint64)
 
 
+def numbered(h: np.ndarray) -> np.ndarray:
+    """The hashes sorted, each repeat of one hashed anew with its number: the bag as a set."""
+    s = np.sort(h)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    nth = (np.arange(len(s)) - np.repeat(first, np.diff([*first, len(s)]))).astype(np.uint64)
+    return np.sort(np.where(nth > 0, _mixed(s + nth * np.uint64(0xD6E8FEB86659FD93), 1), s))
+
+
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     """Another hash of each hash (the finaliser of SplitMix64)."""
     z = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -82,6 +98,23 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame
     return text_batches(own).mapInArrow(run, T.StructType([own.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names]]))
 
 
+def _bag_prints(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """doc_id, key (of doc_id and text), node (of the bag of shingles) and fingerprints of the numbered bag, of every row of docs."""
+    names = [f"fp{k}" for k in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("text").cast(pa.binary()):
+                h = numbered(shingle_hashes(text.as_py(), shingle))
+                found.append([int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64)), *[simhash(_mixed(h, k) if k else h) for k in range(lanes)]])
+            columns = np.array(found, np.int64).reshape(-1, lanes + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *[pa.array(c) for c in columns.T]], ["doc_id", "key", "node", *names])
+
+    own = docs.select("doc_id", row_key(docs), F.col("text").cast("string").alias("text"))
+    return text_batches(own).mapInArrow(run, T.StructType([own.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("key", "node", *names)]]))
+
+
 class Plan:
     """How fingerprints are cut, and what each value of each partition costs to probe; at most parts * 2**16 counts."""
 
@@ -235,15 +268,14 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _links(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.ndarray, t: np.ndarray, whole: int | None) -> np.ndarray:
-    """The root of each entry and query (one row each; columns of lanes) under the links between queries and entries."""
-    n, width = len(entry), len(plan.bits[part])
+def _candidates(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.ndarray, t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of queries and of the entries within their thresholds, some CHUNK at a time."""
+    width = len(plan.bits[part])
     low = width - plan.cell_bits
     v = plan.values(entry[:, 0], part) & ((1 << low) - 1)
     order = np.argsort(v, kind="stable")
     sorted_v = v[order]
     table = np.searchsorted(sorted_v, np.arange((1 << low) + 1)) if low <= 20 else None
-    label = np.arange(n + len(query))
     q = plan.values(query[:, 0], part)
     prefix = q >> low
     by = {}
@@ -272,20 +304,67 @@ def _links(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.ndarra
                         x = np.repeat(rows_[at:stop], s)
                         e = order[np.repeat(a[at:stop], s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)]
                         at = stop
-                        differ = _ones(query[x, 0] ^ entry[e, 0])
-                        ok = (differ <= plan.radius) & (label[n + x] != label[e])
-                        x, e = x[ok], e[ok]
-                        if whole is not None and len(x):
-                            ok = _ones(query[x] ^ entry[e]).sum(axis=1, dtype=np.int64) <= whole
-                            x, e = x[ok], e[ok]
-                        if len(x):
-                            label = _merge(label, e, n + x)
+                        yield x, e
+
+
+def _links(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The root of each entry and query (one row each; columns of lanes) under the links between queries and entries."""
+    n = len(entry)
+    label = np.arange(n + len(query))
+    for x, e in _candidates(plan, part, cell, entry, query, t):
+        differ = _ones(query[x, 0] ^ entry[e, 0])
+        ok = (differ <= plan.radius) & (label[n + x] != label[e])
+        x, e = x[ok], e[ok]
+        if len(x):
+            label = _merge(label, e, n + x)
     return label
 
 
+def _spanning(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the pairs a-b make up a spanning forest of the least far; ties go to the smaller numbers, in every task alike."""
+    order = np.lexsort((b, a, far))
+    a, b = a[order], b[order]
+    at, kept, label = np.arange(len(a)), [np.empty(0, np.int64)], np.arange(max(a.max(), b.max()) + 1 if len(a) else 0)
+    while len(at := at[label[a[at]] != label[b[at]]]):
+        best = np.full(len(label), len(a))
+        np.minimum.at(best, label[a[at]], at)
+        np.minimum.at(best, label[b[at]], at)
+        use = np.unique(best[best < len(a)])
+        kept.append(use)
+        label = _merge(label, a[use], b[use])
+    return order[np.concatenate(kept)]
+
+
+def _pairs(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.ndarray, t: np.ndarray, ids: np.ndarray, comp: np.ndarray | None, whole: int) -> pd.DataFrame:
+    """Pairs of nodes (ids of the entries, then of the queries) within the radius and, all lanes together, within whole: a spanning
+    forest of the closest, or, with comp, all between different ones."""
+    n = len(entry)
+    nodes, at = np.unique(ids, return_inverse=True)
+    held = np.empty((3, 0), np.int64)
+    for x, e in _candidates(plan, part, cell, entry, query, t):
+        ok = (_ones(query[x, 0] ^ entry[e, 0]) <= plan.radius) & (at[n + x] != at[e])
+        if comp is not None:
+            ok &= comp[n + x] != comp[e]
+        x, e = x[ok], e[ok]
+        far = _ones(query[x] ^ entry[e]).sum(axis=1, dtype=np.int64)
+        ok = far <= whole
+        if not ok.any():
+            continue
+        a, b = at[n + x[ok]], at[e[ok]]
+        held = np.concatenate([held, np.stack([np.minimum(a, b), np.maximum(a, b), far[ok]])], axis=1)
+        if comp is None and held.shape[1] > CHUNK:
+            held = held[:, _spanning(*held)]
+    held = held[:, _spanning(*held)] if comp is None else np.unique(held, axis=1)
+    return pd.DataFrame({"u": nodes[held[0]], "v": nodes[held[1]]})
+
+
 def forest(nodes: DataFrame, radius: int, whole: int | None = None) -> DataFrame:
-    """Edges (u, v) between nodes (node, fp0, ...) whose components are those of all links: fp0 within radius and, if given, all lanes together within whole."""
+    """Edges (u, v) between nodes (node, fp0, ...) whose components are those of all links: fp0 within radius.
+
+    With whole, edges are themselves pairs with all lanes together within whole; if nodes have a comp, all such pairs of different ones.
+    """
     lanes = [c for c in nodes.columns if c.startswith("fp")]
+    more = [c for c in nodes.columns if c == "comp"]
     n = nodes.count()
     plan = nodes.sparkSession.sparkContext.broadcast(make_plan(nodes, n, radius))
 
@@ -295,14 +374,17 @@ def forest(nodes: DataFrame, radius: int, whole: int | None = None) -> DataFrame
         entries, queries = np.flatnonzero(t < 0), np.flatnonzero(t >= 0)
         if not len(entries) or not len(queries):
             return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
-        label = _links(plan.value, int(key[0]), int(key[1]), lane[entries], lane[queries], t[queries], whole)
-        ids = np.concatenate([node[entries], node[queries]])
+        both = np.concatenate([entries, queries])
+        args = plan.value, int(key[0]), int(key[1]), lane[entries], lane[queries], t[queries]
+        if whole is not None:
+            return _pairs(*args, node[both], own["comp"].to_numpy()[both] if more else None, whole)
+        label, ids = _links(*args), node[both]
         # An entry and a query may be the same node.
         far = np.flatnonzero(label != np.arange(len(label)))
         found = pd.DataFrame({"u": ids[far], "v": ids[label[far]]})
         return found[found["u"] != found["v"]].drop_duplicates()
 
-    dealt = _dealt(nodes, plan, lanes)
+    dealt = _dealt(nodes, plan, lanes + more)
     return settle(dealt.groupBy("part", "cell", "i", "j").applyInPandas(run, "u long, v long").distinct())
 
 
@@ -323,19 +405,107 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _proposed(nodes: DataFrame, radius: int, lanes: int) -> DataFrame:
+    """Distinct pairs u < v that forest() finds with any of the lanes as the first; together, at most FAR of the bits differ."""
+    few = nodes.limit(FEW + 1).toArrow()
+    if few.num_rows <= FEW:
+        node, lane = few.column("node").to_numpy(), np.stack([few.column(f"fp{k}").to_numpy() for k in range(lanes)], axis=1)
+        comp = few.column("comp").to_numpy() if "comp" in nodes.columns else None
+        held = [np.empty((3, 0), np.int64)]
+        for k in range(len(node)):
+            far = _ones(lane[k] ^ lane[k + 1 :]).sum(axis=1, dtype=np.int64)
+            at = np.flatnonzero((far <= BITS * lanes // FAR) & (True if comp is None else comp[k] != comp[k + 1 :]))
+            held.append(np.stack([np.full(len(at), k), k + 1 + at, far[at]]))
+        u, v, far = np.concatenate(held, axis=1)
+        use = _spanning(u, v, far) if comp is None else slice(None)
+        u, v = node[u[use]], node[v[use]]
+        return settle(nodes.sparkSession.createDataFrame(pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}), "u long, v long"))
+    found = None
+    for k in range(lanes):
+        turned = nodes.select(*[c for c in nodes.columns if not c.startswith("fp")], *[F.col(f"fp{(k + j) % lanes}").alias(f"fp{j}") for j in range(lanes)])
+        own = forest(turned, radius, BITS * lanes // FAR)
+        found = own if found is None else found.unionByName(own)
+    return settle(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose bags of shingles have the similarity, from a text of each node (first.key names its row)."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [numbered(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "bag"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(both > 0 and both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = settle(nodes.join(ends, "node").select("node", F.col("first.key").alias("key")))
+    texts = docs.select(row_key(docs), F.col("text").cast("string").alias("text")).join(wanted, "key").select("node", "text")
+    held = settle(text_batches(texts).mapInArrow(bags, "node long, bag binary").dropDuplicates(["node"]))
+    x, y = held.select(F.col("node").alias("u"), F.col("bag").alias("x")), held.select(F.col("node").alias("v"), F.col("bag").alias("y"))
+    return settle(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"))
+
+
+def _similar_roots(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, lanes: int, similarity: float) -> DataFrame:
+    """node and root of every node that a link of the similarity reaches (roots left out)."""
+    names = [f"fp{k}" for k in range(lanes)]
+    pairs = _proposed(nodes.select("node", *names), radius, lanes)
+    good = _verified(docs, nodes, pairs, shingle, similarity)
+    roots = settle(components(good))
+
+    def rooted(df: DataFrame, name: str) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+
+    # Where all pairs of a group's forest hold, it is one component; else its parts may be linked by pairs that no forest held.
+    failed = settle(rooted(rooted(pairs, "u"), "v").filter("u_root <> v_root").select("u"))
+    if failed.isEmpty():
+        return roots
+    groups = settle(components(pairs))
+    groups = groups.unionByName(groups.select("root", F.col("root").alias("node")).distinct()).select("node", "root")
+    split = groups.join(failed.withColumnRenamed("u", "node"), "node").select("root").distinct()
+    parts = groups.join(split, "root").select("node").join(nodes, "node").select("node", *names)
+    parts = settle(rooted(parts, "node").withColumnRenamed("node_root", "comp"))
+    rest = settle(_proposed(parts, radius, lanes).join(pairs, ["u", "v"], "left_anti"))
+    return components(good.unionByName(_verified(docs, nodes, rest, shingle, similarity)))
+
+
+def similar(docs: DataFrame, shingle: int, radius: int, lanes: int, similarity: float) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, key (row_key), fp0.. and first, the row of its group that comes first: doc_id and key.
+
+    Rows whose bags of shingles have the Jaccard similarity are linked, and groups are what links reach; equal bags always are (two of no
+    shingle too). A null doc_id comes after all others.
+    """
+    prints, names = settle(_bag_prints(docs, shingle, lanes)), [f"fp{k}" for k in range(lanes)]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    nodes = settle(prints.groupBy("node", *names).agg(first))
+    roots = settle(_similar_roots(docs, nodes, shingle, radius, lanes, similarity))
+    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = settle(labelled.groupBy("root").agg(F.min("first").alias("first")))
+    labels = settle(labelled.select("root", "node").join(least, "root").select("node", "first"))
+    return prints.join(labels, "node").select("doc_id", "key", *names, "first")
+
+
 def near_dups(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: int = 1, similarity: float | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fp0.., component_id (the smallest doc_id that links reach, its own included).
 
-    With similarity, a link must also have that Jaccard similarity of shingle bags as all lanes together estimate it.
+    With similarity, a link is a pair that any lane proposes, of that Jaccard similarity of shingle bags or more (see similar).
     Texts without a word have fingerprint 0 and are linked like any other; null texts are such. A null doc_id
     counts as larger than any other. Rows that repeat are rows of their own. Other columns are not read. An empty table gives an empty result.
     """
+    if similarity is not None:
+        return similar(docs, shingle, radius, lanes, similarity).withColumn("component_id", F.col("first.doc_id")).drop("key", "first")
     prints = settle(fingerprints(docs, shingle, lanes))
     names = [f"fp{k}" for k in range(lanes)]
     node = F.col("fp0") if lanes == 1 else F.xxhash64(*names)
     nodes = settle(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node))
-    whole = None if similarity is None else int(64 * lanes * np.arccos(2 * similarity / (1 + similarity)) / pi)
-    roots = components(forest(nodes.select("node", *names), radius, whole))
+    roots = components(forest(nodes.select("node", *names), radius))
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = settle(labelled.groupBy("root").agg(F.min("first").alias("component_id")))
     labels = settle(labelled.select("root", *names).join(first, "root").select(*names, "component_id"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import xxhash
 
@@ -79,3 +80,43 @@ def test_empty_table_and_clashing_columns(spark):
     assert simhash.near_dups(docs).count() == 0
     docs = spark.createDataFrame([(1, "a b c", "x", 1)], "doc_id long, text string, fp0 string, component_id int")
     assert simhash.query(docs).columns == ["doc_id", "fingerprint", "component_id"]
+
+
+def bag(text, shingle=5):
+    words = (text or "").lower().split()
+    return Counter(tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))) if words else Counter()
+
+
+def test_similarity_is_that_of_the_shingles(spark, monkeypatch):
+    """Pairs of 0.72 to 0.9, brute force over all pairs; one text repeats a line, so that bags and sets differ."""
+    rng, rows = random.Random(5), []
+    for _ in range(40):
+        base = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        for share in (0, 0.012, 0.02, 0.024, 0.028, 0.034):
+            words = list(base)
+            for at in rng.sample(range(len(base)), int(share * len(base))):
+                words[at] = "changed"
+            rows.append((len(rows), " ".join(words)))
+    line = "one two three four five six seven eight nine "
+    rows += [(len(rows), line * 30 + "x"), (len(rows) + 1, line * 25 + "x"), (len(rows) + 2, line * 10 + "x")]
+    bags = {d: bag(t) for d, t in rows}
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    near = 0
+    for a, x in bags.items():
+        for b, y in bags.items():
+            if a < b and (both := (x & y).total()) and both / (x | y).total() >= 0.8 - 1e-9:
+                near += both / (x | y).total() < 0.85
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    assert near > 20  # below 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (simhash.FEW, 0):
+        monkeypatch.setattr(simhash, "FEW", few)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_dups(docs, shingle=5, radius=12, lanes=4, similarity=0.8).collect()}
+        assert got == {d: find(d) for d in root}
