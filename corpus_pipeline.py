@@ -7,10 +7,11 @@ writes every stage as Parquet into the shared folder and reads it again, so a lo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomfold.llm import language, leaks, mixing, shards, simhash
-from loomfold.llm.common import settle, table
+from loomfold.llm.common import row_key, settle, table
 
 #: A text of which less than this share of n-grams is known to its language is in none of those learned.
 LEAST_KNOWN = 0.2
@@ -23,10 +24,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    found = simhash.near_dups(docs, shingle=5, radius=12, lanes=4, similarity=0.8)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(settle(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near duplicates, that of smallest id: five-word shingles, similarity 0.8 or more.
+
+    A null id comes after all others; of different texts with one id the one of smallest hash is kept, of rows that repeat id and text any.
+    """
+    found = simhash.similar(docs, shingle=5, radius=12, lanes=4, similarity=0.8)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    rows = settle(found.groupBy(F.col("doc_id").alias("dup_id"), F.col("key").alias("dup_key")).agg(F.min(stays).alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1"))
+    same = docs["doc_id"].eqNullSafe(F.col("dup_id")) & (row_key(docs) == F.col("dup_key"))
+    kept, repeated = docs.join(rows, same, "left_anti"), rows.filter("stays")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(docs.join(repeated, same).dropDuplicates(["dup_id", "dup_key"]).select(*docs.columns))
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +44,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents as the mix takes them; a document taken in part counts whole from half of its words on."""
+    """Repeats or leaves out documents as the mix takes them; a document taken in part counts whole from half of its words on.
+
+    Each row is taken for itself, whether its id is null or repeated or not; of rows that repeat id, source and text, the first in order of the other columns are taken most.
+    """
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = settle(mixing.mix(docs).filter("size > 0").select("doc_id", copies.alias("mix_copies")).filter("mix_copies > 0").groupBy("doc_id").agg(F.max("mix_copies").alias("mix_copies")))
-    found = docs.join(taken.hint("merge"), "doc_id")  # as the table grows with the documents, at every size alike
+    taken = mixing.Mix(docs).taken(keyed=True).filter("size > 0").select(F.col("key").alias("mix_key"), copies.alias("mix_copies")).filter("mix_copies > 0")
+    taken = settle(taken.groupBy("mix_key").agg(F.sort_array(F.collect_list("mix_copies"), asc=False).alias("mix_each")))
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "source", "text") and "map<" not in kind and "variant" not in kind]
+    nth = F.row_number().over(W.partitionBy("mix_key").orderBy(*(others or ["mix_key"])))
+    found = docs.withColumn("mix_key", row_key(docs, "source")).withColumn("mix_nth", nth)
+    found = found.join(taken.hint("merge"), "mix_key")  # as the table grows with the documents, at every size alike
+    found = found.withColumn("mix_copies", F.get("mix_each", F.col("mix_nth") - 1)).filter("mix_copies > 0")
     return found.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
 
 

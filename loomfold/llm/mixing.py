@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, settle
+from .common import WORD, row_key, settle
 
 GOLDEN = (5**0.5 - 1) / 2
 #: Per-source totals are held by the driver; more sources than this are refused.
@@ -54,7 +54,7 @@ class Mix:
     def __init__(self, docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = 1024):
         self.spark, self.most, self.block = docs.sparkSession, most, block
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        self.docs = settle(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h")))
+        self.docs = settle(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h"), row_key(docs, "source")))
         rows = self.docs.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
         if len(rows) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -110,14 +110,15 @@ class Mix:
         own = self.docs.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("source_"))).withColumn("bucket", F.shiftrightunsigned("h", 64 - int(math.log2(BUCKETS))))
         before = own.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
         before = before.withColumn("before", F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        within = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+        within = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "key").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
         placed = own.withColumn("within", within).join(before.select("sid", "bucket", "before"), ["sid", "bucket"])
-        return placed.select("doc_id", "h", "sid", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("first_word"))
+        return placed.select("doc_id", "key", "h", "sid", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("first_word"))
 
-    def taken(self) -> DataFrame:
-        """One row per row of docs: doc_id, size, source_size, target, taken (words the slots take of it)."""
+    def taken(self, keyed: bool = False) -> DataFrame:
+        """One row per row of docs: doc_id, size, source_size, target, taken (words the slots take of it); if keyed, key (row_key with the source) before."""
+        more = ["key"] if keyed else []
         if not self.sources:
-            return self.docs.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
+            return self.docs.select(*more, "doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
         # A block is taken whole by some slots and, by the last slot of its source, up to a word.
         full = F.col("end_word") >= F.least(F.col("first_word") + self.block, F.col("source_size"))
         uses = self.schedule().join(F.broadcast(self._table().select("sid", "source_size")), "sid")
@@ -127,8 +128,8 @@ class Mix:
         pieces = docs.filter("size > 0").withColumn("blk", F.explode(F.sequence(F.expr(f"first_word div {self.block}"), F.expr(f"(first_word + size - 1) div {self.block}"))))
         a, b = F.greatest("first_word", F.col("blk") * self.block), F.least(end, (F.col("blk") + 1) * self.block)
         words = (b - a) * F.col("whole") + F.greatest(F.lit(0), F.least(F.coalesce("cut", F.lit(0)), b) - a)
-        got = pieces.join(uses, ["sid", "blk"], "left").groupBy("doc_id", "h", "sid", "first_word", "size", "source_size", "target").agg(F.sum(F.coalesce(words, F.lit(0))).alias("taken"))
-        columns = ["doc_id", "size", "source_size", "target", "taken"]
+        got = pieces.join(uses, ["sid", "blk"], "left").groupBy("doc_id", "key", "h", "sid", "first_word", "size", "source_size", "target").agg(F.sum(F.coalesce(words, F.lit(0))).alias("taken"))
+        columns = [*more, "doc_id", "size", "source_size", "target", "taken"]
         return got.select(*columns).unionByName(docs.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
 
 

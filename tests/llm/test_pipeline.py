@@ -57,3 +57,30 @@ def test_stages_take_empty_tables(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, corpus).count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, corpus):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(9000)}" for _ in range(80)) for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, d), (3, d), (4, e), (4, e)]
+    docs = spark.createDataFrame([(k, t, "aa", "s0", len(t)) for k, t in rows], SCHEMA)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, corpus)
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, a), (2, b), (None, c), (3, d), (4, e)])
+
+
+def test_mixing_of_null_and_repeated_ids(spark, corpus):
+    rng = random.Random(4)
+    ids_ = [None, None, 7, 7, 8, 8, *range(20, 60)]
+    rows = [(k, " ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randint(200, 900))), "aa", f"s{n % 3}") for n, k in enumerate(ids_)]
+    rows += [rows[4], rows[0], (9, *rows[20][1:]), (9, None, "aa", "s0")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA)
+    want = Counter()
+    for r in mixing.Mix(docs).taken(keyed=True).filter("size > 0").collect():
+        want[r["key"]] += int(r["taken"] / r["size"] + 0.5)
+    text = {r["key"]: (r["doc_id"], r["source"], r["text"]) for r in docs.select("*", corpus_pipeline.row_key(docs, "source")).collect()}
+    got = Counter((r["doc_id"], r["source"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, corpus).collect())
+    assert got == Counter({text[k]: n for k, n in want.items() if n})
+    assert any(k[0] is None for k in got)
