@@ -1,7 +1,7 @@
 """Language identification by n-gram filters with a language bitmask.
 
 Each language has a Bloom filter of the n-grams that are typical of it. The filters have the same length and hash functions and
-are stored bit-sliced: one word per position, in which bit l belongs to language l. The AND of the words at an n-gram's positions is
+are stored bit-sliced: a bit of each language per position, in as many 64-bit words as the languages need. The AND of the words at an n-gram's positions is
 the mask of all languages that contain it, so one probe answers for every language. A text's masks are counted per
 language; counts are corrected for each filter's false positives, and the language with the most n-grams is told.
 
@@ -25,7 +25,7 @@ from .common import settle, text_batches
 SAMPLE = 4000
 #: An n-gram is in a language's filter if this share of its documents has it; at most KEPT, those of most documents.
 SHARE, KEPT = 0.03, 60_000
-N, PROBES, BITS_PER_GRAM, MOST_LANGUAGES = 4, 4, 12, 64
+N, PROBES, BITS_PER_GRAM = 4, 4, 12
 CHUNK = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,23 +70,24 @@ class Model:
     def __init__(self, languages: list[str], typical: list[np.ndarray]):
         self.languages = languages
         self.length = max(64, BITS_PER_GRAM * max(map(len, typical), default=0))
-        self.words = np.zeros(self.length, np.uint64)
+        # Language l has bit l % 64 of word l // 64.
+        self.words = np.zeros((self.length, max(1, -(-len(languages) // 64))), np.uint64)
         for k, own in enumerate(typical):
             for at in _positions(own, self.length):
-                self.words[at] |= np.uint64(1 << k)
-        fill = [((self.words >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))]
+                self.words[at, k // 64] |= np.uint64(1 << k % 64)
+        fill = [((self.words[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))]
         self.false = np.array(fill) ** PROBES
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and the share of n-grams that the language's filter knows, net of false positives."""
         count, n = np.zeros(len(self.languages)), 0
         h = grams(text)
-        for part in np.array_split(h, len(h) // CHUNK + 1):
-            mask = np.full(len(part), ~np.uint64(0))
+        for part in np.array_split(h, len(h) * self.words.shape[1] // CHUNK + 1):
+            mask = np.full((len(part), self.words.shape[1]), ~np.uint64(0))
             for at in _positions(part, self.length):
                 mask &= self.words[at]
             for k in range(len(self.languages)):
-                count[k] += ((mask >> np.uint64(k)) & np.uint64(1)).sum()
+                count[k] += ((mask[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).sum()
             n += len(part)
         if not n or not self.languages:
             return "und", 0.0, 0.0
@@ -102,11 +103,11 @@ def held_out() -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE, kept: int = KEPT) -> Model:
     """Fits on the rows of docs (doc_id, text, lang) that have a language and are not held out; at most sample of each language.
 
-    Of more than MOST_LANGUAGES languages, those of most documents are learned. A table without such rows gives an empty model.
+    Every language is learned, however many. A table without such rows gives an empty model.
     """
     spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return Model([], [])
     # Documents whose hash is small: the share that leaves about sample of each language, none of it sorted.

@@ -106,6 +106,14 @@ def test_language_is_found_on_held_out_rows(spark):
     assert sorted(r["lang_pred"] for r in blind.collect()) == sorted(r["lang_pred"] for r in got.values())
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(2)
+    own = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(n, " ".join(rng.choice(words) for _ in range(30)), lang) for n, (lang, words) in enumerate([x for x in own.items() for _ in range(12)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.query(docs).collect()} == {k: lang for k, _, lang in rows}
+
+
 def test_language_without_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.query(empty).count() == 0
