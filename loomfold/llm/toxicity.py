@@ -1,9 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class, toxic and ordinary, has a model of expressions of one and of two words. Counts are Kneser-Ney's: of the
-distinct texts that have an expression, not of its occurrences. A fixed discount is taken off each count, and what that frees
-is spread by shared counts: for words, of the documents of the whole corpus; for pairs, of both classes. Expressions
-that are rare in either class so come out alike in both, and the ratio of the classes speaks for the common ones only.
+Each class, toxic and ordinary, has a model of expressions of one and of two words, told apart by 64-bit hashes. Counts are of
+the distinct texts that have an expression, not of its occurrences. As in Kneser-Ney's models a fixed discount is taken off each count, and what
+that frees is spread by shared counts: of the documents of the whole corpus that have the expression. Counts are document
+frequencies, not continuation counts, and pairs do not back off to words. Expressions that no class has more often than the discount have the same
+ratio, whatever their shared count; only the others are broadcast, as many as the labelled texts make, and the corpus adds none.
 
 A text's evidence is log-likelihood ratios per expression, so that its length does not add up: of its most toxic word, of its three
 most toxic words and of its most toxic pair; over its whole text, with the logarithm of its length, as the largest of
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from .common import settle, table, text_batches
 from .language import held_out
 
-#: Bounds of the labelled documents learned from (of smallest hash), and of the tables, which are hashed.
-LABELLED, CALIBRATED, WORDS, PAIRS = 200_000, 20_000, 1 << 20, 1 << 19
+#: Bounds of the labelled documents learned from (of smallest hash); expressions that a task holds before it emits them.
+LABELLED, CALIBRATED, HELD = 200_000, 20_000, 1 << 20
 DISCOUNT, TOP, THRESHOLD = 1.5, 3, 0.3
 EVIDENCE = 4
 NAMES = [f"evidence{k}" for k in range(EVIDENCE)]
@@ -34,34 +35,42 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def expressions(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words and of the adjacent pairs of a UTF-8 text; words are runs of letters, digits and non-ASCII, A-Z lower-cased."""
+    """Hashes of the words and of the adjacent pairs of a UTF-8 text; words are runs of letters, digits and non-ASCII, A-Z lower-cased."""
     h = np.array([xxhash.xxh3_64_intdigest(w) for w in (text or b"").lower().translate(_KEPT).split()], np.uint64)
     z = (h[:-1] * _PRIME) ^ h[1:]
     z = (z ^ (z >> np.uint64(31))) * _PRIME
-    return (h % np.uint64(WORDS)).astype(np.int64), ((z ^ (z >> np.uint64(29))) % np.uint64(PAIRS)).astype(np.int64)
+    return h.view(np.int64), (z ^ (z >> np.uint64(29))).view(np.int64)
 
 
-def _ratios(counts: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """log p(expression | toxic) - log p(expression | ordinary), for each; counts has a row for ordinary and one for toxic."""
-    logs = [np.log((np.maximum(c - DISCOUNT, 0) + np.minimum(c, DISCOUNT).sum() * shared + 1e-12) / max(1, c.sum())) for c in counts]
-    return (logs[1] - logs[0]).astype(np.float32)
+class Ratios:
+    """log p(expression | toxic) - log p(expression | ordinary): of the known hashes (sorted), and of all others alike."""
+
+    def __init__(self, known: np.ndarray, counts: np.ndarray, shared: np.ndarray, totals: np.ndarray, freed: np.ndarray):
+        """counts has a row for ordinary and one for toxic, like totals (sums of all counts) and freed (of what is taken off); shared sums to 1 over the corpus."""
+        self.known, self.other, self.values = known, 0.0, np.zeros(len(known), np.float32)
+        if totals.all():
+            logs = [np.log((np.maximum(c - DISCOUNT, 0) + f * shared) / n) for c, n, f in zip(counts, totals, freed, strict=True)]
+            self.values = (logs[1] - logs[0]).astype(np.float32)
+            self.other = float(np.log(freed[1] / totals[1]) - np.log(freed[0] / totals[0]))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(h), self.other, np.float32)
+        at = np.searchsorted(self.known, h).clip(0, len(self.known) - 1)
+        return np.where(self.known[at] == h, self.values[at], np.float32(self.other))
 
 
 class Model:
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, corpus: np.ndarray):
-        known = words.sum(axis=1).all()
-        both = pairs.sum(axis=0) + 0.5
-        corpus = corpus + words.sum(axis=0) + 0.5
-        self.words = _ratios(words, corpus / corpus.sum()) if known else np.zeros(WORDS, np.float32)
-        self.pairs = _ratios(pairs, both / both.sum()) if known else np.zeros(PAIRS, np.float32)
+    def __init__(self, words: Ratios, pairs: Ratios):
+        self.words, self.pairs = words, pairs
         self.weights = np.zeros(EVIDENCE + 1)
 
     def evidence(self, text: bytes | None) -> tuple[float, ...]:
         w, p = expressions(text)
         if not len(w):
             return (0.0,) * EVIDENCE
-        words = np.sort(self.words[w])[-TOP:]
-        pair = self.pairs[p].max() if len(p) else 0.0
+        words = np.sort(self.words(w))[-TOP:]
+        pair = self.pairs(p).max() if len(p) else 0.0
         return float(words[-1]), float(words.sum() / TOP), float(pair), float(np.log(len(w)))
 
     def calibrate(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
@@ -97,31 +106,58 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     """Fits on docs (doc_id, text) and labels (doc_id, toxic 0 or 1). Of contrary labels of a document, toxic counts."""
     chosen = _labelled(docs, labels, most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left").select("text", "toxic", "calibrates")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    counted = rows.join(F.broadcast(chosen.filter("not calibrates")), "doc_id").select("text", "toxic")  # at most most rows
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh: list[tuple[int, int, np.ndarray]] = []
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            for kind in (0, 1):
+                own = [[h for k, t, h in fresh if k == kind and t == toxic] for toxic in (0, 1)]
+                both = [np.concatenate([np.empty(0, np.int64), *x]) for x in own]
+                at, back = np.unique(np.concatenate(both), return_inverse=True)
+                n = [np.bincount(x, minlength=len(at)) for x in (back[: len(both[0])], back[len(both[0]) :])]
+                for part in np.array_split(np.arange(len(at)), len(at) // 65_536 + 1):
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), kind, np.int32)), "at": pa.array(at[part]), "n0": pa.array(n[0][part]), "n1": pa.array(n[1][part])})
+            fresh.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(n, np.int32) for n in (WORDS, WORDS, WORDS, PAIRS, PAIRS)]
         for batch in batches:
-            columns = batch.column("text").cast(pa.binary()), batch.column("toxic").to_pylist(), batch.column("calibrates").to_pylist()
-            for text, toxic, calibrates in zip(*columns, strict=True):
-                words, pairs = expressions(text.as_py())
-                words = np.unique(words)
-                tables[0][words] += 1
-                if toxic is not None and not calibrates:
-                    tables[1 + bool(toxic)][words] += 1
-                    tables[3 + bool(toxic)][np.unique(pairs)] += 1
-        for k, t in enumerate(tables):
-            at = np.flatnonzero(t)
+            for text, toxic in zip(batch.column("text").cast(pa.binary()), batch.column("toxic").to_pylist(), strict=True):
+                fresh += [(k, int(bool(toxic)), np.unique(h)) for k, h in enumerate(expressions(text.as_py()))]
+            if sum(len(h) for _, _, h in fresh) > HELD:
+                yield from emitted()
+        yield from emitted()
+
+    counts = settle(text_batches(counted).mapInArrow(count, "kind int, at long, n0 long, n1 long").groupBy("kind", "at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"f{c[1]}") for c in ("n0", "n1")]).collect()}
+    known = [counts.filter((F.col("kind") == k) & (F.greatest("n0", "n1") > DISCOUNT)).select("at", "n0", "n1").toArrow().sort_by("at") for k in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast([t.column("at").to_numpy() for t in known])
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last of each is the number of all expressions.
+        found = [np.zeros(len(h) + 1, np.int64) for h in shared.value]
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()):
+                for h, n, own in zip(shared.value, found, map(np.unique, expressions(text.as_py())), strict=True):
+                    n[-1] += len(own)
+                    if len(h):
+                        at = np.searchsorted(h, own).clip(0, len(h) - 1)
+                        n[at[h[at] == own]] += 1
+        for kind, n in enumerate(found):
+            at = np.flatnonzero(n)
             for part in np.array_split(at, len(at) // 65_536 + 1):
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), k, np.int32)), "at": pa.array(part.astype(np.int32)), "n": pa.array(t[part].astype(np.int64))})
-
-    found = text_batches(rows).mapInArrow(run, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
-    tables = [np.zeros(n) for n in (WORDS, WORDS, WORDS, PAIRS, PAIRS)]
-    kept = settle(found)
-    for k, t in enumerate(tables):  # as many numbers as the tables have, whatever the input
-        own = kept.filter(F.col("kind") == k).select("at", "n").toArrow()
-        t[own.column("at").to_numpy()] = own.column("n").to_numpy()
-    model = Model(np.array(tables[1:3]), np.array(tables[3:]), tables[0])
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), kind, np.int32)), "at": pa.array(part), "n": pa.array(n[part])})
+
+    of_all = settle(text_batches(rows.select("text")).mapInArrow(share, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")))
+    ratios = []
+    for kind, t in enumerate(known):
+        n, own = np.zeros(t.num_rows + 1), of_all.filter(F.col("kind") == kind).select("at", "n").toArrow()
+        n[own.column("at").to_numpy()] = own.column("n").to_numpy()
+        r = sums.get(kind)
+        totals, freed = (np.array([float(r[f"{c}{k}"] or 0) if r else 0.0 for k in (0, 1)]) for c in "nf")
+        ratios.append(Ratios(t.column("at").to_numpy(), np.array([t.column("n0").to_numpy(), t.column("n1").to_numpy()]), n[:-1] / max(1, n[-1]), totals, freed))
+    model = Model(*ratios)
     judged = docs.join(F.broadcast(chosen.filter("calibrates").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATED)), "doc_id").select("doc_id", "text", "toxic")
     seen = _with_evidence(judged, model).select("toxic", *NAMES).toPandas()
     model.calibrate(seen[NAMES].to_numpy(float).reshape(-1, EVIDENCE), seen["toxic"].to_numpy(float))

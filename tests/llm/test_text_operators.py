@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -170,3 +172,29 @@ def test_queries_equal_their_sql(spark, name):
     names = [d[0] for d in rel.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, rel.fetchall()))
+
+
+def test_toxicity_counts_are_exact_and_of_the_whole_corpus(spark):
+    """Every ratio against plain dictionaries; hundreds of thousands of pairs, shared counts with unlabelled rows."""
+    rng = random.Random(8)
+    vocabulary = [f"q{k}" for k in range(30_000)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(1500)) + (" vile rotten" if k % 2 else " calm day")) for k in range(600)]
+    labels = [(k, k % 2) for k in range(500)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    counted = {k for k in range(500) if zlib.crc32(str(k).encode()) % 4 < 2}
+    for kind, ratios in enumerate((model.words, model.pairs)):
+        own, corpus = [Counter(), Counter()], Counter()
+        for k, text in rows:
+            words = text.split()
+            found = set(zip(words, words[1:], strict=False)) if kind else {(w,) for w in words}
+            corpus.update(found)
+            if k in counted:
+                own[k % 2].update(found)
+        assert not kind or len(own[0] | own[1]) > 1 << 18
+        freed = [sum(min(n, toxicity.DISCOUNT) for n in c.values()) for c in own]
+        some = [e for e in own[0] | own[1] if max(own[0][e], own[1][e]) > 2][:500] + [e for e in corpus if not own[0][e] and not own[1][e]][:50]
+        some += [("vile", "rotten"), ("calm", "day")] if kind else [("vile",), ("calm",)]
+        for e in some:
+            p = [(max(c[e] - toxicity.DISCOUNT, 0) + f * corpus[e] / corpus.total()) / c.total() for c, f in zip(own, freed, strict=True)]
+            got = ratios(toxicity.expressions(" ".join(e).encode())[kind])[0]
+            assert got == pytest.approx(math.log(p[1] / p[0]), abs=1e-4)
