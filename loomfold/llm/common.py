@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -32,9 +33,11 @@ def row_key(docs: DataFrame, *more: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share. A local session that names none gets one of its own (tests); a cluster has to name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="loomfold-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -57,9 +60,17 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors. free() deletes it, at the latest the end does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomfold-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomfold_path = path
+    return out
+
+
+def free(*settled: DataFrame) -> None:
+    """Deletes tables that settle() wrote, once nothing will read them again."""
+    for df in settled:
+        _forget(df.sparkSession, df._loomfold_path)

@@ -5,16 +5,18 @@ after each pass; what is left after the last pass are the repeated windows.
 
 The first digit has to spread every suffix over the cluster, so it is chosen to be the same for neighbours: the
 window's minimiser, its GRAM bytes of smallest hash. Consecutive windows of equal minimiser form a run, one row instead of
-a row per byte, and equal windows always have equal minimisers. Passes:
-
-1. Runs are counted by the minimiser's hash. Minimisers seen once are dropped; those whose runs are all equal are done.
-2. Runs of repeated minimisers are grouped by a hash of all their bytes (with the minimiser's, 128 bits). A run that occurs again is
-   repeated in every window. What is left, different runs of one minimiser, is compared window by window.
-3. The windows of such runs are sorted by five digits of 40 bytes, in tasks of many minimisers. A minimiser with more
-   than HOT different runs is not brought together: its windows are counted by their digits over the whole cluster.
-
-Two fixed-size bitmaps of the minimisers found repeated in pass 1 keep most runs and nearly all bytes from being shuffled in pass 2; they
-let false ones through, never lose one, and a join with the exact table follows.
+a row per byte, and equal windows always have equal minimisers. GRAM is long enough that in ordinary text a minimiser seen twice is
+mostly part of a repeated window; a shorter one repeats by chance ever more often as the corpus grows. Passes:
+
+1. Runs are counted by the minimiser's hash, and those of minimisers seen once are dropped.
+2. Equal runs (128 bits: of the minimiser and of all bytes) become one kind with a weight, its number of occurrences. A minimiser of one
+   kind is a group that no further digit can split: all its windows are repeated. Only where kinds differ are bytes fetched, of
+   one occurrence of each kind, from the documents that hold one.
+3. The windows of such kinds are sorted by five digits of 40 bytes; groups of weight one leave after each pass. A task sorts
+   many minimisers; the windows of a minimiser with more than HOT kinds are spread over the cluster, one shuffle a digit.
+
+A fixed-size bitmap of the minimisers found repeated in pass 1 keeps most other runs from being written in pass 2. It lets false ones through,
+never loses one, and pass 2 counts exactly; with more repeated minimisers than bits all runs are written, some 20 bytes for each 70 of text.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, text_batches
+from .common import free, settle, text_batches
 
-LENGTH, GRAM, DIGIT = 200, 32, 40
-#: Bytes looked at at once; bits of a bitmap (as a power of two); runs of a minimiser that are compared in one task; runs in a task.
-CHUNK_BITS, MAP_BITS, HOT, TASK = 20, 26, 10_000, 10_000
+LENGTH, GRAM, DIGIT = 200, 64, 40
+#: Bytes looked at at once; bits of a bitmap (as a power of two); kinds of a minimiser that are compared in one task; kinds in a task.
+CHUNK_BITS, MAP_BITS, HOT, TASK = 20, 27, 10_000, 10_000
+DOC = ["doc_id", "text_hash"]
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -99,57 +103,92 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _repeated_minimisers(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [r[2:] for t in _texts(batch) for r in runs(t, length, gram)]
+            found = [r[2] for t in _texts(batch) for r in runs(t, length, gram)]
             if found:
-                a, c = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["minimiser", "content"])
+                at, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n)], ["minimiser", "n"])
 
-    rows = text_batches(docs).select("text").mapInArrow(run, "minimiser long, content long")
-    seen = rows.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
-    return settle(seen.filter("n > 1").select("minimiser", (F.col("least") != F.col("most")).alias("mixed")))
+    rows = text_batches(docs.select("text")).mapInArrow(run, "minimiser long, n long")
+    return settle(rows.groupBy("minimiser").agg(F.sum("n").alias("n")).filter("n > 1").select("minimiser"))
 
 
-def _bitmaps(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of the repeated and of the mixed minimisers, by their leading bits: 2**MAP_BITS bits each, whatever the input."""
-    at = F.shiftrightunsigned("minimiser", 64 - MAP_BITS)
+def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """The leading bits of a column of hashes: at most 2**MAP_BITS bits, whatever the input; built word by word where the hashes are."""
+    bits = min(MAP_BITS, max(10, (16 * hashes.count()).bit_length()))
+    at = F.shiftrightunsigned(column, 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
-    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("any"), F.bit_or(F.when(F.col("mixed"), bit).otherwise(F.lit(0))).alias("mixed")).toArrow()
-    maps = []
-    for name in ("any", "mixed"):
-        out = np.zeros(1 << MAP_BITS - 6, np.int64)
-        out[words.column("word").to_numpy()] = words.column(name).to_numpy()
-        maps.append(out.view(_U))
-    return maps[0], maps[1]
+    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(_U)
 
 
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> _U(64 - MAP_BITS)
+    at = h >> _U(65 - (len(bitmap) << 6).bit_length())
     return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
 
 
 def _occurrences(docs: DataFrame, repeated: DataFrame, length: int, gram: int) -> DataFrame:
-    """Runs of possibly repeated minimisers; bytes of those of possibly mixed ones."""
-    maps = docs.sparkSession.sparkContext.broadcast(_bitmaps(repeated))
+    """Runs of minimisers that the bitmap of repeated ones lets through: a document's key, start, windows, minimiser, content."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated, "minimiser"))
+    names = ["start", "windows", "minimiser", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated_map, mixed_map = maps.value
         for batch in batches:
-            rows, columns, content = [], [], []
+            rows, columns = [], []
             for k, t in enumerate(_texts(batch)):
                 for start, windows, a, c in runs(t, length, gram):
-                    kept = _in(repeated_map, a)
-                    start, windows, a, c = start[kept], windows[kept], a[kept], c[kept]
-                    rows.append(np.full(len(a), k))
-                    columns.append((start, windows, a.view(np.int64), c.view(np.int64)))
-                    content += [t[s : s + n + length - 1] if m else None for s, n, m in zip(start.tolist(), windows.tolist(), _in(mixed_map, a).tolist(), strict=True)]
+                    kept = _in(bitmap.value, a)
+                    rows.append(np.full(kept.sum(), k))
+                    columns.append((start[kept], windows[kept], a[kept].view(np.int64), c[kept].view(np.int64)))
             if columns:
-                keys = batch.select(["doc_id", "text_hash"]).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(np.concatenate(x)) for x in zip(*columns, strict=True)), pa.array(content, pa.binary())], [*keys.schema.names, "start", "windows", "minimiser", "content", "bytes"])
+                keys = batch.select(DOC).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(np.concatenate(x)) for x in zip(*columns, strict=True))], [*DOC, *names])
 
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["text_hash"], *[T.StructField(n, T.LongType()) for n in ("start", "windows", "minimiser", "content")], T.StructField("bytes", T.BinaryType())])
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text_hash"], *[T.StructField(n, T.LongType()) for n in names]])
     return settle(text_batches(docs).mapInArrow(run, schema))
 
 
+def _kinds(found: DataFrame) -> DataFrame:
+    """(minimiser, content, weight, windows, variants, rep) of runs that are equal, where the minimiser is repeated; rep is one occurrence."""
+    rep = F.min(F.struct(*DOC, "start")).alias("rep")
+    kinds = settle(found.groupBy("minimiser", "content").agg(F.count(F.lit(1)).alias("weight"), F.max("windows").alias("windows"), rep))
+    totals = kinds.groupBy("minimiser").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("variants")).filter("total > 1")
+    out = settle(kinds.join(settle(totals.select("minimiser", "variants")), "minimiser"))
+    free(kinds)
+    return out
+
+
+def _with_bytes(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
+    """mixed (minimiser, content, weight, variants, windows, rep) with the bytes of each kind, cut from the document of its rep."""
+    kept = ["minimiser", "content", "weight", "variants"]
+    wanted = mixed.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct(*kept, "windows", F.col("rep.start").alias("start"))).alias("runs"))
+    wanted = settle(wanted.select(F.col("doc_id").alias("doc_id_"), F.col("text_hash").alias("text_hash_"), "runs"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "text_hash_"))
+
+    @F.pandas_udf("boolean")
+    def may_hold(h: pd.Series) -> pd.Series:
+        return pd.Series(_in(bitmap.value, h.to_numpy(np.int64).view(_U)))
+
+    # Most documents hold no kind's bytes; the others' are brought to their runs, a row that repeats once.
+    own = text_batches(docs).filter(may_hold("text_hash")).dropDuplicates(DOC)
+    joined = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_"))).select("text", "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("runs")
+            rows = own.flatten()
+            owner = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
+            texts = _texts(batch)
+            start, windows = (rows.field(n).to_numpy() for n in ("start", "windows"))
+            cut = [texts[k][a : a + n + length - 1] for k, a, n in zip(owner.tolist(), start.tolist(), windows.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(rows.field(n) for n in kept), pa.array(cut, pa.binary())], [*kept, "bytes"])
+
+    out = settle(joined.mapInArrow(run, "minimiser long, content long, weight long, variants long, bytes binary"))
+    free(wanted)
+    return out
+
+
 def _digits(text: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of every window of every run: the run, the window's place in it, and its digits, most significant first."""
     run, place, digits = [], [], []
@@ -180,17 +219,20 @@ def _digits(text: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, lis
     return np.concatenate(run), np.concatenate(place), [np.concatenate(d) for d in zip(*digits, strict=True)]
 
 
-def radix_groups(first: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
-    """Which windows are repeated: sorted by first, then digit by digit, groups of one leaving after each pass."""
+def radix_groups(first: np.ndarray, digits: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """Which windows are repeated: sorted by first, then digit by digit, groups of weight one leaving after each pass."""
     left, group = np.arange(len(first)), first
     for digit in [None, *digits]:
+        if not len(left):
+            break
         own = group if digit is None else digit[left]
         order = np.lexsort((own, group))
         g, d = group[order], own[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]) if len(order) else np.empty(0, bool)
-        name = np.cumsum(new)
-        alone = new & np.append(new[1:], True) if len(order) else new
-        left, group = left[order][~alone], name[~alone]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])])
+        name, starts = np.cumsum(new), np.flatnonzero(new)
+        again = np.add.reduceat(weight[left[order]], starts) > 1
+        kept = again[name - 1]
+        left, group = left[order][kept], name[kept]
     out = np.zeros(len(first), bool)
     out[left] = True
     return out
@@ -205,60 +247,69 @@ def _ranges(run: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return run[new], place[new], place[last] + 1
 
 
-def _repeated_ranges(kinds: DataFrame, length: int) -> DataFrame:
-    """kinds (minimiser, content, n, bytes, variants) of mixed minimisers: (minimiser, content, first, end) of repeated windows."""
-    n = kinds.count()
-    tasks = max(1, -(-n // TASK))
+SPAN = "minimiser long, content long, first long, end long"
 
-    def compare(group: pa.Table) -> pa.Table:
-        text = group.column("bytes").to_pylist()
-        run, place, digits = _digits(text, length)
-        first = np.unique(group.column("minimiser").to_numpy(), return_inverse=True)[1]
-        run, a, b = _ranges(*(x[radix_groups(first[run], digits)] for x in (run, place)))
-        keys = group.select(["minimiser", "content"]).take(pa.array(run))
-        return pa.table([*keys.columns, pa.array(a), pa.array(b)], ["minimiser", "content", "first", "end"])
 
-    shape = "minimiser long, content long, first long, end long"
-    few = kinds.filter(F.col("variants") <= HOT).withColumn("task", F.pmod(F.xxhash64("minimiser"), F.lit(tasks)))
-    found = few.groupBy("task").applyInArrow(compare, shape)
+def _hot_ranges(kinds: DataFrame, length: int) -> DataFrame:
+    """_repeated_ranges for minimisers of any number of kinds: a window is a row, and every digit a pass over the cluster."""
+    digits = [f"d{k}" for k in range(-(-length // DIGIT))]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("bytes").to_pylist()
             if text:
-                run, place, digits = _digits(text, length)
-                keys = batch.select(["minimiser", "content"]).take(pa.array(run))
-                names = [np.bitwise_xor.reduce([_mix(d + _U(k * salt)) for k, d in enumerate(digits, 1)]).view(np.int64) for salt in (0x51, 0xA7)]
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(place), *map(pa.array, names)], ["minimiser", "content", "place", "w0", "w1"])
+                run, place, found = _digits(text, length)
+                keys = batch.select(["minimiser", "content", "weight"]).take(pa.array(run))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(place), *(pa.array(d.view(np.int64)) for d in found)], ["minimiser", "content", "weight", "place", *digits])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.column("place").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column("minimiser"), batch.column("content"), pa.array(place), pa.array(place + 1)], ["minimiser", "content", "first", "end"])
 
-    many = kinds.filter(F.col("variants") > HOT)
-    if many.isEmpty():
-        return settle(found)
-    windows = settle(many.mapInArrow(explode, "minimiser long, content long, place long, w0 long, w1 long"))
-    again = windows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1")
-    return settle(found.unionByName(windows.join(settle(again), ["w0", "w1"]).mapInArrow(gather, shape)))
+    own = kinds.dropDuplicates(["minimiser", "content"])
+    left = settle(own.mapInArrow(explode, "minimiser long, content long, weight long, place long, " + ", ".join(f"{d} long" for d in digits)))
+    for k in range(len(digits)):
+        key = ["minimiser", *digits[: k + 1]]
+        again = settle(left.groupBy(*key).agg(F.sum("weight").alias("n")).filter("n > 1").select(*key))
+        before, left = left, settle(left.join(again, key, "left_semi"))
+        free(before, again)
+    return left.mapInArrow(gather, SPAN)
+
+
+def _repeated_ranges(kinds: DataFrame, length: int) -> DataFrame:
+    """kinds (minimiser, content, weight, variants, bytes) of minimisers of several kinds: (minimiser, content, first, end) of repeated windows."""
+    tasks = max(1, -(-kinds.count() // TASK))
+
+    def compare(group: pa.Table) -> pa.Table:
+        first = group.column("minimiser").to_numpy(), group.column("content").to_numpy()
+        order = np.lexsort(first[::-1])
+        m, c = (x[order] for x in first)
+        group = group.take(pa.array(order[np.concatenate([[True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])])]))  # a kind may come twice from tasks run again
+        run, place, digits = _digits(group.column("bytes").to_pylist(), length)
+        first = np.unique(group.column("minimiser").to_numpy(), return_inverse=True)[1]
+        run, a, b = _ranges(*(x[radix_groups(first[run], digits, group.column("weight").to_numpy()[run])] for x in (run, place)))
+        return pa.table([*group.select(["minimiser", "content"]).take(pa.array(run)).columns, pa.array(a), pa.array(b)], ["minimiser", "content", "first", "end"])
+
+    few = kinds.filter(F.col("variants") <= HOT).withColumn("task", F.pmod(F.xxhash64("minimiser"), F.lit(tasks)))
+    found, many = few.groupBy("task").applyInArrow(compare, SPAN), kinds.filter(F.col("variants") > HOT)
+    return found if many.isEmpty() else found.unionByName(_hot_ranges(many, length))
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_hash, spans): the byte ranges of keyed docs that repeated windows cover; ranges may overlap."""
     repeated = _repeated_minimisers(docs, length, gram)
     found = _occurrences(docs, repeated, length, gram)
-    # Equal runs have equal bytes, so the bytes may be a key: rows are combined where they are read, and a very common
-    # run is one row of each task before it meets the others of its minimiser.
-    kinds = found.groupBy("minimiser", "content", "bytes").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"))
-    kinds = settle(kinds.join(repeated, "minimiser"))
-    variants = kinds.filter("mixed").groupBy("minimiser").agg(F.count(F.lit(1)).alias("variants"))
-    whole = kinds.filter("n > 1").select("minimiser", "content", F.lit(0).cast("long").alias("first"), F.col("windows").alias("end"))
-    part = _repeated_ranges(kinds.filter("mixed").join(variants, "minimiser"), length)
-    ranges = settle(whole.unionByName(part))
-    spans = found.select("doc_id", "text_hash", "start", "minimiser", "content").join(ranges, ["minimiser", "content"])
+    kinds = _kinds(found)
+    pieces = _with_bytes(docs, kinds.filter("variants > 1"), length)
+    whole = kinds.filter("variants = 1").select("minimiser", "content", F.lit(0).cast("long").alias("first"), F.col("windows").alias("end"))
+    ranges = settle(whole.unionByName(_repeated_ranges(pieces, length)))
+    free(repeated, kinds, pieces)
+    spans = found.select(*DOC, "start", "minimiser", "content").join(ranges, ["minimiser", "content"])
     span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("end") + length - 1).alias("b"))
-    return settle(spans.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("spans")))
+    out = settle(spans.groupBy(*DOC).agg(F.collect_set(span).alias("spans")))
+    free(found, ranges)
+    return out
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
