@@ -3,13 +3,14 @@
 Every participant of a conversation gets the dialogue rendered from its own side: its turns as ``assistant``, those
 of all others as ``user`` with their names, system turns as ``system``, and a mask of the character ranges to train on.
 
-A long dialogue is rendered in parts of PART consecutive turn numbers, so no conversation has to fit into one row;
-joined in the order of part they are the whole rendering.
+A long dialogue is rendered in parts of PART turns at most, so no conversation has to fit into one row: of PART consecutive turn
+numbers, cut again where numbers repeat or are null. Joined in the order of part and piece they are the whole rendering.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PART = 512
@@ -22,16 +23,19 @@ def _safe(c: Column) -> Column:
 
 
 def rotate(conversations: DataFrame, system=("system",), part: int = PART) -> DataFrame:
-    """One row per conversation, participant and part: conv_id, speaker, part, n_turns, text, mask.
+    """One row per conversation, participant and part: conv_id, speaker, part, piece, n_turns, text, mask.
 
     mask is an array of (start, end) character ranges of text, from 0: what the assistant's turns say, with their end mark. A
-    null role is the participant ``unknown``; a null or empty text is an empty turn; a null turn comes first, in part -1. Turns of
+    null role is the participant ``unknown``; a null or empty text is an empty turn; null turns come first, in part -1. Turns of
     equal number stand in the order of role and text; rows that repeat are repeated turns; null conversation ids are one
     conversation. A conversation of system turns alone has no participant and no row. Other columns are not read. An empty table gives none.
     """
     own = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text"))
     own = own.withColumn("part", F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long"))
-    parts = own.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # A part has more rows than numbers only where numbers repeat or are null.
+    nth = F.row_number().over(W.partitionBy("conv_id", "part").orderBy("turn", "role", "text"))
+    own = own.withColumn("piece", F.floor((nth - 1) / part).cast("long"))
+    parts = own.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = own.filter(~F.col("role").isin(*system)).select(F.col("conv_id").alias("conv_id_"), F.col("role").alias("speaker")).distinct()
     rows = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv_id_"))).drop("conv_id_")
 
@@ -46,7 +50,7 @@ def rotate(conversations: DataFrame, system=("system",), part: int = PART) -> Da
     starts = F.aggregate("lengths", zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
     ranges = F.zip_with("said", starts, lambda s, at: F.when(s["mine"], F.struct((at + F.length(s["head"])).alias("start"), (at + F.length(s["head"]) + F.length(s["body"])).alias("end"))))
     text = F.array_join(F.transform("said", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "")
-    return rows.select("conv_id", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), text.alias("text"), F.filter(ranges, lambda r: r.isNotNull()).alias("mask"))
+    return rows.select("conv_id", "speaker", "part", "piece", F.size("turns").cast("long").alias("n_turns"), text.alias("text"), F.filter(ranges, lambda r: r.isNotNull()).alias("mask"))
 
 
 def digest(rendered: DataFrame) -> DataFrame:
@@ -57,13 +61,14 @@ def digest(rendered: DataFrame) -> DataFrame:
 
 ORACLE_SQL = f"""
 with t as (select conv_id, turn, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as text, coalesce(floor(turn / {PART})::bigint, -1) as part from conversations),
+o as (select *, ((row_number() over (partition by conv_id, part order by turn nulls first, role, text) - 1) // {PART})::bigint as piece from t),
 s as (select distinct conv_id, role as speaker from t where role <> 'system'),
-r as (select t.conv_id, speaker, part, turn, role, text, role = speaker as mine,
+r as (select t.conv_id, speaker, part, piece, turn, role, text, role = speaker as mine,
     '{START}' || case when role = speaker then 'assistant' when role = 'system' then 'system' else 'user name=' || replace(role, '<|', '< |') end || chr(10) as head, text || '{END}' as body,
-    row_number() over (partition by t.conv_id, speaker, part order by turn nulls first, role, text) as n
-  from t join s on t.conv_id is not distinct from s.conv_id),
-p as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, speaker, part order by n rows between unbounded preceding and 1 preceding), 0)::bigint as start from r)
-select conv_id, speaker, part, count(*)::bigint as n_turns, string_agg(head || body || chr(10), '' order by n) as text,
+    row_number() over (partition by t.conv_id, speaker, part, piece order by turn nulls first, role, text) as n
+  from o as t join s on t.conv_id is not distinct from s.conv_id),
+p as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, speaker, part, piece order by n rows between unbounded preceding and 1 preceding), 0)::bigint as start from r)
+select conv_id, speaker, part, piece, count(*)::bigint as n_turns, string_agg(head || body || chr(10), '' order by n) as text,
   coalesce(string_agg((start + length(head))::varchar || '-' || (start + length(head) + length(body))::varchar, ',' order by n) filter (where mine), '') as mask
-from p group by conv_id, speaker, part
+from p group by conv_id, speaker, part, piece
 """

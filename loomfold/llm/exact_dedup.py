@@ -3,7 +3,8 @@
 A text, without the characters of ``SPACE``, is cut into blocks of a fixed number of code points. Every distinct
 block gets an integer name by its place in a sort; then adjacent pairs of names are named the same way, level
 by level, until one name is left. Two documents have equal texts exactly if they have the same number of blocks
-and the same last name: names are given to contents, never to hashes, so they cannot collide.
+and the same last name: names are given to contents, never to hashes, so they cannot collide. A row is known by its id, the
+SHA-256 of its text and its length, as ids may repeat.
 
 The content of the blocks is shuffled once, combined on the map side. Occurrences carry a 64-bit hash of their
 block instead of the block and pick up its name by that hash. This is exact because blocks of equal hash are
@@ -18,7 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, settle
 
-KEY = ["doc_id", "text_hash", "n_points"]
+KEY = ["doc_id", "text_sha", "n_points"]
+
+
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256)).alias("text_sha")
 
 
 def _hash(c: Column) -> Column:
@@ -29,7 +34,7 @@ def _blocks(docs: DataFrame, block: int, hashed) -> DataFrame:
     norm = F.regexp_replace("text", SPACE + "+", "")
     cut = F.regexp_extract_all(norm, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("n_points"), F.posexplode_outer(cut).alias("i", "block"))
+    own = own.select("doc_id", _sha(F.col("text")), F.length("text").alias("n_points"), F.posexplode_outer(cut).alias("i", "block"))
     own = own.select(*KEY, F.coalesce("i", F.lit(0)).cast("long").alias("i"), F.coalesce("block", F.lit("")).alias("block"))
     return own.withColumn("h", hashed(F.col("block")))
 
@@ -40,7 +45,7 @@ def _named(distinct: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def identities(docs: DataFrame, block: int = 2048, hashed=_hash) -> DataFrame:
-    """One row per distinct (doc_id, text_hash, n_points) of docs: width and name, together its collision-free identity.
+    """One row per distinct (doc_id, text_sha, n_points) of docs: width and name, together its collision-free identity.
 
     A null text counts as empty; an empty text is one empty block. Null ids are a value like any other. Rows that
     repeat an id and a text are one row here. Columns besides doc_id and text are not read. An empty table gives none.
@@ -73,26 +78,27 @@ def identities(docs: DataFrame, block: int = 2048, hashed=_hash) -> DataFrame:
 def exact_dedup(docs: DataFrame, block: int = 2048, hashed=_hash) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the row of most code points stays, then that of the smallest doc_id (null last). Rows that repeat
-    both id and text count in group_size and are all told alike. Null and empty texts are equal to texts of
+    Of equal texts the row of most code points stays, then that of the smallest doc_id (null last), then that of the least SHA-256. Rows
+    that repeat both id and text count in group_size and are all told alike. Null and empty texts are equal to texts of
     whitespace alone. An empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.length(text).alias("n_points"), F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256).alias("text_sha256"))
+    own = docs.select("doc_id", _sha(text), F.length(text).alias("n_points"), F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256).alias("text_sha256"))
     ids = identities(docs, block, hashed).select(*[F.col(k).alias(k + "_") for k in KEY], "width", "name")
     same = F.lit(True)
     for k in KEY:
         same = same & F.col(k).eqNullSafe(F.col(k + "_"))
     rows = settle(own.join(ids, same).select(*KEY, "text_sha256", "width", "name"))
-    first = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    first = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha"))
     groups = settle(rows.groupBy("width", "name").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")).filter("group_size > 1"))
     found = rows.join(groups, ["width", "name"], "left")
     keep = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    kept = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(keep) & (F.col("text_sha") == F.col("first.text_sha")))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 ORACLE_SQL = """
 with d as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') as norm from documents)
-select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size, doc_id = first_value(doc_id) over w as kept, sha256(norm) as text_sha256
-from d window w as (partition by norm order by length(text) desc, doc_id nulls last)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size, doc_id is not distinct from first_value(doc_id) over w and sha256(text) = first_value(sha256(text)) over w as kept, sha256(norm) as text_sha256
+from d window w as (partition by norm order by length(text) desc, doc_id nulls last, sha256(text))
 """

@@ -32,9 +32,10 @@ def _words(text: Column) -> Column:
 
 
 def _grams(words: Column) -> Column:
-    """Hashes of the shingles of hashed words; an empty array if there are fewer words."""
+    """Hashes of the shingles of hashed words; of fewer words the whole sequence is the one shingle; an empty array if there is no word."""
     at = F.sequence(F.lit(0), F.size(words) - SHINGLE)
-    return F.when(F.size(words) >= SHINGLE, F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))).otherwise(F.array().cast("array<bigint>"))
+    every = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+    return F.when(F.size(words) >= SHINGLE, every).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -108,8 +109,8 @@ def _near(prints: DataFrame, items: DataFrame, radius: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per distinct document (doc_id, text_hash) and item it holds: doc_id, text_hash, item_id, start_word, n_words, similarity.
 
-    The best window is told, of equal ones the first that anchors align. Null and short texts and items (fewer than SHINGLE words) hold and match
-    nothing. Items of equal words are each told; rows of docs that repeat are told once. Null ids are ids like any other. Other columns
+    The best window is told, of equal ones the first that anchors align. An item of fewer than SHINGLE words is one shingle, its whole
+    sequence, and so is a text: they match if they are equal. Null texts and texts without a word hold and match nothing. Items of equal words are each told; rows of docs that repeat are told once. Null ids are ids like any other. Other columns
     are not read. An empty table on either side gives none.
     """
     items, names = _items(benchmark)

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-STEP, MAX_OPEN, LANES = 16, 64, 64
+#: Rows that a lane of a shard numbers, about.
+STEP, MAX_OPEN, LANE = 16, 64, 100_000
 
 
 class Units:
@@ -133,11 +134,12 @@ def shard(docs: DataFrame, n: int = 16) -> DataFrame:
     place = F.lit(0)
     for c in cuts:
         place = place + (F.col("h") >= F.lit(c)).cast("int")
-    # Numbered in lanes, so that no shard is sorted in one task.
-    rows = own.withColumn("shard", place).withColumn("lane", F.pmod(F.xxhash64("doc_id", "h"), F.lit(LANES)).cast("int"))
-    rows = settle(rows)
+    rows = settle(own.withColumn("shard", place))
+    # Numbered in lanes, so that no shard is sorted in one task; the lanes grow with the rows.
+    lanes = max(64, rows.count() // (n * LANE))
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", "h"), F.lit(lanes)).cast("int"))
     before = rows.groupBy("shard", "lane").count().withColumn("before", F.sum("count").over(W.partitionBy("shard").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)))
     before = before.select("shard", "lane", F.coalesce("before", F.lit(0)).alias("before"))
     in_lane = F.row_number().over(W.partitionBy("shard", "lane").orderBy("doc_id", "h")) - 1
-    placed = rows.withColumn("in_lane", in_lane).join(F.broadcast(before), ["shard", "lane"])  # at most n * LANES rows
+    placed = rows.withColumn("in_lane", in_lane).join(F.broadcast(before), ["shard", "lane"])  # a row for LANE documents, about
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("in_lane")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

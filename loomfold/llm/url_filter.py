@@ -1,9 +1,9 @@
 """URL filter: rules by host and path, else a list of canonical URLs behind a blocked Bloom filter.
 
 A listed URL sets one bit in each of eight 64-bit lanes of one 512-bit block, chosen by a first hash; the bits come
-from a second. The filter is a table with a row per block, built by OR, and probed by a join on the block number.
-It has at most MAX_BLOCKS rows (about 5 MB), so broadcasting it is bounded; a list too long for that many blocks
-skips it. Possible hits go to a hash join on the URL itself, which removes false positives.
+from a second. The filter is a table with a row per block, built by OR, and probed by a join on the block number; up to
+MAX_BLOCKS rows (about 5 MB) it is broadcast, beyond that the join is by block. Possible hits go to a hash join on the URL
+itself, which removes false positives.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, ascii_lower, table
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Query parameters that do not change a page.
-TRACKING = r"(^|&)(utm_[^&=]*|ref)(=[^&]*)?"
+#: Names of query parameters that do not change a page.
+TRACKING = r"utm_.*|ref"
 MAX_BLOCKS, BLOCK_BITS, BITS_PER_KEY = 65_536, 512, 20
+#: Bytes of listed URLs up to which they are broadcast.
+MOST_BYTES = 32 << 20
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
@@ -29,9 +31,9 @@ def path(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Host, path without closing slashes, and the query without tracking parameters; null for what has no host."""
-    query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(query, TRACKING, ""), "^&+", "")
+    """Host, path without closing slashes, and the query without tracking and empty parameters; null for what has no host."""
+    given = F.split(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), "&")
+    query = F.array_join(F.filter(given, lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(f"(?s)^({TRACKING})$")), "&")
     return F.when(host(url) != "", F.concat(host(url), F.regexp_replace(path(url), "/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
@@ -57,16 +59,19 @@ def bloom(listed: DataFrame, n_blocks: int) -> DataFrame:
 
 def _is_listed(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """pages (url, ...) with in_list; listed has distinct non-null urls."""
-    n_blocks = -(-listed.count() * BITS_PER_KEY // BLOCK_BITS) or 1
-    hits = listed.withColumn("in_list", F.lit(True))
-    if n_blocks > MAX_BLOCKS:
-        return pages.join(hits, "url", "left").withColumn("in_list", F.coalesce("in_list", F.lit(False)))
-    probed = pages.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(n_blocks))).join(F.broadcast(bloom(listed, n_blocks)), "block", "left")
+    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("url")), F.lit(0))).first()
+    n_blocks = -(-n * BITS_PER_KEY // BLOCK_BITS) or 1
+    blocks, hits = bloom(listed, n_blocks), listed.select(F.col("url").alias("listed_url"), F.lit(True).alias("in_list"))
+    probed = pages.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(n_blocks))).join(F.broadcast(blocks) if n_blocks <= MAX_BLOCKS else blocks.hint("merge"), "block", "left")
     possible = F.col("url").isNotNull() & F.col("block").isNotNull()
     for k, x in enumerate(_lanes(F.col("url"))):
         possible = possible & (F.coalesce(F.col(f"l{k}"), F.lit(0)).bitwiseAND(x) == x)
-    possible = F.coalesce(possible, F.lit(False))
-    checked = probed.filter(possible).select(*pages.columns).join(hits, "url", "left").withColumn("in_list", F.coalesce("in_list", F.lit(False)))
+    possible, told = F.coalesce(possible, F.lit(False)), [*pages.columns, F.coalesce("in_list", F.lit(False)).alias("in_list")]
+    if size <= MOST_BYTES:
+        sought = probed.withColumn("sought", F.when(possible, F.col("url")))
+        return sought.join(F.broadcast(hits), F.col("sought") == F.col("listed_url"), "left").select(*told)
+    # The pages that the filter stops are not shuffled.
+    checked = probed.filter(possible).join(hits, F.col("url") == F.col("listed_url"), "left").select(*told)
     return checked.unionByName(probed.filter(~possible).select(*pages.columns, F.lit(False).alias("in_list")))
 
 
@@ -93,9 +98,10 @@ def query(spark, sf_dir):
 ORACLE_SQL = rf"""
 with p as (
   select page_id, url, translate(coalesce(regexp_extract(url, '{PARTS}', 1), ''), '{UPPER}', '{LOWER}') as host, coalesce(regexp_extract(url, '{PARTS}', 2), '') as path,
-    ltrim(regexp_replace(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '{TRACKING}', '', 'g'), '&') as query
+    case when contains(split_part(url, '#', 1), '?') then substr(split_part(url, '#', 1), strpos(url, '?') + 1) else '' end as given
   from pages),
-c as (select *, case when host <> '' then host || regexp_replace(path, '/+$', '') || case when query <> '' then '?' || query else '' end end as canonical from p),
+q as (select *, array_to_string(list_filter(string_split(given, '&'), lambda x: x <> '' and split_part(x, '=', 1) <> 'ref' and not starts_with(split_part(x, '=', 1), 'utm_')), '&') as query from p),
+c as (select *, case when host <> '' then host || rtrim(path, '/') || case when query <> '' then '?' || query else '' end end as canonical from q),
 r(rule_host, rule_path, decided) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 f as (select page_id, url, max_by(rule_host || rule_path, length(rule_host || rule_path)) as rule, max_by(decided, length(rule_host || rule_path)) as decided
   from c join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by all)

@@ -14,18 +14,18 @@ def dedup_rows():
     base = ["".join(rng.choice("ab \n") for _ in range(n)) for n in (0, 1, 7, 8, 9, 16, 17, 40, 41, 100)]
     rows = [(k, rng.choice(base)) for k in range(80)]
     spaced = [(100 + k, " " + "\t".join(t) + "\x0b") for k, t in enumerate(base)]
-    return [*rows, *spaced, (200, None), (201, ""), (None, base[5]), (3, "another text of the same id"), (4, rows[4][1])]
+    return [*rows, *spaced, (200, None), (201, ""), (None, base[5]), (3, "another text of the same id"), (4, rows[4][1]), (300, "twice told"), (300, "twicetold"), (301, "a bc"), (301, "ab c"), (301, "a bc")]
 
 
 def brute_dedup(rows):
     groups = defaultdict(list)
     norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
     for d, t in rows:
-        groups[norm(t)].append((-len(t or ""), d is None, d or 0, d))
+        groups[norm(t)].append((-len(t or ""), d is None, d or 0, hashlib.sha256((t or "").encode()).digest(), d, t or ""))
     out = []
     for d, t in rows:
-        keep = min(groups[norm(t)])[3]
-        out.append((d, keep, len(groups[norm(t)]), d == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+        keep, text = min(groups[norm(t)])[4:]
+        out.append((d, keep, len(groups[norm(t)]), d == keep and (t or "") == text, hashlib.sha256(norm(t).encode()).hexdigest()))
     return sorted(out, key=str)
 
 

@@ -46,6 +46,15 @@ def test_rotation_renders_every_perspective(spark):
     assert chat.rotate(frame.limit(0)).count() == 0
 
 
+def test_rotation_cuts_parts_of_repeated_and_null_turns(spark):
+    turns = [(1, None, "ann", f"n{k:02}") for k in range(20)] + [(1, 7, "bob", f"b{k:02}") for k in range(19)] + [(None, None, "ann", "x")]
+    turns.append((1, 9, "ann", "long " * 300_000))
+    got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), part=8).filter("conv_id = 1 and speaker = 'ann'").collect()
+    assert max(r["n_turns"] for r in got) == 8
+    text = "".join(r["text"] for r in sorted(got, key=lambda r: (r["part"], r["piece"])))
+    assert text == brute_render(sorted(((-1 if n is None else n, r, t) for c, n, r, t in turns if c == 1)), "ann")[0]
+
+
 def rule(host, path):
     best = max(((h, p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), key=lambda r: len(r[0] + r[1]), default=None)
     return best
@@ -75,7 +84,19 @@ def test_url_rules_and_list(spark):
     assert url_filter.url_filter(pages, listed.limit(0)).filter("listed").count() == 0
 
 
-def test_bloom_filter_loses_nothing(spark):
+def test_only_tracking_parameters_are_dropped(spark):
+    same = ["http://h.com/a?id=7", "http://h.com/a?utm_source=x&id=7&ref=q", "http://h.com/a/?ref&&id=7&utm_#z", "http://h.com/a?id=7&ref="]
+    other = ["http://h.com/a?refid=7", "http://h.com/a?id=7&reference=2", "http://h.com/a?id=7&utm=1", "http://h.com/a?id=7&xref=1", "http://h.com/a?ID=7", "http://h.com/a?id=7&id=7"]
+    pages = spark.createDataFrame(list(enumerate(same + other)), "page_id long, url string")
+    got = url_filter.url_filter(pages, spark.createDataFrame([(same[0],)], "url string")).collect()
+    assert sorted(r["page_id"] for r in got if r["listed"]) == [0, 1, 2, 3]
+    told = {r[0]: r[1] for r in pages.select("page_id", url_filter.canonical(pages["url"])).collect()}
+    assert told[4] == "h.com/a?refid=7" and told[5] == "h.com/a?id=7&reference=2"
+
+
+@pytest.mark.parametrize("most", [1 << 20, -1])
+def test_bloom_filter_loses_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_BYTES", most)
     listed = spark.range(3000).selectExpr("concat('h', id, '.com/p') as url")
     probes = spark.range(20000).selectExpr("concat('h', id, '.com/p') as url")
     got = url_filter._is_listed(probes, listed).filter("in_list").count()
