@@ -1,14 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class, toxic and ordinary, has a model of expressions of one and of two words, told apart by 64-bit hashes. Counts are of
-the distinct texts that have an expression, not of its occurrences. As in Kneser-Ney's models a fixed discount is taken off each count, and what
-that frees is spread by shared counts: of the documents of the whole corpus that have the expression. Counts are document
-frequencies, not continuation counts, and pairs do not back off to words. Expressions that no class has more often than the discount have the same
-ratio, whatever their shared count; only the others are broadcast, as many as the labelled texts make, and the corpus adds none.
-
-A text's evidence is log-likelihood ratios per expression, so that its length does not add up: of its most toxic word, of its three
-most toxic words and of its most toxic pair; over its whole text, with the logarithm of its length, as the largest of
-more ratios is larger by chance. A logistic curve, fitted on labelled texts that the counts have not seen, makes them a score.
+Each class, toxic and ordinary, has an interpolated Kneser-Ney model of adjacent words, told apart by 64-bit hashes. With an absolute
+discount D, P(w | v) = max(n(vw) - D, 0) / n(v) + l(v) P(w), where l(v) is the part of n(v) that the discount frees. P(w) is of continuation
+counts: c(w) distinct words precede w in the class, of c in all, and P(w) = max(c(w) - D, 0) / c + L S(w). The last level S is shared by
+both classes: counts of words in all documents of the corpus, labelled or not, with one added for each distinct word.
+
+D is above 1, so that a pair or a preceding word seen once is left to the level below. What no class has more than once has the ratio of the
+level below, whatever its counts, so the model holds the rest only: as much as the labelled texts make, and the corpus adds none.
+
+A text's evidence is the length-normalised log-likelihood ratio of the whole text, the largest and the three largest ratios of a word P(w), the
+largest of a pair P(w | v), and the logarithm of the length, as the largest of more ratios is larger by chance. A logistic curve, fitted on
+labelled texts that the counts have not seen, makes them a score.
 """
 
 from __future__ import annotations
@@ -22,56 +24,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, table, text_batches
+from .common import free, settle, table, text_batches
 from .language import held_out
 
-#: Bounds of the labelled documents learned from (of smallest hash); expressions that a task holds before it emits them.
+#: Bounds of the labelled documents learned from (of smallest hash); words that a task holds before it emits their counts.
 LABELLED, CALIBRATED, HELD = 200_000, 20_000, 1 << 20
 DISCOUNT, TOP, THRESHOLD = 1.5, 3, 0.3
-EVIDENCE = 4
+EVIDENCE = 5
 NAMES = [f"evidence{k}" for k in range(EVIDENCE)]
 _KEPT = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: What stands before a text's first word.
+BEGIN = 0
+
+
+def words(text: bytes | None) -> np.ndarray:
+    """Hashes of the words of a UTF-8 text, in order; words are runs of letters, digits and non-ASCII, A-Z lower-cased."""
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in (text or b"").lower().translate(_KEPT).split()], np.uint64).view(np.int64)
 
 
-def expressions(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and of the adjacent pairs of a UTF-8 text; words are runs of letters, digits and non-ASCII, A-Z lower-cased."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in (text or b"").lower().translate(_KEPT).split()], np.uint64)
-    z = (h[:-1] * _PRIME) ^ h[1:]
+def before(h: np.ndarray) -> np.ndarray:
+    """The word before each."""
+    return np.concatenate([np.array([BEGIN], np.int64), h[:-1]])[: len(h)]
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    z = (first.view(np.uint64) * _PRIME) ^ second.view(np.uint64)
     z = (z ^ (z >> np.uint64(31))) * _PRIME
-    return h.view(np.int64), (z ^ (z >> np.uint64(29))).view(np.int64)
+    return (z ^ (z >> np.uint64(29))).view(np.int64)
 
 
-class Ratios:
-    """log p(expression | toxic) - log p(expression | ordinary): of the known hashes (sorted), and of all others alike."""
+class Known:
+    """Values of sorted hashes, a row for ordinary and one for toxic; default for any other hash."""
 
-    def __init__(self, known: np.ndarray, counts: np.ndarray, shared: np.ndarray, totals: np.ndarray, freed: np.ndarray):
-        """counts has a row for ordinary and one for toxic, like totals (sums of all counts) and freed (of what is taken off); shared sums to 1 over the corpus."""
-        self.known, self.other, self.values = known, 0.0, np.zeros(len(known), np.float32)
-        if totals.all():
-            logs = [np.log((np.maximum(c - DISCOUNT, 0) + f * shared) / n) for c, n, f in zip(counts, totals, freed, strict=True)]
-            self.values = (logs[1] - logs[0]).astype(np.float32)
-            self.other = float(np.log(freed[1] / totals[1]) - np.log(freed[0] / totals[0]))
+    def __init__(self, known: np.ndarray, values: np.ndarray, default: np.ndarray):
+        order = np.argsort(known)
+        self.known, self.values = known[order], np.c_[values[:, order], default].astype(np.float32)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(h), self.other, np.float32)
-        at = np.searchsorted(self.known, h).clip(0, len(self.known) - 1)
-        return np.where(self.known[at] == h, self.values[at], np.float32(self.other))
+        at = np.searchsorted(self.known, h)
+        missing = len(self.known)
+        if missing:
+            at = np.where(self.known[np.minimum(at, missing - 1)] == h, at, missing)
+        return self.values[:, at]
 
 
 class Model:
-    def __init__(self, words: Ratios, pairs: Ratios):
-        self.words, self.pairs = words, pairs
-        self.weights = np.zeros(EVIDENCE + 1)
+    """P(w) of words, l(v) of the words before, max(n(vw) - D, 0) / n(v) of pairs; None where a class has no text."""
+
+    def __init__(self, levels: tuple[Known, Known, Known] | None):
+        self.levels, self.weights = levels, np.zeros(EVIDENCE + 1)
+
+    def ratios(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(. | toxic) - log P(. | ordinary) of each word alone and after the word before it."""
+        if self.levels is None:
+            return np.zeros(len(h)), np.zeros(len(h))
+        word, freed, pair = self.levels
+        v = before(h)
+        low = word(h).astype(float)
+        high = pair(pair_hash(v, h)) + freed(v) * low
+        return np.log(low[1] / low[0]), np.log(high[1] / high[0])
 
     def evidence(self, text: bytes | None) -> tuple[float, ...]:
-        w, p = expressions(text)
-        if not len(w):
+        h = words(text)
+        if not len(h):
             return (0.0,) * EVIDENCE
-        words = np.sort(self.words(w))[-TOP:]
-        pair = self.pairs(p).max() if len(p) else 0.0
-        return float(words[-1]), float(words.sum() / TOP), float(pair), float(np.log(len(w)))
+        low, high = self.ratios(h)
+        top = np.sort(low)[-TOP:]
+        return float(high.mean()), float(top[-1]), float(top.sum() / TOP), float(high.max()), float(np.log(len(h)))
 
     def calibrate(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
         """Fits the logistic curve by Newton's method, slightly drawn to zero; without both classes it stays at their share."""
@@ -103,61 +123,92 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return settle(with_text.groupBy("h").agg(F.min(F.struct("doc_id", "toxic", "calibrates")).alias("r")).select("r.*").dropDuplicates(["doc_id"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
-    """Fits on docs (doc_id, text) and labels (doc_id, toxic 0 or 1). Of contrary labels of a document, toxic counts."""
-    chosen = _labelled(docs, labels, most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counted = rows.join(F.broadcast(chosen.filter("not calibrates")), "doc_id").select("text", "toxic")  # at most most rows
+def _pairs(texts: DataFrame) -> DataFrame:
+    """(v, w, n0, n1): how often the ordinary and the toxic of texts (text, toxic) have w after v."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh: list[tuple[int, int, np.ndarray]] = []
+        fresh: list[tuple[np.ndarray, int]] = []
 
         def emitted() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
-                own = [[h for k, t, h in fresh if k == kind and t == toxic] for toxic in (0, 1)]
-                both = [np.concatenate([np.empty(0, np.int64), *x]) for x in own]
-                at, back = np.unique(np.concatenate(both), return_inverse=True)
-                n = [np.bincount(x, minlength=len(at)) for x in (back[: len(both[0])], back[len(both[0]) :])]
-                for part in np.array_split(np.arange(len(at)), len(at) // 65_536 + 1):
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), kind, np.int32)), "at": pa.array(at[part]), "n0": pa.array(n[0][part]), "n1": pa.array(n[1][part])})
+            own = [[h for h, t in fresh if t == toxic] for toxic in (0, 1)]
+            w = np.concatenate([np.empty(0, np.int64), *own[0], *own[1]])
+            v = np.concatenate([np.empty(0, np.int64), *map(before, own[0]), *map(before, own[1])])
+            _, first, back = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
+            cut = sum(map(len, own[0]))
+            n = [np.bincount(x, minlength=len(first)) for x in (back[:cut], back[cut:])]
             fresh.clear()
+            for part in np.array_split(np.arange(len(first)), len(first) // 65_536 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[first[part]], w[first[part]], n[0][part], n[1][part])], ["v", "w", "n0", "n1"])
 
         for batch in batches:
             for text, toxic in zip(batch.column("text").cast(pa.binary()), batch.column("toxic").to_pylist(), strict=True):
-                fresh += [(k, int(bool(toxic)), np.unique(h)) for k, h in enumerate(expressions(text.as_py()))]
-            if sum(len(h) for _, _, h in fresh) > HELD:
+                fresh.append((words(text.as_py()), int(bool(toxic))))
+            if sum(len(h) for h, _ in fresh) > HELD:
                 yield from emitted()
         yield from emitted()
 
-    counts = settle(text_batches(counted).mapInArrow(count, "kind int, at long, n0 long, n1 long").groupBy("kind", "at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"f{c[1]}") for c in ("n0", "n1")]).collect()}
-    known = [counts.filter((F.col("kind") == k) & (F.greatest("n0", "n1") > DISCOUNT)).select("at", "n0", "n1").toArrow().sort_by("at") for k in (0, 1)]
-    shared = docs.sparkSession.sparkContext.broadcast([t.column("at").to_numpy() for t in known])
+    return settle(text_batches(texts).mapInArrow(count, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+
+
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(w, n) of every word of every row of texts (text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh: list[np.ndarray] = []
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            w, n = np.unique(np.concatenate([np.empty(0, np.int64), *fresh]), return_counts=True)
+            fresh.clear()
+            for part in np.array_split(np.arange(len(w)), len(w) // 65_536 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(w[part]), pa.array(n[part])], ["w", "n"])
 
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last of each is the number of all expressions.
-        found = [np.zeros(len(h) + 1, np.int64) for h in shared.value]
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                for h, n, own in zip(shared.value, found, map(np.unique, expressions(text.as_py())), strict=True):
-                    n[-1] += len(own)
-                    if len(h):
-                        at = np.searchsorted(h, own).clip(0, len(h) - 1)
-                        n[at[h[at] == own]] += 1
-        for kind, n in enumerate(found):
-            at = np.flatnonzero(n)
-            for part in np.array_split(at, len(at) // 65_536 + 1):
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), kind, np.int32)), "at": pa.array(part), "n": pa.array(n[part])})
-
-    of_all = settle(text_batches(rows.select("text")).mapInArrow(share, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")))
-    ratios = []
-    for kind, t in enumerate(known):
-        n, own = np.zeros(t.num_rows + 1), of_all.filter(F.col("kind") == kind).select("at", "n").toArrow()
-        n[own.column("at").to_numpy()] = own.column("n").to_numpy()
-        r = sums.get(kind)
-        totals, freed = (np.array([float(r[f"{c}{k}"] or 0) if r else 0.0 for k in (0, 1)]) for c in "nf")
-        ratios.append(Ratios(t.column("at").to_numpy(), np.array([t.column("n0").to_numpy(), t.column("n1").to_numpy()]), n[:-1] / max(1, n[-1]), totals, freed))
-    model = Model(*ratios)
+            fresh += [words(text.as_py()) for text in batch.column("text").cast(pa.binary())]
+            if sum(map(len, fresh)) > HELD:
+                yield from emitted()
+        yield from emitted()
+
+    return settle(text_batches(texts).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+
+
+def _levels(pairs: DataFrame, corpus: DataFrame) -> tuple[Known, Known, Known] | None:
+    """The three levels from pairs (v, w, n0, n1) and the shared counts (w, n) of the whole corpus."""
+    both, off = ("0", "1"), lambda c: F.least(F.col(c), F.lit(DISCOUNT))
+    again = F.max(F.greatest("n0", "n1")).alias("most")
+    follows = settle(pairs.groupBy("w").agg(*[F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"c{k}") for k in both], again))
+    totals = follows.agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in both], *[F.sum(off(f"c{k}")).alias(f"f{k}") for k in both]).first()
+    c, f = (np.array([float(totals[f"{x}{k}"] or 0) for k in both]) for x in "cf")
+    if not c.all():
+        return None
+    sums = corpus.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    share = 1.0 / (sums["n"] + sums["v"])
+    column = lambda t, name: t.column(name).to_numpy().astype(float)
+    known = follows.filter(f"greatest(c0, c1) > {DISCOUNT} or most > {DISCOUNT}").join(corpus, "w").select("w", "c0", "c1", "n").toArrow()
+    shared = (column(known, "n") + 1) * share
+    word = [(np.maximum(column(known, f"c{k}") - DISCOUNT, 0) + f[int(k)] * shared) / c[int(k)] for k in both]
+    after = settle(pairs.groupBy("v").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in both], *[F.sum(off(f"n{k}")).alias(f"f{k}") for k in both], again).filter(f"most > {DISCOUNT}"))
+    context = after.toArrow()
+    freed = [np.divide(column(context, f"f{k}"), column(context, f"n{k}"), out=np.ones(len(context)), where=column(context, f"n{k}") > 0) for k in both]
+    taken = pairs.filter(f"greatest(n0, n1) > {DISCOUNT}").join(after.select("v", F.col("n0").alias("all0"), F.col("n1").alias("all1")), "v")
+    found = taken.select("v", "w", *[F.coalesce(F.try_divide(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)), F.col(f"all{k}")), F.lit(0.0)).alias(f"p{k}") for k in both]).toArrow()
+    key = pair_hash(found.column("v").to_numpy(), found.column("w").to_numpy())
+    free(follows, after)
+    # Of a word that is not known only the ratio counts, not how common it is.
+    return (
+        Known(known.column("w").to_numpy(), np.array(word), f / c * share),
+        Known(context.column("v").to_numpy(), np.array(freed), np.ones(2)),
+        Known(key, np.array([column(found, f"p{k}") for k in both]), np.zeros(2)),
+    )
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
+    """Fits on docs (doc_id, text) and labels (doc_id, toxic 0 or 1). Of contrary labels of a document, toxic counts."""
+    chosen = _labelled(docs, labels, most)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    pairs = _pairs(rows.join(F.broadcast(chosen.filter("not calibrates")), "doc_id").select("text", "toxic"))  # at most most rows
+    corpus = _word_counts(rows.select("text"))
+    model = Model(_levels(pairs, corpus))
+    free(pairs, corpus)
     judged = docs.join(F.broadcast(chosen.filter("calibrates").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATED)), "doc_id").select("doc_id", "text", "toxic")
     seen = _with_evidence(judged, model).select("toxic", *NAMES).toPandas()
     model.calibrate(seen[NAMES].to_numpy(float).reshape(-1, EVIDENCE), seen["toxic"].to_numpy(float))
