@@ -283,8 +283,8 @@ def hopkins_quality(x: np.ndarray, seed: int = 0) -> float:
     x, rng = np.asarray(x, float), np.random.default_rng(seed)
     n, p = x.shape
     m = min(50, n // 2)
-    if m < 1:
-        return 0.0
+    if n < 3:
+        return 1.0
     points = rng.uniform(x.min(axis=0), x.max(axis=0), (m, p))
     u = np.sqrt(((points[:, None] - x) ** 2).sum(axis=2)).min(axis=1) ** p
     d = distances(x[rng.choice(n, m, replace=False)][:, :]) if m == n else np.sqrt(((x[rng.choice(n, m, replace=False)][:, None] - x) ** 2).sum(axis=2))

@@ -135,7 +135,8 @@ def evaluate_population(points: DataFrame, population: DataFrame, boots: DataFra
     """Every candidate on every resample: (ind, boot, view, id, label, score), the fused result as view ``final``.
 
     points (id, view, x) is small and goes to every task; population has ind, k_<view>, linkage_<view>, k_final, pre_linkage
-    and fusion; boots (boot, id) names the subjects of each resample. A candidate that fails yields no rows.
+    and fusion; boots (boot, id) names the subjects of each resample. A candidate that fails on a resample yields one row of view ``failed``, without
+    id, label and score; completed() tells which to keep.
     """
     data = {(r["view"], r["id"]): r["x"] for r in points.collect()}  # the subjects of a study, by contract some thousands
     shared = points.sparkSession.sparkContext.broadcast(data)
@@ -150,6 +151,7 @@ def evaluate_population(points: DataFrame, population: DataFrame, boots: DataFra
                     x = {v: np.array([shared.value[v, i] for i in ids], float) for v in views}
                     found = multi_view(x, {v: r[f"k_{v}"] for v in views}, r["k_final"], {v: r[f"linkage_{v}"] for v in views}, r["pre_linkage"], r["fusion"], least)
                 except Exception:
+                    out.append(pd.DataFrame({"ind": [r["ind"]], "boot": [r["boot"]], "view": ["failed"], "id": pd.array([None], "Int64"), "label": pd.array([None], "Int64"), "score": [float("nan")]}))
                     continue
                 for v, labels, score in [*((v, found["labels"][v], found["view_scores"][v]) for v in views), ("final", found["final"], found["score"])]:
                     out.append(pd.DataFrame({"ind": r["ind"], "boot": r["boot"], "view": v, "id": ids, "label": labels.astype("int64"), "score": score}))
@@ -160,6 +162,12 @@ def evaluate_population(points: DataFrame, population: DataFrame, boots: DataFra
     return grid.repartition(n, "ind", "boot").mapInPandas(run, "ind long, boot long, view string, id long, label long, score double")
 
 
+def completed(labels: DataFrame, most_failed: float = 0.1) -> DataFrame:
+    """The label rows of candidates of which at most a share of resamples failed, without the rows that tell of failures."""
+    runs = labels.groupBy("ind", "boot").agg(F.max((F.col("view") == "failed").cast("int")).alias("failed")).groupBy("ind").agg(F.avg("failed").alias("share"))
+    return labels.filter("view <> 'failed'").join(runs.filter(F.col("share") <= most_failed).select("ind"), "ind", "left_semi")
+
+
 def consensus_clusters(consensus: DataFrame, ids: DataFrame, k: int, linkage: str = "average") -> DataFrame:
     """(id, label): linkage of 1 - consensus over all ids, cut at k; pairs never seen together count as 0."""
     rows = ids.select(F.col("id").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(0.0).alias("m")).unionByName(consensus.select("i", "j", "m"))
@@ -177,8 +185,9 @@ def consensus_clusters(consensus: DataFrame, ids: DataFrame, k: int, linkage: st
     return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(run, "id long, label long")  # one dense matrix, by definition
 
 
-def cophenetic_correlation(consensus: DataFrame) -> DataFrame:
-    """One row: correlation of 1 - consensus with the heights of its average linkage."""
+def cophenetic_correlation(consensus: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ccc): correlation of 1 - consensus with the heights of its average linkage; a dense matrix of a study's subjects for each key."""
+    keys = keys or []
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(own[["i", "j"]].to_numpy())
@@ -188,6 +197,7 @@ def cophenetic_correlation(consensus: DataFrame) -> DataFrame:
         upper = np.triu_indices(len(names), 1)
         c = kernels.cophenetic(kernels.linkage(1 - m), len(names))[upper]
         d = (1 - m)[upper]
-        return pd.DataFrame({"ccc": [float(np.corrcoef(c, d)[0, 1]) if c.std() > 0 and d.std() > 0 else 0.0]})
+        return own[keys].head(1).assign(ccc=[float(np.corrcoef(c, d)[0, 1]) if c.std() > 0 and d.std() > 0 else 0.0])
 
-    return consensus.groupBy(F.lit(0).alias("_all")).applyInPandas(run, "ccc double")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in consensus.select(*keys).schema)
+    return consensus.groupBy(*(keys or [F.lit(0).alias("_all")])).applyInPandas(run, f"{schema}ccc double")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.store import stored
 
@@ -84,7 +85,9 @@ def knn_impute(long: DataFrame, k: int = 7, reference: DataFrame | None = None)
     needy = long.filter("value is null").select("id").distinct()
     known = long.join(needy, "id", "left_semi").filter("value is not null")
     p = long.select("feature").distinct().count()
-    near = known.join(donors.filter("other is not null"), "feature")
+    # A row meets one block of the donors in a task, so that a few features are many tasks.
+    block = F.pmod(F.xxhash64("donor"), F.lit(16)).cast("int").alias("block")
+    near = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))).join(donors.filter("other is not null").select("*", block), ["feature", "block"])
     if reference is None:
         near = near.filter("id <> donor")
     near = near.groupBy("id", "donor").agg(F.sqrt(F.lit(float(p)) / F.count(F.lit(1)) * F.sum(F.pow(F.col("value") - F.col("other"), 2))).alias("distance"))
@@ -94,7 +97,7 @@ def knn_impute(long: DataFrame, k: int = 7, reference: DataFrame | None = None)
     filled = offers.withColumn("r", rank).filter(F.col("r") <= k).groupBy("id", "feature").agg(F.avg("other").alias("filled"))
     means = donors.groupBy("feature").agg(F.avg("other").alias("mean"))
     alive = long.groupBy("id").agg(F.count("value").alias("has"))
-    joined = long.join(filled, ["id", "feature"], "left").join(means, "feature").join(alive, "id")
+    joined = long.join(filled, ["id", "feature"], "left").join(means, "feature", "left").join(alive, "id")
     return joined.select("id", "feature", F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("has") > 0, F.coalesce("filled", "mean")).alias("value"))
 
 
@@ -108,6 +111,42 @@ def fit_ordinal(long: DataFrame, specs: DataFrame) -> DataFrame:
     return chosen.join(codes, "set_id").select("feature", "level", "code")
 
 
+def dummy_code(df: DataFrame, id_col: str, specs: DataFrame, frozen: dict | None = None) -> tuple[DataFrame, dict]:
+    """(df with numbers only, what was fitted): dates as nanoseconds, logicals as 0 and 1, text by the first label set of specs that has all its
+    levels (set_id, level, code), other text as indicators of all levels but the first and of null.
+
+    specs is a parameter: a table of label sets, in order of set_id. With frozen the same columns result for other rows; unknown levels
+    have no indicator and no code.
+    """
+    kinds = {f.name: f.dataType for f in df.schema if f.name != id_col}
+    text = [c for c, k in kinds.items() if isinstance(k, T.StringType)]
+    if frozen is None:
+        frozen = {"codes": {}, "levels": {}}
+        if text:
+            long = df.select(*text).unpivot([], text, "feature", "value").filter("value is not null")
+            for r in fit_ordinal(long, specs).collect():  # rows of a label set for each coded column
+                frozen["codes"].setdefault(r["feature"], {})[r["level"]] = float(r["code"])
+            rest = [c for c in text if c not in frozen["codes"]]
+            for c in rest:
+                frozen["levels"][c] = []
+            # Levels become columns, so they are few by what they are for.
+            for r in long.filter(F.col("feature").isin(rest)).distinct().orderBy("feature", "value").collect():
+                frozen["levels"][r["feature"]].append(r["value"])
+
+    def number(c: str) -> list[Column]:
+        if c in frozen["codes"]:
+            pairs = [F.lit(x) for pair in frozen["codes"][c].items() for x in pair]
+            return [F.element_at(F.create_map(*pairs), F.col(c).cast("string")).alias(c)]
+        if c in frozen["levels"]:
+            hot = [F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in frozen["levels"][c][1:]]
+            return [*hot, F.col(c).isNull().cast("int").alias(f"{c}_nan")]
+        if isinstance(kinds[c], (T.DateType, T.TimestampType)):
+            return [(F.unix_micros(F.col(c).cast("timestamp")) * F.lit(1000)).alias(c)]
+        return [F.col(c).cast("int").alias(c) if isinstance(kinds[c], T.BooleanType) else F.col(c)]
+
+    return df.select(id_col, *[n for c in kinds for n in number(c)]), frozen
+
+
 def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
     """Indicator columns of all levels but the first, and one for null; levels are a frozen, sorted list."""
     hot = {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in levels[1:]}
@@ -148,3 +187,22 @@ def pca(points: DataFrame, k: int):
     centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(own).transform(own)
     model = PCA(k=k, inputCol="_c", outputCol="_s").fit(centred)
     return model.transform(centred).withColumn("scores", vector_to_array("_s")).drop("_v", "_c", "_s"), model.explainedVariance.toArray(), model.pc.toArray()
+
+
+def as_matrix(df: DataFrame, id_col: str, columns: list[str] | None = None) -> DataFrame:
+    """(id, x): the columns, in order, as one array of doubles."""
+    columns = columns or [c for c in df.columns if c != id_col]
+    return df.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+
+
+def concat_views(views: list[DataFrame]) -> DataFrame:
+    """(id, x): arrays of several views (id, x) one after another, for ids that all have."""
+    out = views[0]
+    for k, v in enumerate(views[1:]):
+        out = out.join(v.select("id", F.col("x").alias(f"x{k}")), "id").select("id", F.concat("x", f"x{k}").alias("x"))
+    return out
+
+
+def pca_by_view(views: dict[str, DataFrame], most: int = 50) -> dict[str, tuple]:
+    """pca of each view (id, x), of at most so many components and no more than the view has features."""
+    return {name: pca(df, min(most, df.select(F.max(F.size("x"))).first()[0])) for name, df in views.items()}

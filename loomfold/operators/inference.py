@@ -117,6 +117,25 @@ def monte_carlo_chi2(df: DataFrame, id_col: str, group: str, level: str, n: int,
     return null.crossJoin(F.broadcast(seen)).groupBy("chi2").agg(p.alias("p"))  # one row
 
 
+def monte_carlo_by(df: DataFrame, id_col: str, stratum: str, group: str, level: str, n: int, families: list[str] | None = None, seed: object = "mc") -> DataFrame:
+    """(families, stratum, chi2, p, q): Monte-Carlo chi-square within each stratum, all strata at once, and FDR within each family of strata.
+
+    A stratum with one group or one level has no test: p and q are null.
+    """
+    keys = [*(families or []), stratum]
+    own = df.select(F.col(id_col).alias("_id"), *keys, F.col(group).alias("group"), F.col(level).alias("level")).filter("group is not null and level is not null")
+    many = own.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_key", F.concat_ws(":", *keys, "_id", "_b"))
+    to = ranked(many.select("_key", *keys, "_b", "level"), hash_key("here", "_key"), ["_key"], [*keys, "_b"])
+    of = ranked(many.select("_key", *keys, "_b", "group"), hash_key(seed, "_key"), ["_key"], [*keys, "_b"])
+    dealt = to.select(*keys, "_b", "rank", "level").join(of.select(*keys, "_b", "rank", "group"), [*keys, "_b", "rank"])
+    null = chi_square(dealt.select(F.struct(*keys, "_b").alias("variable"), "group", "level")).select("variable.*", F.col("chi2").alias("null_chi2"), "df")
+    seen = chi_square(own.select(F.struct(*keys).alias("variable"), "group", "level")).select("variable.*", "chi2", "df")
+    p = (F.sum((F.col("null_chi2") >= F.col("chi2") - 1e-9).cast("int")) + 1.0) / (F.count("null_chi2") + 1.0)
+    tests = seen.filter("df > 0").join(null.drop("df"), keys).groupBy(*keys, "chi2").agg(p.alias("p"))
+    out = seen.select(*keys).join(tests, keys, "left")
+    return bh(out, "p", families, ties=[stratum])
+
+
 def group_table(df: DataFrame, group: str, values: list[str]) -> DataFrame:
     """(variable, level of the comparison or null for all rows, n, mean, sd): group columns and the overall one in one pass."""
     long = df.unpivot([group], values, "variable", "value").select("variable", F.col(group).alias("level"), F.col("value").cast("double").alias("value"))

@@ -8,64 +8,107 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .resample import permute
+
 
 def distance(a: str | Column, b: str | Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    """(id, s): from mean distances to one's own and the nearest other cluster; 0 in a cluster of one. Looks at all pairs, by definition."""
-    sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    others = points.select(F.col("id").alias("other"), F.col("label").alias("cluster"), F.col("x").alias("y"))
-    sums = points.join(others, F.col("id") != F.col("other")).groupBy("id", "label", "cluster").agg(F.avg(distance("x", "y")).alias("mean"))
-    own, near = F.max(F.when(F.col("cluster") == F.col("label"), F.col("mean"))), F.min(F.when(F.col("cluster") != F.col("label"), F.col("mean")))
-    both = sums.groupBy("id", "label").agg(own.alias("a"), near.alias("b")).join(sizes, "label")
+def silhouette(points: DataFrame, keys: list[str] | None = None, blocks: int = 32) -> DataFrame:
+    """(keys, id, s): from mean distances to one's own and the nearest other cluster; 0 in a cluster of one.
+
+    Looks at all pairs of a point set, by definition. They are formed block by block: a point meets one block of the others in a task, and
+    sums of distances leave it, so the pairs spread over blocks and are never written.
+    """
+    keys = keys or []
+    sizes = points.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("size"))
+    left = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("label", "own")
+    right = points.select(*keys, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("id").alias("other"), F.col("label").alias("cluster"), F.col("x").alias("y"))
+    sums = left.join(right, [*keys, "block"]).filter("id <> other").groupBy(*keys, "id", "own", "cluster").agg(F.avg(distance("x", "y")).alias("mean"))
+    own, near = F.max(F.when(F.col("cluster") == F.col("own"), F.col("mean"))), F.min(F.when(F.col("cluster") != F.col("own"), F.col("mean")))
+    both = sums.groupBy(*keys, "id", F.col("own").alias("label")).agg(own.alias("a"), near.alias("b")).join(sizes, [*keys, "label"])
     s = F.when((F.col("size") == 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return both.select("id", s.alias("s"))
+    return both.select(*keys, "id", s.alias("s"))
+
 
+def silhouette_score(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return silhouette(points, keys).groupBy(*(keys or [])).agg(((F.avg("s") + 1.0) / 2.0).alias("silhouette"))
 
-def silhouette_score(points: DataFrame) -> DataFrame:
-    return silhouette(points).agg(((F.avg("s") + 1.0) / 2.0).alias("silhouette"))
 
+def _long(points: DataFrame, keys: list[str]) -> DataFrame:
+    return points.select(*keys, "id", "label", F.posexplode("x").alias("k", "v"))
 
-def _long(points: DataFrame) -> DataFrame:
-    return points.select("id", "label", F.posexplode("x").alias("k", "v"))
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    return left.join(right, keys) if keys else left.crossJoin(right)  # without keys, one row each
 
-def calinski_harabasz(points: DataFrame) -> DataFrame:
+
+def calinski_harabasz(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Between- over within-cluster variance, as c / (c + 1); linear in the points."""
-    rows = _long(points)
-    by_cluster = rows.groupBy("label", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("centre"), F.var_pop("v").alias("var"))
-    overall = rows.groupBy("k").agg(F.avg("v").alias("mean"))
-    sums = by_cluster.join(overall, "k").agg(
+    keys = keys or []
+    rows = _long(points, keys)
+    by_cluster = rows.groupBy(*keys, "label", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("centre"), F.var_pop("v").alias("var"))
+    overall = rows.groupBy(*keys, "k").agg(F.avg("v").alias("mean"))
+    sums = by_cluster.join(overall, [*keys, "k"]).groupBy(*keys).agg(
         F.sum(F.col("n") * F.pow(F.col("centre") - F.col("mean"), 2)).alias("between"), F.sum(F.col("n") * F.col("var")).alias("within"), F.count_distinct("label").alias("k"), (F.sum("n") / F.count_distinct("k")).alias("n")
     )
     c = F.try_divide(F.col("between") * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1))
-    return sums.select(F.coalesce(c / (c + 1.0), F.lit(0.0)).alias("calinski_harabasz"))
+    return sums.select(*keys, F.coalesce(c / (c + 1.0), F.lit(0.0)).alias("calinski_harabasz"))
 
 
-def centroids(points: DataFrame) -> DataFrame:
-    """(label, centre) in the order of features."""
-    means = _long(points).groupBy("label", "k").agg(F.avg("v").alias("v"))
-    return means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("centre"))  # one entry per feature
+def centroids(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, label, centre) in the order of features."""
+    keys = keys or []
+    means = _long(points, keys).groupBy(*keys, "label", "k").agg(F.avg("v").alias("v"))
+    return means.groupBy(*keys, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("centre"))  # one entry per feature
 
 
-def davies_bouldin(points: DataFrame) -> DataFrame:
+def davies_bouldin(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean over clusters of the worst ratio of spread to separation, as 1 / (1 + d)."""
-    centres = centroids(points)
-    spread = points.join(centres, "label").groupBy("label").agg(F.avg(distance("x", "centre")).alias("spread")).join(centres, "label")
-    left, right = (spread.select(F.col("label").alias(a + "l"), F.col("spread").alias(a + "s"), F.col("centre").alias(a + "c")) for a in "pq")
+    keys = keys or []
+    centres = centroids(points, keys)
+    spread = points.join(centres, [*keys, "label"]).groupBy(*keys, "label").agg(F.avg(distance("x", "centre")).alias("spread")).join(centres, [*keys, "label"])
+    left, right = (spread.select(*keys, F.col("label").alias(a + "l"), F.col("spread").alias(a + "s"), F.col("centre").alias(a + "c")) for a in "pq")
     ratio = F.coalesce(F.try_divide(F.col("ps") + F.col("qs"), distance("pc", "qc")), F.lit(0.0))
-    worst = left.join(right, F.col("pl") != F.col("ql")).groupBy("pl").agg(F.max(ratio).alias("worst"))
-    return worst.agg((1.0 / (1.0 + F.coalesce(F.avg("worst"), F.lit(0.0)))).alias("davies_bouldin"))
+    other = F.col("pl") != F.col("ql")
+    both = left.join(right, keys).filter(other) if keys else left.join(right, other)  # clusters by clusters
+    worst = both.groupBy(*keys, "pl").agg(F.max(ratio).alias("worst"))
+    return worst.groupBy(*keys).agg((1.0 / (1.0 + F.coalesce(F.avg("worst"), F.lit(0.0)))).alias("davies_bouldin"))
 
 
-def composite(points: DataFrame) -> DataFrame:
-    """The three indices and their mean, in one row."""
-    row = silhouette_score(points).crossJoin(calinski_harabasz(points)).crossJoin(davies_bouldin(points))  # one row each
+def composite(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, the three indices and their mean ``quality``), a row for each point set."""
+    keys = keys or []
+    row = _joined(_joined(silhouette_score(points, keys), calinski_harabasz(points, keys), keys), davies_bouldin(points, keys), keys)
     return row.withColumn("quality", (F.col("silhouette") + F.col("calinski_harabasz") + F.col("davies_bouldin")) / 3.0)
 
 
+def component_table(spaces: dict[str, DataFrame]) -> DataFrame:
+    """(space, component, value) of the indices of the same labels in several spaces: features, consensus, ..."""
+    out = None
+    for name, points in spaces.items():
+        one = composite(points).unpivot([], ["silhouette", "calinski_harabasz", "davies_bouldin", "quality"], "component", "value").select(F.lit(name).alias("space"), "component", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def permutation_p(points: DataFrame, n: int, seed: object = "quality", statistic: str = "quality", labels=None) -> DataFrame:
+    """(observed, null_mean, null_sd, p) of an index against n data sets whose columns are permuted independently of each other.
+
+    labels, if given, clusters the permuted data anew: a function from (perm, id, x) to (perm, id, label); else labels stay as they are.
+    """
+    rows = _long(points, []).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("key", F.concat_ws(":", "perm", "k", "id"))
+    dealt = permute(rows, "key", "v", seed, ["perm", "k"]).groupBy("perm", "id", "label")
+    null = dealt.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "permuted"))), lambda e: e["permuted"]).alias("x"))  # one entry per feature
+    if labels is not None:
+        null = null.drop("label").join(labels(null.select("perm", "id", "x")), ["perm", "id"])
+    scores = composite(null, ["perm"]).select("perm", F.col(statistic).alias("null"))
+    seen = composite(points).select(F.col(statistic).alias("observed"))
+    p = (F.sum((F.col("null") >= F.col("observed") - 1e-12).cast("int")) + 1.0) / (F.count("null") + 1.0)
+    return scores.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.avg("null").alias("null_mean"), F.stddev_pop("null").alias("null_sd"), p.alias("p"))  # one row
+
+
 def compactness(distances: DataFrame) -> DataFrame:
     """1 - (mean - least) / (most - least) of pair distances (d)."""
     spread = F.try_divide(F.avg("d") - F.min("d"), F.max("d") - F.min("d"))

@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .resample import permute
+
+#: Blocks of ids that pairs are formed with.
+BLOCKS = 16
+
 
 def pairs(n: Column) -> Column:
     return n.cast("double") * (n.cast("double") - 1.0) / F.lit(2.0)
@@ -61,13 +66,13 @@ def stability(labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def co_association(labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, i, j, m) for i < j together in some resample: the share of those in which both are in one cluster.
 
-    Quadratic in the ids of a resample by definition; resamples and keys spread it, and a bucket of i with them.
+    Quadratic in the ids of a resample by definition; an id meets one block of the others in a task, so that a resample spreads over blocks.
     """
     keys = keys or []
     one = majority_vote(labels, [*keys, "boot", "id"], "label")
-    left = one.select(*keys, "boot", F.col("id").alias("i"), F.col("label").alias("a"))
-    right = one.select(*keys, "boot", F.col("id").alias("j"), F.col("label").alias("b"))
-    both = left.join(right, [*keys, "boot"]).filter("i < j")
+    left = one.select(*keys, "boot", F.col("id").alias("i"), F.col("label").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    right = one.select(*keys, "boot", F.col("id").alias("j"), F.col("label").alias("b"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block"))
+    both = left.join(right, [*keys, "boot", "block"]).filter("i < j")
     return both.groupBy(*keys, "i", "j").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("m"))
 
 
@@ -101,3 +106,13 @@ def certainty(consensus: DataFrame, labels: DataFrame, least: float = 0.60) -> D
     top = means.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.round("mean", 12)).alias("less"), "cluster"))).alias("top"))  # one entry per cluster
     best, second = -F.col("top")[0]["less"], F.coalesce(-F.get("top", F.lit(1))["less"], F.lit(0.0))
     return top.select("id", F.col("top")[0]["cluster"].alias("best_cluster"), best.alias("best"), second.alias("second"), (best - second).alias("margin"), (best < least).alias("uncertain"))
+
+
+def permutation_p(labels: DataFrame, n: int, seed: object = "null") -> DataFrame:
+    """(observed, p): mean agreement (ARI) of the resamples against n sets of labels permuted within each resample."""
+    base = stability(labels).agg(F.avg("ari").alias("observed"))
+    many = labels.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("key", F.concat_ws(":", "perm", "boot", "id"))
+    null = permute(many, "key", "label", seed, ["perm", "boot"]).select("perm", "boot", "id", F.col("permuted").alias("label"))
+    null = stability(null, ["perm"]).groupBy("perm").agg(F.avg("ari").alias("ari"))
+    p = (F.sum((F.col("ari") >= F.col("observed") - 1e-12).cast("int")) + 1.0) / (F.count(F.lit(1)) + 1.0)
+    return null.crossJoin(F.broadcast(base)).groupBy("observed").agg(p.alias("p"))  # one row

@@ -19,9 +19,9 @@ def values(spark, schema, *rows):
 
 
 #: A small dictionary.
-DICTIONARY = [("size", "1=tiny;2=small;3=medium"), ("brand", "0 = no; 1 = yes; -900=missing;-9=unknown"), ("free", None), ("one", "1=only")]
-NOTES_SQL = "n(name, notes) as (values ('size', '1=tiny;2=small;3=medium'), ('brand', '0 = no; 1 = yes; -900=missing;-9=unknown'), ('free', null), ('one', '1=only'))"
-CODES_SQL = "c as (select name, regexp_extract(p, '^(-?\\d+)', 1) as code, trim(regexp_extract(p, '=(.*)$', 1)) as label from (select name, trim(unnest(string_split(regexp_replace(notes, ';?\\s*-900\\s*=.*$', ''), ';'))) as p from n where notes is not null) where regexp_matches(p, '^-?\\d+\\s*=\\s*\\S')), k as (select *, count(*) over (partition by name) as n_codes from c)"
+DICTIONARY = [("size", "1=tiny;2=small;3=medium"), ("brand", "0 = no; 1 = yes; -900=missing;-9=unknown"), ("free", None), ("one", "1=only"), ("seg", "BUILDING=B; HOUSEHOLD = H;note"), ("none", "-9=a;-3=b")]
+NOTES_SQL = "n(name, notes) as (values ('size', '1=tiny;2=small;3=medium'), ('brand', '0 = no; 1 = yes; -900=missing;-9=unknown'), ('free', null), ('one', '1=only'), ('seg', 'BUILDING=B; HOUSEHOLD = H;note'), ('none', '-9=a;-3=b'))"
+CODES_SQL = "c as (select name, trim(split_part(p, '=', 1)) as code, trim(split_part(p, '=', 2)) as label from (select name, unnest(string_split(case when strpos(notes, '-900') > 0 then left(notes, strpos(notes, '-900') - 1) else notes end, ';')) as p from n) where contains(p, '=')), k as (select *, count(*) over (partition by name) as n_codes, bool_and(code in ('-900', '-300', '-7', '-998', '-997', '-9', '-3')) over (partition by name) as uncoded from c)"
 
 
 def notes(s):
@@ -29,9 +29,10 @@ def notes(s):
 
 
 def recoded(s, d):
+    """Whole maps, one that is whole but for missing codes, and one with a value left over."""
     codes = clean.parse_notes(notes(s))
-    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3 + 1).cast("string").alias("size"), (F.col("p_size") % 4).cast("string").alias("brand"))
-    return clean.recode(p.unpivot(["id"], ["size", "brand"], "name", "value").select("name", "id", "value"), codes)
+    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr("case when p_partkey % 9 = 0 then '-9' when p_partkey % 10 = 0 then null else cast(p_size % 3 + 1 as string) end").alias("size"), (F.col("p_size") % 4).cast("string").alias("brand"), F.lit("BUILDING").alias("seg"))
+    return clean.recode(p.unpivot(["id"], ["size", "brand", "seg"], "name", "value").select("name", "id", "value"), codes)
 
 
 def gappy_events(s, d):
@@ -39,10 +40,27 @@ def gappy_events(s, d):
 
 
 GAPPY_SQL = "e as (select event_id, case when event_id % 7 = 0 then null else value end as a, case when event_id % 2 = 0 then null else user_id end as b, case when event_id % 3 = 0 then null else event_type end as c from events)"
-UNITS = [(1, 98.6, "F"), (2, 36.5, "C"), (3, 70.25, "inches"), (4, 180.5, "cm"), (5, 150.75, "lbs"), (6, 70.5, None)]
 FILES = [("/r/a_01.02.2023.csv",), ("/r/a_13.01.2024.csv",), ("/r/b_05.05.2022.csv",), ("/r/csv/7/part-1.csv",), ("/r/csv/9/part-1.csv",), ("/r/basetable/a_01.01.2025.csv",), ("/r/csv/part-2.csv",)]
 
 
+def units(s, d):
+    at = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("temp"), at("F", "°F", "deg fahrenheit", "Celsius", "FAH", None).alias("temp_unit"), F.col("o_totalprice").alias("height"), at("in", "Inches", "internal", "cm", "2 in", "line").alias("height_unit"), F.col("o_totalprice").alias("weight"), at("lbs", "Pounds", "kg", "LB", "g", None).alias("weight_unit"))
+    return rounded(clean.standardise(o, {"temperature": ("temp", "temp_unit"), "height": ("height", "height_unit"), "weight": ("weight", "weight_unit")}), 6, "temp", "height", "weight")
+
+
+def typed(s, d):
+    c = table(s, d, "customer").select("c_acctbal", "c_mktsegment", (F.col("c_nationkey") % 2).alias("flag"), (F.col("c_nationkey") % 3).alias("three"), (F.col("c_custkey") > 5).alias("logical"), F.lit("same").alias("single"), F.when(F.col("c_nationkey") > 4, "a").otherwise("b").alias("two"), F.lit(None).cast("double").alias("none"), F.when(F.col("c_nationkey") > 4, 3).otherwise(7).alias("far"))
+    return clean.variable_types(c, c.columns)
+
+
+LEVEL = "case p_brand when 'Brand#11' then (case when p_size % 2 = 0 then 'high' else 'Low' end) when 'Brand#12' then (case when p_size % 2 = 0 then 'No' else 'YES' end) when 'Brand#13' then 'only' else p_type || (p_size % 2) end"
+
+
+def positive(s, d):
+    return clean.positive_level(table(s, d, "part").select(F.col("p_brand").alias("variable"), F.expr(LEVEL).alias("level"), F.col("p_partkey").alias("pos")))
+
+
 def orders_by_day(s, d):
     return table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"), F.max(F.expr("case when o_orderstatus = 'F' then o_orderkey end")).alias("last_id"))
 
@@ -103,20 +121,20 @@ QUERIES = {
     "parse_notes": lambda s, d: clean.parse_notes(notes(s)),
     "recode_notes": recoded,
     "categorical_infer": lambda s, d: notes(s).select("name", clean.is_categorical(F.col("notes")).alias("categorical")),
-    "unit_convert": lambda s, d: values(s, "id long, v double, unit string", *UNITS).select("id", F.round(clean.standard_unit(F.col("v"), F.col("unit")), 6).alias("v")),
+    "unit_convert": units,
     "not_assessed": lambda s, d: table(s, d, "events").select("event_id", clean.not_assessed_to_null(F.expr("case when event_id % 10 = 0 then 'Not Assessed' else event_type end")).alias("t")),
-    "multi_hot_code": lambda s, d: table(s, d, "part").select("p_partkey", F.greatest(*[F.when((F.col("p_size") % k) == 0, F.lit(k)) for k in (2, 3, 5, 7)]).alias("code")),
-    "combine_yes_no": lambda s, d: table(s, d, "events").select("event_id", F.expr("nullif(replace(concat_ws(' ', case when event_id % 3 = 0 then 'No' when event_id % 3 = 1 then 'Yes' else 'NA' end, case when event_id % 2 = 0 then 'NA' else event_type end), 'No NA', 'No'), 'NA NA')").alias("v")),
+    "multi_hot_code": lambda s, d: table(s, d, "part").select("p_partkey", *[((F.col("p_size") % k) == 0).cast("int").alias(f"f{k}") for k in (2, 3, 5, 7)]).select("p_partkey", clean.multi_hot({2: "f2", 3: "f3", 5: "f5", 7: "f7"}).alias("code")),
+    "combine_yes_no": lambda s, d: table(s, d, "events").select("event_id", clean.combine_detail(F.expr("case when event_id % 3 = 0 then 'No' when event_id % 3 = 1 then 'Yes' end"), F.expr("case when event_id % 2 = 1 then event_type end")).alias("v")),
     "missing_columns": lambda s, d: clean.missing_filter(gappy_events(s, d), ["event_id"], 0.4, 1.0).select("event_id", "a", "c"),
     "missing_rows": lambda s, d: clean.missing_filter(gappy_events(s, d), ["event_id"], 0.6, 0.4).select("event_id", "a", "b", "c"),
     "drop_constant": lambda s, d: clean.drop_constant_columns(table(s, d, "nation").withColumn("same", F.lit(1))).select("n_nationkey", "n_name", "n_regionkey"),
     "drop_empty": lambda s, d: clean.drop_empty_columns(table(s, d, "nation").withColumn("none", F.lit(None).cast("string")).withColumn("blank", F.lit(""))),
     "rows_with_data": lambda s, d: clean.rows_with_data(gappy_events(s, d), ["event_id"]).select("event_id"),
     "shared_ids": lambda s, d: clean.shared_ids([table(s, d, "customer").select(F.col("c_custkey").alias("id")), table(s, d, "orders").select(F.col("o_custkey").alias("id")), table(s, d, "events").select(F.col("user_id").alias("id"))], "id"),
-    "variable_types": lambda s, d: clean.variable_types(table(s, d, "customer").select(F.col("c_acctbal").cast("string").alias("c_acctbal"), "c_mktsegment", (F.col("c_nationkey") % 2).cast("string").alias("flag")).unpivot([], ["c_acctbal", "c_mktsegment", "flag"], "variable", "value")),
-    "positive_level": lambda s, d: clean.positive_level(values(s, "variable string, level string", ("a", "No"), ("a", "Yes"), ("b", "x"), ("b", "y"), ("c", "1"), ("c", "0"))),
+    "variable_types": typed,
+    "positive_level": positive,
     "parse_p": lambda s, d: values(s, "id long, t string", (1, "<0.001"), (2, ">0.99"), (3, " 0.25"), (4, "n/a"), (5, None)).select("id", clean.parse_p(F.col("t")).alias("p")),
-    "group_flag": lambda s, d: table(s, d, "orders").select("o_orderkey", F.expr("case o_orderstatus when 'F' then 1 when 'O' then 0 end").alias("g")).filter("g is not null"),
+    "group_flag": lambda s, d: table(s, d, "orders").select("o_orderkey", clean.flag_group(F.expr("nullif(o_orderstatus, 'P')"), "F").alias("g")).filter("g is not null"),
     "test_id_exclusion": lambda s, d: table(s, d, "customer").filter(~F.col("c_name").rlike("[05]$")).join(table(s, d, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey", "left_anti").select("c_custkey"),
     "outer_coalesce": lambda s, d: match.outer_coalesce(orders_by_day(s, d), events_by_day(s, d), ["day"], ["last_id"]).select("day", "n", "n_events", "last_id"),
     "lookup_default": lambda s, d: match.lookup(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_orderstatus").alias("status")), "c_custkey", "status", [F.col("o_orderkey")], "none"),
@@ -158,10 +176,10 @@ QUERIES = {
 ORACLES = {
     "scan_filter_project": "select l_orderkey, l_linenumber from lineitem where l_shipdate >= timestamp '1998-01-01' and l_discount > 0.05::double",
     "sentinel_null": "select p_partkey, p_name, case when p_size in (9, 19) then null else p_size end as p_size from part",
-    "parse_notes": f"with {NOTES_SQL}, {CODES_SQL} select name, code, label, n_codes from k where n_codes >= 2",
-    "recode_notes": f"with {NOTES_SQL}, {CODES_SQL}, v as (select 'size' as name, p_partkey as id, (p_size % 3 + 1)::varchar as value from part union all select 'brand', p_partkey, (p_size % 4)::varchar from part), j as (select v.*, k.label from v left join k on v.name = k.name and v.value = k.code and n_codes >= 2), f as (select name, bool_and(label is not null) as whole from j group by name) select j.name, id, value, case when label is null then value when whole then label else value || '=' || label end as recoded from j join f on j.name = f.name",
+    "parse_notes": f"with {NOTES_SQL}, {CODES_SQL} select name, code, label, n_codes from k where n_codes >= 2 and not uncoded",
+    "recode_notes": f"with {NOTES_SQL}, {CODES_SQL}, v as (select 'size' as name, p_partkey as id, case when p_partkey % 9 = 0 then '-9' when p_partkey % 10 = 0 then null else (p_size % 3 + 1)::varchar end as value from part union all select 'brand', p_partkey, (p_size % 4)::varchar from part union all select 'seg', p_partkey, 'BUILDING' from part), j as (select v.*, k.label from v left join k on v.name = k.name and v.value = k.code and n_codes >= 2 and not uncoded), f as (select name, bool_and(label is not null) as whole from j where value not in ('-300', '-900', 'N/A', '<NA>', 'NA', '-7', '-997', '-998', '-9', '-3') group by name) select j.name, id, value, case when label is null then value when whole then label else value || '=' || label end as recoded from j join f on j.name = f.name",
     "categorical_infer": f"with {NOTES_SQL} select name, len(list_filter(list_distinct(regexp_extract_all(coalesce(notes, ''), '(-?\\d+)\\s*=', 1)), lambda x: not list_contains(['-9', '-99', '999', '-900', '-3', '-7', '-300'], x))) >= 2 as categorical from n",
-    "unit_convert": "select id, round(case when starts_with(lower(unit), 'f') then (v - 32) * 5 / 9 when starts_with(lower(unit), 'in') then v * 2.54::double when starts_with(lower(unit), 'lb') then v * 0.45359237::double else v end, 6) as v from (values (1::bigint, 98.6::double, 'F'), (2, 36.5, 'C'), (3, 70.25, 'inches'), (4, 180.5, 'cm'), (5, 150.75, 'lbs'), (6, 70.5, null)) t(id, v, unit)",
+    "unit_convert": "with o as (select o_orderkey as id, o_totalprice as v, (['F', '°F', 'deg fahrenheit', 'Celsius', 'FAH', null])[o_orderkey % 6 + 1] as tu, (['in', 'Inches', 'internal', 'cm', '2 in', 'line'])[o_orderkey % 6 + 1] as hu, (['lbs', 'Pounds', 'kg', 'LB', 'g', null])[o_orderkey % 6 + 1] as wu from orders) select id, round(case when contains(lower(tu), 'fah') or contains(lower(tu), '°f') then (v - 32) * 5 / 9 else v end, 6) as temp, 'Celsius' as temp_unit, round(case when contains(lower(hu), 'inch') or regexp_matches(lower(hu), '(^|[^a-z0-9_])in($|[^a-z0-9_])') then v * 2.54::double else v end, 6) as height, 'cm' as height_unit, round(case when contains(lower(wu), 'lb') or contains(lower(wu), 'pound') then v * 0.45359237::double else v end, 6) as weight, 'kg' as weight_unit from orders join o on o_orderkey = id",
     "not_assessed": "select event_id, case when event_id % 10 = 0 then null else event_type end as t from events",
     "multi_hot_code": "select p_partkey, case when p_size % 7 = 0 then 7 when p_size % 5 = 0 then 5 when p_size % 3 = 0 then 3 when p_size % 2 = 0 then 2 end as code from part",
     "combine_yes_no": "select event_id, nullif(replace(case when event_id % 3 = 0 then 'No' when event_id % 3 = 1 then 'Yes' else 'NA' end || ' ' || case when event_id % 2 = 0 then 'NA' else event_type end, 'No NA', 'No'), 'NA NA') as v from events",
@@ -171,8 +189,8 @@ ORACLES = {
     "drop_empty": "select n_nationkey, n_name, n_regionkey from nation",
     "rows_with_data": f"with {GAPPY_SQL} select event_id from e where a is not null or b is not null or c is not null",
     "shared_ids": "select c_custkey as id from customer intersect select o_custkey from orders intersect select user_id from events",
-    "variable_types": "select * from (values ('c_acctbal', 'continuous'), ('c_mktsegment', 'categorical'), ('flag', 'binary')) t(variable, kind)",
-    "positive_level": "select * from (values ('a', 'Yes'), ('b', 'y'), ('c', '1')) t(variable, level)",
+    "variable_types": "with c as (select * from customer), t(variable, n, zero_one) as (select 'c_acctbal', count(distinct c_acctbal), bool_and(c_acctbal in (0, 1)) from c union all select 'flag', count(distinct c_nationkey % 2), bool_and(c_nationkey % 2 in (0, 1)) from c union all select 'three', count(distinct c_nationkey % 3), bool_and(c_nationkey % 3 in (0, 1)) from c union all select 'far', count(distinct c_nationkey > 4), false from c), x(variable, n) as (select 'c_mktsegment', count(distinct c_mktsegment) from c union all select 'single', 1 union all select 'two', count(distinct c_nationkey > 4) from c) select variable, case when zero_one then 'binary' else 'continuous' end as kind from t union all select variable, case when n = 2 then 'binary' when n > 2 then 'categorical' end from x union all select 'logical', 'binary' union all select 'none', null",
+    "positive_level": f"with r as (select p_brand as variable, {LEVEL} as level, p_partkey as pos from part), l as (select variable, level, min(pos) as pos from r group by all), h as (select variable, arg_min(level, pos) as hit from l where lower(level) in ('1', 'yes', 'true', 'positive', 'present', 'high', 'case', 'chr') group by 1), o as (select variable, list_sort(list(level)) as levels from l group by 1) select o.variable, case when len(levels) > 1 then coalesce(hit, levels[2]) end as level from o left join h using (variable)",
     "parse_p": "select id, p from (values (1::bigint, 0.001::double), (2, 0.99), (3, 0.25), (4, null), (5, null)) t(id, p)",
     "group_flag": "select o_orderkey, case o_orderstatus when 'F' then 1 else 0 end as g from orders where o_orderstatus in ('F', 'O')",
     "test_id_exclusion": "select c_custkey from customer where not regexp_matches(c_name, '[05]$') and c_nationkey not in (select n_nationkey from nation where n_regionkey = 0)",

@@ -101,16 +101,6 @@ def with_pca(s, d):
     return rounded(points.select("id", F.abs(F.col("scores")[0]).alias("pc1"), F.lit(float(explained[0])).alias("explained")), 5, "pc1", "explained")
 
 
-def quality_permutations(s, d):
-    """Each resample's labels against permuted ones: is the mean agreement above chance?"""
-    own = labels(s, d)
-    base = stability.stability(own).agg(F.avg("ari").alias("observed"))
-    many = own.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("key", F.concat_ws(":", "p", "boot", "id"))
-    null = resample.permute(many, "key", "label", "null", ["p", "boot"]).select("p", "boot", "id", F.col("permuted").alias("label"))
-    null = stability.stability(null, ["p"]).groupBy("p").agg(F.avg("ari").alias("ari"))
-    return rounded(null.crossJoin(base).groupBy("observed").agg(((F.sum((F.col("ari") >= F.col("observed")).cast("int")) + 1.0) / (F.count("*") + 1.0)).alias("p")), 8, "observed", "p")
-
-
 def coassoc_cluster(s, d):
     found = cluster.consensus_clusters(stability.co_association(labels(s, d)), labels(s, d).select("id").distinct(), 3)
     return found.groupBy("label").agg(F.count("*").alias("n"))
@@ -127,7 +117,7 @@ QUERIES = {
     "consensus_cut": coassoc_cluster,
     "cophenetic": lambda s, d: rounded(cluster.cophenetic_correlation(stability.co_association(labels(s, d))), 8, "ccc"),
     "population_labels": evaluated,
-    "population_fitness": lambda s, d: evolve.fitness(evaluated(s, d)),
+    "population_fitness": lambda s, d: evolve.fitness(cluster.completed(evaluated(s, d))),
     "search_step": found,
     "crowding": lambda s, d: search.crowding(search.pareto_front(table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), (-F.col("p_retailprice")).alias("cheap")), ["size", "cheap"]), ["size", "cheap"], ["p_partkey"]).select("p_partkey", F.round("crowding", 8).alias("crowding")),
     "nested_cv": classified,
@@ -138,7 +128,7 @@ QUERIES = {
     "replay_views": replayed,
     "assemble_table": assembled,
     "pca_scores": with_pca,
-    "stability_permutation": quality_permutations,
+    "stability_permutation": lambda s, d: rounded(stability.permutation_p(labels(s, d), 10), 8, "observed", "p"),
     "multinomial_lr": lambda s, d: s.createDataFrame([classify.multinomial_lr(table(s, d, "customer").select((F.col("c_nationkey") % 3).alias("k"), F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 7).cast("double").alias("b")), "k", ["a"], ["b"])]),
     "variable_fdr": lambda s, d: rounded(inference.bh(inference.welch_t(by_nation(s, d), (0, 1), p=True), "p", ties=["variable"]), 6, "t", "df", "p", "q"),
     "bootstrap_votes": lambda s, d: stability.majority_vote(boots(s, d), ["boot", "id"], "label").groupBy("boot", "label").agg(F.count("*").alias("n")),
