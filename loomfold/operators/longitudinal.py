@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .features import pca
 from .match import contingency
 from .quality import centroids, distance
 
@@ -44,6 +45,19 @@ def feature_change(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.groupBy("feature").agg(F.count_distinct("id").alias("n"), F.avg(F.col("later") - F.col("value")).alias("mean"), F.stddev_samp(F.col("later") - F.col("value")).alias("sd"))
 
 
+def pca_change(before: DataFrame, after: DataFrame, k: int = 2) -> DataFrame:
+    """(id, before, after, moved): scores of both times on the principal components of before, and how far each id moved; for ids that both have."""
+    both = before.join(after.withColumnRenamed("x", "y"), "id")
+    stats = both.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m")).agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("means"))  # one entry per feature
+    _, _, loadings = pca(both.select("id", "x"), k)
+    axes = F.array(*[F.array(*[F.lit(float(v)) for v in loadings[:, c]]) for c in range(loadings.shape[1])])
+    dot = lambda x, axis: F.aggregate(F.zip_with(F.zip_with(x, "means", lambda v, m: v - m["m"]), axis, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
+    own = both.crossJoin(F.broadcast(stats)).withColumn("axes", axes)  # one row
+    scores = lambda c: F.transform("axes", lambda axis: dot(F.col(c), axis))
+    scored = own.select("id", scores("x").alias("before"), scores("y").alias("after"))
+    return scored.withColumn("moved", distance("before", "after"))
+
+
 def composition(labels: DataFrame) -> DataFrame:
     """(label, n, share), -1 meaning no label."""
     counts = labels.filter("label <> -1").groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import assemble, classify, cluster, evolve, features, inference, longitudinal, pipeline, resample, search, stability
 from ..sources.store import stored
 from ..sources.tables import table
-from .cohort import changes, first_orders
-from .resampling import boots, labels
+from .cohort import ORDERS_SQL, changes, first_orders
+from .resampling import BOOTS_SQL, LABELS_SQL, SCORES_SQL, boots, labels
 from .statistics import by_nation, rounded
 
 #: Centres of three well separated clusters, in two views.
@@ -101,6 +101,24 @@ def with_pca(s, d):
     return rounded(points.select("id", F.abs(F.col("scores")[0]).alias("pc1"), F.lit(float(explained[0])).alias("explained")), 5, "pc1", "explained")
 
 
+def mixed_input(s, d):
+    """Numbers, text of a label set and not, a flag and a date, with gaps."""
+    o = table(s, d, "orders").filter("o_orderkey % 10 = 0")
+    return o.select(F.col("o_orderkey").alias("subject"), F.expr("case when o_orderkey % 60 = 0 then null else o_totalprice end").alias("a_price"), F.expr("case when o_orderkey % 70 = 0 then null else o_orderstatus end").alias("a_status"), F.expr("case when o_orderkey % 90 = 0 then null else o_orderpriority end").alias("b_prio"), (F.col("o_totalprice") > 100000).alias("b_dear"), F.col("o_orderdate").cast("date").alias("b_day"))
+
+
+def prepared_mixed(s, d):
+    """One value per feature: its number of subjects, least and greatest value after preparation."""
+    specs = s.createDataFrame([(1, "F", 1), (1, "O", 2), (2, "F", 5), (2, "O", 6), (2, "P", 7)], "set_id int, level string, code int")
+    out, _ = pipeline.fit(mixed_input(s, d), "subject", s.createDataFrame([("a", "first"), ("b", "second")], "variable string, view string"), "minmax", specs)
+    return rounded(out.groupBy("view", "feature").agg(F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")), 6, "least", "most")
+
+
+def moved(s, d):
+    found = longitudinal.pca_change(*[first_orders(s, d, o) for o in (F.asc("o_orderkey"), F.desc("o_orderkey"))])
+    return rounded(found.select("id", "moved"), 3, "moved")
+
+
 def coassoc_cluster(s, d):
     found = cluster.consensus_clusters(stability.co_association(labels(s, d)), labels(s, d).select("id").distinct(), 3)
     return found.groupBy("label").agg(F.count("*").alias("n"))
@@ -126,6 +144,8 @@ QUERIES = {
     "switch_rate": lambda s, d: changes(s, d).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("switched").cast("long")).alias("switched")),
     "prepare_views": prepared,
     "replay_views": replayed,
+    "prepare_mixed": prepared_mixed,
+    "pca_change": moved,
     "assemble_table": assembled,
     "pca_scores": with_pca,
     "stability_permutation": lambda s, d: rounded(stability.permutation_p(labels(s, d), 10), 8, "observed", "p"),
@@ -139,5 +159,13 @@ ORACLES = {
     "cluster_null": "select s_suppkey % 2 as g, s_suppkey as id, 0::bigint as label, 'ok' as status from supplier",
     **{name: PARTITION_SQL for name in (*(f"linkage_{m}" for m in ("single", "complete", "average", "weighted", "centroid", "median", "ward")), "spectral", "gmm", "kmeans", "meanshift", "view_ensemble")},
     "roc_curve": CURVE_SQL,
+    "prepare_mixed": "select * from (values ('first', 'a_price'), ('first', 'a_status'), ('second', 'b_prio_2-HIGH'), ('second', 'b_prio_3-MEDIUM'), ('second', 'b_prio_4-NOT SPECIFIED'), ('second', 'b_prio_5-LOW'), ('second', 'b_prio_nan'), ('second', 'b_dear'), ('second', 'b_day')) t(view, feature), (select count(*) as n, 0.0::double as least, 1.0::double as most from orders where o_orderkey % 10 = 0 and not (o_orderkey % 60 = 0 and o_orderkey % 70 = 0))",
+    # All of two features: the components turn the plane, distances stay.
+    "pca_change": "with o as (select o_custkey as id, o_orderkey, o_totalprice as p, ((o_orderdate::date - date '1970-01-01') % 100)::double as q from orders) select id, round(sqrt(pow(arg_max(p, o_orderkey) - arg_min(p, o_orderkey), 2) + pow(arg_max(q, o_orderkey) - arg_min(q, o_orderkey), 2)), 3) as moved from o group by 1",
+    "crowding": "with p as (select p_partkey as id, p_size::double as size, -p_retailprice as cheap from part), f as (select * from p where not exists (select 1 from p q where q.size >= p.size and q.cheap >= p.cheap and (q.size > p.size or q.cheap > p.cheap))), s as (select id, lag(size) over w as a, lead(size) over w as b, max(size) over () - min(size) over () as span from f window w as (order by size, id)), c as (select id, lag(cheap) over w as a, lead(cheap) over w as b, max(cheap) over () - min(cheap) over () as span from f window w as (order by cheap, id)) select s.id as p_partkey, round(coalesce((s.b - s.a) / s.span, 'infinity'::double) + coalesce((c.b - c.a) / c.span, 'infinity'::double), 8) as crowding from s join c on s.id = c.id",
+    "feature_change": "with o as (select o_custkey as id, o_orderkey, o_totalprice as p, ((o_orderdate::date - date '1970-01-01') % 100)::double as q from orders), c as (select id, arg_max(p, o_orderkey) - arg_min(p, o_orderkey) as p, arg_max(q, o_orderkey) - arg_min(q, o_orderkey) as q from o group by id) select 0 as feature, count(*) as n, round(avg(p), 6) as mean, round(stddev_samp(p), 6) as sd from c union all select 1, count(*), round(avg(q), 6), round(stddev_samp(q), 6) from c",
+    "switch_rate": f"with {ORDERS_SQL} select label, count(*) as n, sum((label <> later)::int)::bigint as switched from t group by label",
+    "bootstrap_votes": f"with {BOOTS_SQL} select boot, label, count(*) as n from v group by all",
+    "stability_permutation": f"with {LABELS_SQL}, m as (select boot, id, label, b, concat_ws(':', b, boot, id) as key from l, range(1, 11) t(b)), h as (select boot, id, b, row_number() over (partition by b, boot order by md5(concat_ws(':', key, 'here')), key) as r from m), y as (select boot, label, b, row_number() over (partition by b, boot order by md5(concat_ws(':', key, 'null')), key) as r from m), z as (select b, boot, id, label from h join y using (b, boot, r) union all select 0, boot, id, label from l), c as (select x.b, x.boot as b1, w.boot as b2, x.label as la, w.label as lb, count(*)::double as n from z x join z w on x.b = w.b and x.id = w.id and x.boot < w.boot group by all), s as (select b, b1, b2, sum(n * (n - 1) / 2) as i, sum(n) as n from c group by all), pa as (select b, b1, b2, sum(x * (x - 1) / 2) as p from (select b, b1, b2, la, sum(n) as x from c group by all) group by all), pb as (select b, b1, b2, sum(x * (x - 1) / 2) as q from (select b, b1, b2, lb, sum(n) as x from c group by all) group by all), a as (select b, avg({SCORES_SQL}) as ari from s join pa using (b, b1, b2) join pb using (b, b1, b2) group by b) select round(o.ari, 8) as observed, round((sum(case when a.ari >= o.ari - 1e-12 then 1 else 0 end) + 1.0::double) / (count(*) + 1.0::double), 8) as p from a, (select ari from a where b = 0) o where a.b > 0 group by o.ari",
     "assemble_table": "with v as (select user_id as id, event_id, ts::date as day from events where event_id % 3 = 2), r as (select id, min(day) as ref, arg_min(event_id, (day, event_id::varchar)) as score from v group by id), o as (select o_custkey as id, o_orderpriority, row_number() over (partition by o_custkey order by abs(date_diff('day', ref, o_orderdate::date)) nulls last, o_orderdate::date, o_orderpriority) as k from orders left join r on o_custkey = r.id), s as (select user_id as id from events union select o_custkey from orders) select s.id::varchar as id, r.score::varchar as score, o.o_orderpriority as priority from s left join r on s.id = r.id left join o on s.id = o.id and k = 1",
 }

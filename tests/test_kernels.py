@@ -29,6 +29,39 @@ def test_linkage_heights(method):
     assert np.allclose(k.linkage(d, method)[:, 2], brute_linkage(d, method))
 
 
+def brute_points(x, method):
+    """Heights by where each cluster stands: at its mean, or halfway between those it was merged from; weighted by plain halves of distances."""
+    at, size, heights = [p for p in x], [1] * len(x), []
+    d = {(i, j): np.linalg.norm(x[i] - x[j]) for i in range(len(x)) for j in range(i + 1, len(x))}
+    alive = list(range(len(x)))
+    while len(alive) > 1:
+        h, i, j = min((d[i, j], i, j) for n, i in enumerate(alive) for j in alive[n + 1 :])
+        heights.append(h)
+        new = len(at)
+        at.append((size[i] * at[i] + size[j] * at[j]) / (size[i] + size[j]) if method == "centroid" else (at[i] + at[j]) / 2)
+        size.append(size[i] + size[j])
+        alive = [k for k in alive if k not in (i, j)]
+        for k in alive:
+            d[k, new] = (d[min(i, k), max(i, k)] + d[min(j, k), max(j, k)]) / 2 if method == "weighted" else np.linalg.norm(at[k] - at[new])
+        alive.append(new)
+    return heights
+
+
+@pytest.mark.parametrize("method", ["weighted", "centroid", "median"])
+def test_linkage_heights_by_position(method):
+    x = np.random.default_rng(4).normal(size=(24, 3))
+    assert np.allclose(k.linkage(k.distances(x), method)[:, 2], brute_points(x, method))
+
+
+def test_linkages_differ_where_they_should():
+    """A chain beside a ball: single linkage keeps the chain whole, complete and Ward's cut it."""
+    chain = np.c_[np.arange(30) * 1.0, np.zeros(30)]
+    ball = np.array([[14.0, 6.0]]) + np.random.default_rng(5).normal(0, 0.2, (30, 2))
+    d, truth = k.distances(np.r_[chain, ball]), np.repeat([0, 1], 30)
+    assert k.ari(k.cut(k.linkage(d, "single"), 60, 2), truth) == 1
+    assert all(k.ari(k.cut(k.linkage(d, m), 60, 2), truth) < 0.9 for m in ("complete", "ward"))
+
+
 def test_ward_height_is_the_rise_of_the_sum_of_squares():
     x = np.random.default_rng(2).normal(size=(20, 2))
     merges = k.linkage(k.distances(x), "ward")

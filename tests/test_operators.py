@@ -163,3 +163,44 @@ def test_streaming_forms(spark, tmp_path):
     seen = latest.earliest_dates(stream, "base", "version").writeStream.format("memory").queryName("seen").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     seen.awaitTermination(60)
     assert rows(spark.table("seen")) == [("a", 1), ("b", 2)]
+
+
+def test_placeholder_dates_become_null(spark):
+    days = ["1903-03-03", "1909-09-09", "1901-01-01", "1909-09-01", "1901-09-09", "1900-01-01", "1999-09-09", None]
+    frame = spark.createDataFrame([(k, d) for k, d in enumerate(days)], "k int, d string").selectExpr("k", "cast(d as date) as d")
+    assert {r["k"] for r in frame.select("k", clean.placeholder_dates_to_null(frame["d"]).alias("d")).filter("d is not null").collect()} == {5, 6}
+
+
+def test_types_and_levels_of_odd_columns(spark):
+    frame = spark.createDataFrame([(1, "x", None, True), (0, "x", None, None)], "a int, b string, c double, d boolean")
+    assert {r["variable"]: r["kind"] for r in clean.variable_types(frame, frame.columns).collect()} == {"a": "binary", "b": None, "c": None, "d": "binary"}
+    assert clean.variable_types(frame.limit(0), frame.columns).filter("kind is not null").count() == 0
+
+
+def test_preparation_takes_text_and_replays_it(spark):
+    rows = [(k, float(k * k), "low" if k % 3 else "high", f"c{k % 4}", k % 2 == 0) for k in range(40)]
+    schema = "id int, m_x double, m_t string, p_c string, p_b boolean"
+    meta = spark.createDataFrame([("m", "mood"), ("p", "person")], "variable string, view string")
+    specs = spark.createDataFrame([(1, "low", 1), (1, "high", 2)], "set_id int, level string, code int")
+    out, fitted = pipeline.fit(spark.createDataFrame(rows, schema), "id", meta, "standard", specs)
+    features = {"m_x", "m_t", "p_c_c1", "p_c_c2", "p_c_c3", "p_c_nan", "p_b"}
+    assert {r["feature"] for r in out.select("feature").distinct().collect()} == features
+    new = [(100 + k, 1.0 * k, "low", "unseen" if k else "c1") for k in range(5)]
+    again = pipeline.replay(spark.createDataFrame(new, "id int, m_x double, m_t string, p_c string"), "id", fitted, with_reference=True)
+    got = {(r["id"], r["feature"]): r["value"] for r in again.collect()}
+    assert {f for _, f in got} == features and all(got[100 + k, "p_b"] is None for k in range(5))  # a column that is not there stays missing
+    assert got[100, "p_c_c1"] > got[101, "p_c_c1"]
+
+
+def test_failed_candidates_are_told(spark):
+    rows = [(0, 1, "failed", None, None, None), (0, 2, "final", 1, 0, 0.5), (1, 1, "final", 1, 0, 0.5), (1, 2, "final", 1, 0, 0.5)]
+    labels = spark.createDataFrame(rows, "ind long, boot long, view string, id long, label long, score double")
+    assert {r["ind"] for r in cluster.completed(labels).collect()} == {1}
+    assert cluster.completed(labels, 0.5).count() == 3
+
+
+def test_fitness_has_every_objective(spark):
+    rows = [(i, b, v, k, (k + i * b) % 3 if v == "final" else k % 2, 0.5) for i in (0, 1) for b in (1, 2, 3) for v in ("u", "final") for k in range(12)]
+    got = {r["ind"]: r.asDict() for r in evolve.fitness(spark.createDataFrame(rows, "ind long, boot long, view string, id long, label long, score double")).collect()}
+    assert set(evolve.OBJECTIVES) <= set(got[0])
+    assert got[0]["ari_final"] == got[0]["ccc_final"] == got[0]["coassoc_final"] == got[0]["ari_least"] == 1 and got[1]["ari_views"] == 1
