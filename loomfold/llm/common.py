@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]"
 #: A maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH = 1000
+#: Bits of a bitmap at most, as a power of two: 16 MB.
+MAP_BITS = 27
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,3 +78,31 @@ def free(*settled: DataFrame) -> None:
     """Deletes tables that settle() wrote, once nothing will read them again."""
     for df in settled:
         _forget(df.sparkSession, df._loomfold_path)
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """The last bits (the first ones of minimisers are all small) of a column of 64-bit hashes: at most 2**MAP_BITS bits, whatever the input; built word by word where the hashes are."""
+    bits = min(MAP_BITS, max(10, (16 * hashes.count()).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a bitmap; false ones may pass, none is lost."""
+    at = h & np.uint64((len(words) << 6) - 1)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def possible(df: DataFrame, column: str, wanted: DataFrame, of: str) -> DataFrame:
+    """The rows of df whose hash may be among wanted's: before a join, so that the others' texts are not shuffled."""
+    words = df.sparkSession.sparkContext.broadcast(bitmap(wanted, of))
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(words.value, h.to_numpy(np.int64).view(np.uint64)))
+
+    return df.filter(may_be(column))

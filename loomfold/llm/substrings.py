@@ -25,17 +25,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, settle, text_batches
+from .common import bitmap, free, in_bitmap, possible, settle, text_batches
 
 LENGTH, GRAM, DIGIT = 200, 64, 40
-#: Bytes looked at at once; bits of a bitmap (as a power of two); kinds of a minimiser that are compared in one task; kinds in a task.
-CHUNK_BITS, MAP_BITS, HOT, TASK = 20, 27, 10_000, 10_000
+#: Bytes looked at at once (as a power of two); kinds of a minimiser that are compared in one task; kinds in a task.
+CHUNK_BITS, HOT, TASK = 20, 10_000, 10_000
 DOC = ["doc_id", "text_hash"]
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -112,25 +111,9 @@ def _repeated_minimisers(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return settle(rows.groupBy("minimiser").agg(F.sum("n").alias("n")).filter("n > 1").select("minimiser"))
 
 
-def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """The leading bits of a column of hashes: at most 2**MAP_BITS bits, whatever the input; built word by word where the hashes are."""
-    bits = min(MAP_BITS, max(10, (16 * hashes.count()).bit_length()))
-    at = F.shiftrightunsigned(column, 64 - bits)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
-    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(_U)
-
-
-def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> _U(65 - (len(bitmap) << 6).bit_length())
-    return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
-
-
 def _occurrences(docs: DataFrame, repeated: DataFrame, length: int, gram: int) -> DataFrame:
     """Runs of minimisers that the bitmap of repeated ones lets through: a document's key, start, windows, minimiser, content."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated, "minimiser"))
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, "minimiser"))
     names = ["start", "windows", "minimiser", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +121,7 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, length: int, gram: int) -
             rows, columns = [], []
             for k, t in enumerate(_texts(batch)):
                 for start, windows, a, c in runs(t, length, gram):
-                    kept = _in(bitmap.value, a)
+                    kept = in_bitmap(words.value, a)
                     rows.append(np.full(kept.sum(), k))
                     columns.append((start[kept], windows[kept], a[kept].view(np.int64), c[kept].view(np.int64)))
             if columns:
@@ -164,14 +147,8 @@ def _with_bytes(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     kept = ["minimiser", "content", "weight", "variants"]
     wanted = mixed.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct(*kept, "windows", F.col("rep.start").alias("start"))).alias("runs"))
     wanted = settle(wanted.select(F.col("doc_id").alias("doc_id_"), F.col("text_hash").alias("text_hash_"), "runs"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "text_hash_"))
-
-    @F.pandas_udf("boolean")
-    def may_hold(h: pd.Series) -> pd.Series:
-        return pd.Series(_in(bitmap.value, h.to_numpy(np.int64).view(_U)))
-
     # Most documents hold no kind's bytes; the others' are brought to their runs, a row that repeats once.
-    own = text_batches(docs).filter(may_hold("text_hash")).dropDuplicates(DOC)
+    own = possible(text_batches(docs), "text_hash", wanted, "text_hash_").dropDuplicates(DOC)
     joined = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_"))).select("text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
