@@ -204,17 +204,24 @@ def min_cluster_size(d: np.ndarray, labels: np.ndarray, least: int) -> np.ndarra
     return out
 
 
-def ensemble(x: np.ndarray, k: int, method: str = "average", seed: int = 0, least: int = 0) -> np.ndarray:
-    """Five clusterers of raw rows, their co-association, and its linkage cut at k."""
+def together(x: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, share of five clusterers of raw rows that put two in one cluster): what every linkage of an ensemble starts from."""
     x = np.asarray(x, float)
-    d = distances(x)
-    k = min(k, len(x))
+    d, k = distances(x), min(k, len(x))
     members = [cut(linkage(d, "ward"), len(x), k), spectral(knn_affinity(x), k, seed), gaussian_mixture(x, k, seed), kmeans(x, k, seed), mean_shift(x)]
-    together = np.mean([m[:, None] == m for m in members], axis=0)
-    labels = cut(linkage(1 - together, "average" if method == "ward" else method), len(x), k)
+    return d, np.mean([m[:, None] == m for m in members], axis=0)
+
+
+def cut_together(d: np.ndarray, share: np.ndarray, k: int, method: str = "average", least: int = 0) -> np.ndarray:
+    labels = cut(linkage(1 - share, "average" if method == "ward" else method), len(d), min(k, len(d)))
     return min_cluster_size(d, labels, least)
 
 
+def ensemble(x: np.ndarray, k: int, method: str = "average", seed: int = 0, least: int = 0) -> np.ndarray:
+    """Five clusterers of raw rows, their co-association, and its linkage cut at k."""
+    return cut_together(*together(x, k, seed), k, method, least)
+
+
 def ensemble_of_distances(d: np.ndarray, k: int, method: str = "average", seed: int = 0, least: int = 0) -> np.ndarray:
     """The same for fused distances: a hierarchical and a spectral member, both told k."""
     method = "average" if method == "ward" else method

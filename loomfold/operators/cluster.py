@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..sources.store import stored
 
 
 class Clusterer(Protocol):
@@ -115,51 +116,102 @@ def clamp(k: int, n: int, least: int) -> int:
     return max(1, min(k, n // max(1, least)))
 
 
+def fuse_views(labels: list[np.ndarray], k_final: int, pre_linkage: str = "average", fusion: str = "agreement", least: int = 0, seed: int = 0) -> tuple[np.ndarray, float]:
+    """The final labels of fused views, and their score in the space of the fused distances."""
+    d = LabelFusion(fusion).execute(labels)
+    final = Kernel("ensemble", clamp(k_final, len(d), least), pre_linkage, precomputed=True, seed=seed, least=least).execute(d)
+    return final, kernels.quality(kernels.mds(d), final, d)
+
+
 def multi_view(views: dict[str, np.ndarray], ks: dict[str, int], k_final: int, linkages: dict[str, str], pre_linkage: str = "average", fusion: str = "agreement", least: int = 0, seed: int = 0) -> dict:
     """One candidate on one resample: cluster each view, fuse, cluster the fused distances, and score."""
     n = len(next(iter(views.values())))
     parts = {v: View(x, Kernel("ensemble", clamp(ks[v], n, least), linkages[v], seed=seed, least=least)) for v, x in views.items()}
-    labels, d = Ensemble(list(parts.values()), LabelFusion(fusion)).execute()
-    final = Kernel("ensemble", clamp(k_final, n, least), pre_linkage, precomputed=True, seed=seed, least=least).execute(d)
-    x = kernels.mds(d)
+    labels = [p.execute() for p in parts.values()]
+    final, score = fuse_views(labels, k_final, pre_linkage, fusion, least, seed)
     return {
         "labels": dict(zip(parts, labels, strict=True)),
         "final": final,
         "view_scores": {v: kernels.quality(p.data, m) for (v, p), m in zip(parts.items(), labels, strict=True)},
-        "score": kernels.quality(x, final, d),
+        "score": score,
         "status": {v: p.status for v, p in parts.items()},
     }
 
 
+def _by_view(points, population: DataFrame, boots: DataFrame, views: list[str], least: int) -> DataFrame:
+    """(boot, view, k, linkage, labels, score) of every distinct setting of a view on every resample, whatever candidates share it."""
+    settings = None
+    for v in views:
+        own = population.select(F.lit(v).alias("view"), F.col(f"k_{v}").cast("long").alias("k"), F.col(f"linkage_{v}").alias("linkage"))
+        settings = own if settings is None else settings.unionByName(own)
+    # The members of an ensemble know the number of clusters, not the linkage: one row for each number.
+    grid = boots.crossJoin(settings.groupBy("view", "k").agg(F.sort_array(F.collect_set("linkage")).alias("linkages")))  # resamples by settings is the work to be done
+
+    def run(batches):
+        for own in batches:
+            out = []
+            for r in own.to_dict("records"):
+                ids, failed = _ids(points.value, r["ids"], views), False
+                x = np.array([points.value[r["view"], i] for i in ids], float)
+                k = clamp(r["k"], len(ids), least)
+                try:
+                    start = kernels.together(x, k)
+                except Exception:  # a degenerate view must not stop the others
+                    failed = True
+                for linkage in r["linkages"]:
+                    label = np.zeros(len(ids), int) if failed else kernels.cut_together(*start, k, linkage, least)
+                    out.append({"boot": r["boot"], "view": r["view"], "k": r["k"], "linkage": linkage, "labels": label.tolist(), "score": kernels.quality(x, label) if len(ids) else 0.0})
+            if out:
+                yield pd.DataFrame(out)
+
+    # Dealt in turn, not by key: a dozen keys would leave cores idle.
+    return grid.repartition(4 * max(1, boots.sparkSession.sparkContext.defaultParallelism)).mapInPandas(run, "boot long, view string, k long, linkage string, labels array<long>, score double")
+
+
+def _ids(data: dict, ids, views: list[str]) -> list:
+    return [i for i in ids if all((v, i) in data for v in views)]
+
+
+#: Rows of a study's points (subjects by views) at most; they go to every task.
+MOST_POINTS = 1_000_000
+
+
 def evaluate_population(points: DataFrame, population: DataFrame, boots: DataFrame, views: list[str], least: int = 0) -> DataFrame:
     """Every candidate on every resample: (ind, boot, view, id, label, score), the fused result as view ``final``.
 
     points (id, view, x) is small and goes to every task; population has ind, k_<view>, linkage_<view>, k_final, pre_linkage
-    and fusion; boots (boot, id) names the subjects of each resample. A candidate that fails on a resample yields one row of view ``failed``, without
-    id, label and score; completed() tells which to keep.
+    and fusion; boots (boot, id) names the subjects of each resample. A view is clustered once for each of its settings, and candidates
+    that share one fuse the same labels. A candidate that fails on a resample yields one row of view ``failed``, without id, label and
+    score; completed() tells which to keep.
     """
-    data = {(r["view"], r["id"]): r["x"] for r in points.collect()}  # the subjects of a study, by contract some thousands
-    shared = points.sparkSession.sparkContext.broadcast(data)
-    grid = population.crossJoin(boots.groupBy("boot").agg(F.sort_array(F.collect_set("id")).alias("ids")))  # candidates by resamples is the work to be done
+    if points.count() > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points are no study's")
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast({(r["view"], r["id"]): r["x"] for r in points.collect()})
+    samples = stored(boots.groupBy("boot").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("boot", F.col("boot").cast("long")))
+    people = stored(population)
+    done = stored(_by_view(shared, people, samples, views, least))
+    wanted = people.select("ind", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(v).alias("view"), F.col(f"k_{v}").cast("long").alias("k"), F.col(f"linkage_{v}").alias("linkage")) for k, v in enumerate(views)])).alias("w")).select("ind", "w.*")
+    each = wanted.join(done, ["view", "k", "linkage"]).groupBy("ind", "boot").agg(F.sort_array(F.collect_list(F.struct("at", "labels", "score"))).alias("parts"))  # one entry per view
+    grid = each.join(people.select("ind", "k_final", "pre_linkage", "fusion"), "ind").join(samples, "boot")
 
     def run(batches):
         for own in batches:
             out = []
             for r in own.to_dict("records"):
-                ids = [i for i in r["ids"] if all((v, i) in shared.value for v in views)]
+                ids = _ids(shared.value, r["ids"], views)
+                labels = [np.asarray(p["labels"], int) for p in r["parts"]]
                 try:
-                    x = {v: np.array([shared.value[v, i] for i in ids], float) for v in views}
-                    found = multi_view(x, {v: r[f"k_{v}"] for v in views}, r["k_final"], {v: r[f"linkage_{v}"] for v in views}, r["pre_linkage"], r["fusion"], least)
+                    final, score = fuse_views(labels, r["k_final"], r["pre_linkage"], r["fusion"], least)
                 except Exception:
                     out.append(pd.DataFrame({"ind": [r["ind"]], "boot": [r["boot"]], "view": ["failed"], "id": pd.array([None], "Int64"), "label": pd.array([None], "Int64"), "score": [float("nan")]}))
                     continue
-                for v, labels, score in [*((v, found["labels"][v], found["view_scores"][v]) for v in views), ("final", found["final"], found["score"])]:
-                    out.append(pd.DataFrame({"ind": r["ind"], "boot": r["boot"], "view": v, "id": ids, "label": labels.astype("int64"), "score": score}))
+                for v, found, s in [*((v, m, p["score"]) for v, m, p in zip(views, labels, r["parts"], strict=True)), ("final", final, score)]:
+                    out.append(pd.DataFrame({"ind": r["ind"], "boot": r["boot"], "view": v, "id": ids, "label": found.astype("int64"), "score": s}))
             if out:
                 yield pd.concat(out)
 
-    n = max(1, points.sparkSession.sparkContext.defaultParallelism)
-    return grid.repartition(n, "ind", "boot").mapInPandas(run, "ind long, boot long, view string, id long, label long, score double")
+    return grid.repartition(4 * max(1, spark.sparkContext.defaultParallelism)).mapInPandas(run, "ind long, boot long, view string, id long, label long, score double")
 
 
 def completed(labels: DataFrame, most_failed: float = 0.1) -> DataFrame:
