@@ -28,7 +28,7 @@ from .common import free, settle, table, text_batches
 from .language import held_out
 
 #: Bounds of the labelled documents learned from (of smallest hash); words that a task holds before it emits their counts.
-LABELLED, CALIBRATED, HELD = 200_000, 20_000, 1 << 20
+LABELLED, CALIBRATED, HELD = 100_000, 20_000, 1 << 20
 DISCOUNT, TOP, THRESHOLD = 1.5, 3, 0.3
 EVIDENCE = 5
 NAMES = [f"evidence{k}" for k in range(EVIDENCE)]
@@ -43,9 +43,12 @@ def words(text: bytes | None) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in (text or b"").lower().translate(_KEPT).split()], np.uint64).view(np.int64)
 
 
-def before(h: np.ndarray) -> np.ndarray:
-    """The word before each."""
-    return np.concatenate([np.array([BEGIN], np.int64), h[:-1]])[: len(h)]
+def before(h: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """The word before each of one text, or of several that begin at starts."""
+    v = np.concatenate([np.array([BEGIN], np.int64), h[:-1]])[: len(h)]
+    if starts is not None:
+        v[starts] = BEGIN
+    return v
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -62,11 +65,12 @@ class Known:
         self.known, self.values = known[order], np.c_[values[:, order], default].astype(np.float32)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
+        h, back = np.unique(h, return_inverse=True)  # sorted, the search stays in the cache
         at = np.searchsorted(self.known, h)
         missing = len(self.known)
         if missing:
             at = np.where(self.known[np.minimum(at, missing - 1)] == h, at, missing)
-        return self.values[:, at]
+        return self.values[:, at[back]]
 
 
 class Model:
@@ -75,23 +79,30 @@ class Model:
     def __init__(self, levels: tuple[Known, Known, Known] | None):
         self.levels, self.weights = levels, np.zeros(EVIDENCE + 1)
 
-    def ratios(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ratios(self, h: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log P(. | toxic) - log P(. | ordinary) of each word alone and after the word before it."""
         if self.levels is None:
             return np.zeros(len(h)), np.zeros(len(h))
         word, freed, pair = self.levels
-        v = before(h)
+        v = before(h, starts)
         low = word(h).astype(float)
         high = pair(pair_hash(v, h)) + freed(v) * low
         return np.log(low[1] / low[0]), np.log(high[1] / high[0])
 
-    def evidence(self, text: bytes | None) -> tuple[float, ...]:
-        h = words(text)
-        if not len(h):
-            return (0.0,) * EVIDENCE
-        low, high = self.ratios(h)
-        top = np.sort(low)[-TOP:]
-        return float(high.mean()), float(top[-1]), float(top.sum() / TOP), float(high.max()), float(np.log(len(h)))
+    def evidence(self, hashes: list[np.ndarray]) -> np.ndarray:
+        """A row for each text, given as the hashes of its words; zeros without a word."""
+        sizes = np.array([len(h) for h in hashes], int)
+        out, full = np.zeros((len(hashes), EVIDENCE)), np.flatnonzero(sizes)
+        if len(full):
+            h, starts = np.concatenate([hashes[k] for k in full]), np.cumsum(sizes[full]) - sizes[full]
+            low, high = self.ratios(h, starts)
+            out[full, 0] = np.add.reduceat(high, starts) / sizes[full]
+            out[full, 3] = np.maximum.reduceat(high, starts)
+            out[full, 4] = np.log(sizes[full])
+            for k, a, n in zip(full.tolist(), starts.tolist(), sizes[full].tolist(), strict=True):
+                top = np.sort(low[a : a + n] if n <= TOP else np.partition(low[a : a + n], n - TOP)[-TOP:])
+                out[k, 1], out[k, 2] = top[-1], top.sum() / TOP
+        return out
 
     def calibrate(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
         """Fits the logistic curve by Newton's method, slightly drawn to zero; without both classes it stays at their share."""
@@ -110,8 +121,8 @@ class Model:
                 break
         self.weights = w
 
-    def score(self, evidence: tuple[float, ...]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights[0] + np.dot(self.weights[1:], evidence), -30, 30))))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + evidence @ self.weights[1:], -30, 30)))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -223,8 +234,14 @@ def _with_evidence(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.evidence(t.as_py()) for t in batch.column("text").cast(pa.binary())]
-            more = [pa.array([f[k] for f in found], pa.float64()) for k in range(EVIDENCE)] + [pa.array([shared.value.score(f) for f in found], pa.float64())]
+            found, held = [np.zeros((0, EVIDENCE))], []
+            for text in batch.column("text").cast(pa.binary()):
+                held.append(words(text.as_py()))
+                if sum(map(len, held[-50:])) > HELD // 4 or len(held) == 200:
+                    found.append(shared.value.evidence(held))
+                    held = []
+            found = np.concatenate([*found, shared.value.evidence(held)])
+            more = [pa.array(x) for x in (*found.T, shared.value.score(found))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *more], [*columns, *names])
 
     schema = T.StructType([*kept.schema, *[T.StructField(n, T.DoubleType()) for n in names]])
