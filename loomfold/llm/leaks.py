@@ -38,9 +38,10 @@ def _grams(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, every).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """df, to be broadcast if its rows, or what size says they hold, are few enough."""
+    n = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] if size is not None else df.count()
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     found = settle(found.groupBy("doc_id", "text_hash").agg(F.collect_set(window).alias("windows")))
     # The texts of the documents found are read again, those of the others are not cut into words.
     sought = found.select(F.col("doc_id").alias("doc_id_"), F.col("text_hash").alias("text_hash_"), "windows")
-    again = own.join(_small(sought), F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_")))
+    again = own.join(_small(sought, 1 + F.size("windows")), F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_")))
     # Words are a column of their own: nested into _grams they would be cut anew for each shingle.
     again = again.select("doc_id", "text_hash", "windows", _words(F.col("text")).alias("words"))
     again = again.select("doc_id", "text_hash", "windows", _grams(F.col("words")).alias("grams")).withColumn("w", F.explode("windows"))

@@ -3,7 +3,7 @@
 Each source's documents, shuffled by hash, form one stream of words, cut into blocks of equal numbers of words. Slot i
 of the mix maps the point frac(i * golden ratio) through the cumulative targets to a source, so that every stretch
 of the schedule is mixed like the whole. Slots are ranked per source; rank r takes block r modulo the source's blocks.
-A source's slots end when its quota of words is reached; slots that the points leave short are put at the end.
+A source's slots end when its quota of words is reached; slots that the points leave short are spread over the whole schedule.
 
 Streams and ranks are prefix sums in two steps (within hash buckets, then over their totals), so no source is sorted in one task.
 """
@@ -39,7 +39,8 @@ def water_fill(sizes: list[int], weights=WEIGHTS, most: float = MOST) -> list[fl
         for k in full:
             targets[k] = float(most * sizes[k])
             left -= targets[k]
-        free = [k for k in free if k not in set(full)]
+        gone = set(full)
+        free = [k for k in free if k not in gone]
     return targets
 
 
@@ -72,7 +73,7 @@ class Mix:
         return self.spark.createDataFrame(rows, "sid int, source string, source_size long, target double, quota long, blocks long, slots long")
 
     def schedule(self) -> DataFrame:
-        """One row per slot: slot, sid, rank, blk, epoch, first_word, end_word (a range of the source's stream)."""
+        """One row per slot: slot (the order; numbers have gaps), sid, rank, blk, epoch, first_word, end_word (a range of the source's stream)."""
         total = sum(self.slots)
         edges, at = [], 0.0
         whole = sum(self.quota) or 1
@@ -91,14 +92,14 @@ class Mix:
         in_chunk = F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1
         ranked = points.withColumn("in_chunk", in_chunk).join(before, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + F.col("in_chunk")).alias("rank"))
         had = {r["sid"]: r["count"] for r in counts.groupBy("sid").agg(F.sum("count").alias("count")).collect()}
+        # Slots are numbered with room between them, for those of sources that the points leave short.
+        room = len(edges) + 1
+        ranked = ranked.withColumn("slot", F.col("slot") * room)
         short = [(k, had.get(k, 0), n) for k, n in enumerate(self.slots) if had.get(k, 0) < n]
         if short:
-            starts, at = [], total
-            for k, a, n in short:
-                starts.append((k, a, n, at))
-                at += n - a
-            late = self.spark.createDataFrame(starts, "sid int, a long, n long, at long").withColumn("rank", F.explode(F.sequence("a", F.col("n") - 1)))
-            ranked = ranked.unionByName(late.select((F.col("at") + F.col("rank") - F.col("a")).alias("slot"), "sid", "rank"))
+            late = self.spark.createDataFrame(short, "sid int, a long, n long").withColumn("rank", F.explode(F.sequence("a", F.col("n") - 1)))
+            nth = F.floor((F.col("rank") - F.col("a")) * F.lit(max(total, 1)) / (F.col("n") - F.col("a")))
+            ranked = ranked.unionByName(late.select((nth * room + 1 + F.col("sid")).cast("long").alias("slot"), "sid", "rank"))
         ranked = ranked.join(F.broadcast(self._table()), "sid").filter("rank < slots")  # at most MAX_SOURCES rows
         ranked = ranked.withColumn("blk", F.expr("rank % blocks")).withColumn("epoch", F.expr("rank div blocks")).withColumn("first_word", F.col("blk") * self.block)
         end = F.least(F.col("first_word") + self.block, F.col("source_size"), F.col("quota") - F.col("epoch") * F.col("source_size"))

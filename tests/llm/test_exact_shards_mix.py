@@ -136,6 +136,65 @@ def test_mix_takes_the_quotas(spark, block):
     assert sorted(map(tuple, mixing.mix(docs.repartition(5), block=block).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def brute_taken(rows, block):
+    """Words taken of each row: every source's shuffled stream as a list of its rows' numbers, a slot at a time."""
+    size = [len((t or "").split()) for _, _, t in rows]
+    words = Counter()
+    for (_, s, _), n in zip(rows, size, strict=True):
+        words[s] += n
+    order = sorted(words, key=lambda s: (s is None, s or ""))
+    weight, left, target, free = (5, 2, 1), float(sum(size)), {}, list(range(len(order)))
+    while free:  # by plain resharing
+        whole = sum(weight[k % 3] for k in free)
+        share = {k: left * weight[k % 3] / whole for k in free}
+        full = [k for k in free if share[k] > 3 * words[order[k]]]
+        for k in full or free:
+            target[k] = 3.0 * words[order[k]] if full else share[k]
+        left -= sum(target[k] for k in full)
+        free = [k for k in free if k not in full] if full else []
+    return {order[k]: min(int(t + 0.5), 3 * words[order[k]]) for k, t in target.items()}, size
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_taken_of_each_document_equals_brute_force(spark, block):
+    rng = random.Random(20 + block)
+    rows = [(k % 90, rng.choice(["a", "b", "ü", None, "small"] if k < 9 else ["a", "b", "ü", None]), " ".join(["w"] * rng.randint(0, 50)) + f" x{k}") for k in range(160)]
+    rows += [(7, "a", rows[7][2]), (500, "b", "long " * 60_000), (None, "a", "no id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mix = mixing.Mix(docs, block=block)
+    quota, size = brute_taken(rows, block)
+    placed = {}
+    for r in mix.streams().filter("size > 0").collect():
+        placed.setdefault(r["sid"], []).append((r["first_word"], r["doc_id"], r["size"]))
+    names = {k: s for k, s, _, _ in mix.sources}
+    want = Counter()
+    for sid, own in placed.items():
+        stream = [n for n, (_, _, w) in enumerate(sorted(own, key=lambda x: x[0])) for _ in range(w)]
+        docs_of = sorted(own, key=lambda x: x[0])
+        assert [f for f, _, _ in docs_of] == [sum(w for _, _, w in docs_of[:k]) for k in range(len(docs_of))]  # one stream without gaps
+        times, rest = divmod(quota[names[sid]], len(stream))
+        for at, n in enumerate(stream):
+            want[sid, docs_of[n][0]] += times + (at < rest)
+    got = Counter()
+    by_place = {(sid, d, w): [] for sid, own in placed.items() for f, d, w in own}
+    for sid, own in placed.items():
+        for f, d, w in own:
+            by_place[sid, d, w].append(want[sid, f])
+    found = {}
+    for r in mix.taken().filter("size > 0").collect():
+        sid = next(k for k, s, total, _ in mix.sources if total == r["source_size"] and (k, r["doc_id"], r["size"]) in by_place)
+        found.setdefault((sid, r["doc_id"], r["size"]), []).append(r["taken"])
+        got[sid] += r["taken"]
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in by_place.items()}
+    assert {names[k]: n for k, n in got.items()} == {s: q for s, q in quota.items() if q}
+
+
+def test_mix_ignores_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "ab"[k % 2], "w " * k) for k in range(1, 30)], "doc_id long, source string, text string")
+    clash = docs.selectExpr("*", "1 as source_size", "2 as bucket", "3 as blk", "4 as h", "5 as key", "6 as size", "7 as taken")
+    assert sorted(map(tuple, mixing.mix(clash).collect())) == sorted(map(tuple, mixing.mix(docs).collect()))
+
+
 def test_mix_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(empty).count() == 0 and mixing.mix(empty).columns == ["doc_id", "size", "source_size", "target", "taken"]

@@ -137,6 +137,53 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in language.query(docs).collect()} == {k: lang for k, _, lang in rows}
 
 
+def plain_grams(text):
+    """The n-grams of a text by plain strings: lower-cased, runs of non-letters one space, a space at either end."""
+    code = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+    while "  " in code:
+        code = code.replace("  ", " ")
+    if not code.strip():
+        return []
+    code = (" " if code[0] != " " else "") + code + (" " if code[-1] != " " else "")
+    code += " " * max(0, language.N - len(code))
+    return [code[k : k + language.N] for k in range(len(code) - language.N + 1)]
+
+
+def test_language_counts_equal_plain_ones(spark):
+    """Masks of all n-grams against sets of strings, and corrected counts; a long text and a tie."""
+    rows = language_rows(random.Random(6), 200)
+    rows += [(900, "karmo " * 40_000, "aa"), (901, "Ünïcode ßtraße LOMI", "bb"), (902, "xyzzy qwfp", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, share=0.05)
+    assert model.languages == ["aa", "bb", "cc"]
+    typical = {}
+    for lang in model.languages:
+        own = [set(plain_grams(t)) for d, t, k in rows if k == lang and zlib.crc32(str(d).encode()) % 4 != 2]
+        has = Counter(g for s in own for g in s)
+        typical[lang] = {g for g, n in has.items() if n >= 0.05 * len(own)}
+    false = 0
+    for _, text, _ in rows:
+        grams = plain_grams(text)
+        h = language.grams(text)
+        assert len(h) == len(grams)
+        want, mask = {}, ~language.np.zeros((len(h), 1), language.np.uint64)
+        for at in language._positions(h, model.length):
+            mask &= model.words[at]
+        for k, lang in enumerate(model.languages):
+            told = (mask[:, 0] >> language.np.uint64(k)) & language.np.uint64(1)
+            truth = [g in typical[lang] for g in grams]
+            assert all(b or not t for b, t in zip(told.tolist(), truth, strict=True))  # nothing is lost
+            false += sum(b and not t for b, t in zip(told.tolist(), truth, strict=True)) if len(grams) < 1000 else 0
+            n = int(told.sum())
+            want[lang] = max(0.0, (n - len(grams) * model.false[k]) / (1 - model.false[k]))
+        best = max(want, key=lambda k: (want[k], -model.languages.index(k)))
+        got = model.predict(text)
+        assert got[0] == best and got[1] == pytest.approx(want[best] / sum(want.values()) if want[best] else 0.0) and got[2] == pytest.approx(min(1, want[best] / len(grams)))
+    assert false < 0.05 * sum(len(plain_grams(t)) for _, t, _ in rows[:200])
+    # Nothing known: all languages tie at 0, the first is told with score 0.
+    assert model.predict("ωψξ") == ("aa", 0.0, 0.0)
+
+
 def test_language_without_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.query(empty).count() == 0
