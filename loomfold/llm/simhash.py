@@ -11,9 +11,11 @@ sub-cells of entries and queries, each pair of which is a task of its own: no ta
 a spanning forest of the links it finds, not the links, so a group of n yields fewer than n rows from each task.
 Components come from alternating large and small stars over those edges.
 
-With a similarity, fingerprints only propose: each lane is probed in turn, and a proposed pair is a link if the Jaccard similarity
-of its shingle bags, joined from the texts, is reached. The spanning forests of closest pairs are verified first; where one of their
-pairs fails, all pairs proposed between the parts that its group falls into are verified.
+With a similarity, fingerprints only propose: several independent ones (lanes), each within a small radius, so that what is compared does not
+grow with the square of the corpus. The components of what they propose are groups, whose pairs are all compared by the Jaccard similarity
+of their bags of shingles. Bags are shipped once, to a task for many groups; a group of more than BLOCK bytes or MOST nodes is cut into
+blocks. Each block is resolved for itself, then the closest proposed pairs between parts of different blocks are verified, and then
+the nodes outside the group's largest part are compared with all others: only they meet every block.
 """
 
 from __future__ import annotations
@@ -30,18 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, settle, text_batches
+from .common import free, possible, row_key, settle, text_batches
 
 SEED, BITS = 42, 64
 #: Fingerprints, of smallest hash, from which the grouping of bits is fitted; it affects speed only.
 SAMPLE = 4096
 #: Entries of a cell beyond which it is split; candidates held at once; candidates that a probe costs as much as.
 CELL, CHUNK, PROBE_COST = 1 << 18, 1 << 21, 2.0
-MOST_BITS = 16
-#: Of the bits of all lanes, one in FAR may differ in a pair proposed for a similarity: 64 of 256, where 0.8 has 39 in the mean.
-FAR = 4
-#: Up to so many nodes, pairs to propose are found by comparing all.
-FEW = 2048
+#: Leading bits of a partition's values that are counted, at most: with one lane, with more.
+MOST_BITS = 16, 13
+#: Bytes of bags, and nodes, that a task compares; rows of a small table that is broadcast.
+BLOCK, MOST, SMALL = 8 << 20, 4096, 100_000
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -116,7 +117,7 @@ def _bag_prints(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
 
 
 class Plan:
-    """How fingerprints are cut, and what each value of each partition costs to probe; at most parts * 2**16 counts."""
+    """How fingerprints are cut, and what each value of each partition costs to probe."""
 
     def __init__(self, bits: list[list[int]], radius: int, cell_bits: int):
         self.bits, self.radius, self.cell_bits = bits, radius, cell_bits
@@ -189,63 +190,79 @@ def _grouped_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def _n_parts(n: int, radius: int) -> int:
-    """Fewer and wider partitions where values would be too common."""
-    return next((p for p in (4, 3) if n < 1 << (BITS // p + 8)), 2) if radius <= 12 else 4
+    """The number of partitions with which probing costs least if all values are equally common: fewer and wider ones the more there are."""
 
+    def cost(parts: int) -> float:
+        total = 0.0
+        for k in range(parts):
+            t, width = (radius + 1) // parts + (k < (radius + 1) % parts) - 1, BITS // parts
+            probes = sum(comb(width, x) for x in range(t + 1))
+            total += probes * (PROBE_COST + n / 2.0**width)
+        return total
 
-def make_plan(nodes: DataFrame, n: int, radius: int) -> Plan:
-    sample = nodes.select("fp0").orderBy(F.xxhash64("fp0"), "fp0").limit(SAMPLE).toPandas()["fp0"].to_numpy(np.int64)
-    plan = Plan(_grouped_bits(sample, _n_parts(n, radius)), radius, min(14, max(2, (n >> 17).bit_length())))
+    return min((2, 3, 4), key=cost) if radius <= 12 else 4
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = [1 << min(len(b), MOST_BITS) for b in plan.bits]
-        total = [np.zeros(s, np.int64) for s in size]
-        for batch in batches:
-            fp = batch.column("fp0").to_numpy()
-            for k, bits in enumerate(plan.bits):
-                total[k] += np.bincount(plan.values(fp, k) >> max(0, len(bits) - MOST_BITS), minlength=size[k])
-        for k, t in enumerate(total):
-            at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(at), k, np.int32)), "value": pa.array(at.astype(np.int32)), "n": pa.array(t[at])})
-
-    rows = nodes.select("fp0").mapInArrow(run, "part int, value int, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas()
-    counts = [np.zeros(1 << min(len(b), MOST_BITS), np.int64) for b in plan.bits]
-    for k, own in rows.groupby("part"):
-        counts[k][own["value"].to_numpy()] = own["n"].to_numpy()
-    plan.weigh(counts)
-    return plan
 
+def make_plans(nodes: DataFrame, n: int, radius: int, lanes: list[str]) -> list[Plan]:
+    """A plan for each lane, from one sample and one pass over all values."""
+    sample = nodes.select(*lanes).orderBy(F.xxhash64(*lanes), *lanes).limit(SAMPLE).toPandas()
+    parts, cell_bits = _n_parts(n, radius), min(14, max(2, (n >> 17).bit_length()))
+    plans = [Plan(_grouped_bits(sample[x].to_numpy(np.int64), parts), radius, cell_bits) for x in lanes]
+    most = max(MOST_BITS[len(lanes) > 1], cell_bits)  # the counts of all lanes are held by the driver
+    sizes = [1 << min(len(b), most) for b in plans[0].bits]
 
-def _dealt(nodes: DataFrame, plan, lanes: list[str]) -> DataFrame:
-    """Entries (t = -1) and queries of each cell: part, cell, i, j (of its sub-cells), t, node and lanes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [[np.zeros(s, np.int64) for s in sizes] for _ in lanes]
+        for batch in batches:
+            for lane, plan in enumerate(plans):
+                fp = batch.column(lane).to_numpy()
+                for k, bits in enumerate(plan.bits):
+                    total[lane][k] += np.bincount(plan.values(fp, k) >> max(0, len(bits) - most), minlength=sizes[k])
+        for lane, own in enumerate(total):
+            for k, t in enumerate(own):
+                at = np.flatnonzero(t)
+                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(at), lane * parts + k, np.int32)), "value": pa.array(at.astype(np.int32)), "n": pa.array(t[at])})
+
+    rows = nodes.select(*lanes).mapInArrow(run, "part int, value int, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toArrow()
+    counts = [[np.zeros(s, np.int64) for s in sizes] for _ in lanes]
+    at, value, n_ = (rows.column(c).to_numpy() for c in ("part", "value", "n"))
+    for part in np.unique(at).tolist():
+        counts[part // parts][part % parts][value[at == part]] = n_[at == part]
+    for plan, own in zip(plans, counts, strict=True):
+        plan.weigh(own)
+    return plans
+
+
+def _dealt(nodes: DataFrame, plans, lanes: list[str]) -> DataFrame:
+    """Entries (t = -1) and queries of each cell: lane, part, cell, i, j (of its sub-cells), t, node and the lane's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Plan = plan.value
-        near = [_masks(p.cell_bits, t) for t in range(p.cell_bits + 1)]
         for batch in batches:
-            fp, out = batch.column("fp0").to_numpy(), []
-            values = [p.values(fp, k) for k in range(len(p.bits))]
-            t = p.thresholds(values)
-            for k, v in enumerate(values):
-                prefix, split = v >> (len(p.bits[k]) - p.cell_bits), p.splits[k]
-                rows = np.arange(len(fp))
-                out.append((k, prefix, rows, np.full(len(fp), -1)))
-                for d in range(min(p.most, p.cell_bits) + 1):
-                    rows = np.flatnonzero(t[k] >= d)
-                    for m in near[d]:
-                        out.append((k, prefix[rows] ^ m, rows, t[k][rows]))
-            for k, cell, rows, own in out:
-                s = split_of = p.splits[k][cell].astype(np.int64)
-                mine = (fp[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % split_of
-                rep = np.repeat(np.arange(len(rows)), s)
-                other = np.arange(len(rep)) - np.repeat(np.cumsum(s) - s, s)
-                entry = own[rep] < 0
-                i, j = np.where(entry, mine[rep], other), np.where(entry, other, mine[rep])
-                taken = batch.select(["node", *lanes]).take(pa.array(rows[rep]))
-                columns = [np.full(len(rep), k, np.int32), cell[rep].astype(np.int32), i.astype(np.int32), j.astype(np.int32), own[rep].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *taken.columns], ["part", "cell", "i", "j", "t", "node", *lanes])
-
-    return nodes.select("node", *lanes).mapInArrow(run, "part int, cell int, i int, j int, t int, node long, " + ", ".join(f"{x} long" for x in lanes))
+            for lane, p in enumerate(plans.value):
+                fp, out = batch.column(lanes[lane]).to_numpy(), []
+                near = [_masks(p.cell_bits, t) for t in range(min(p.most, p.cell_bits) + 1)]
+                values = [p.values(fp, k) for k in range(len(p.bits))]
+                t = p.thresholds(values)
+                for k, v in enumerate(values):
+                    prefix = v >> (len(p.bits[k]) - p.cell_bits)
+                    rows = np.arange(len(fp))
+                    out.append((k, prefix, rows, np.full(len(fp), -1)))
+                    for d, masks in enumerate(near):
+                        rows = np.flatnonzero(t[k] >= d)
+                        for m in masks:
+                            out.append((k, prefix[rows] ^ m, rows, t[k][rows]))
+                for k, cell, rows, own in out:
+                    s = p.splits[k][cell].astype(np.int64)
+                    mine = (fp[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % s
+                    rep = np.repeat(np.arange(len(rows)), s)
+                    other = np.arange(len(rep)) - np.repeat(np.cumsum(s) - s, s)
+                    entry = own[rep] < 0
+                    i, j = np.where(entry, mine[rep], other), np.where(entry, other, mine[rep])
+                    columns = [np.full(len(rep), x, np.int32) for x in (lane, k)] + [x.astype(np.int32) for x in (cell[rep], i, j, own[rep])]
+                    node = batch.column("node").take(pa.array(rows[rep]))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), node, pa.array(fp[rows[rep]])], ["lane", "part", "cell", "i", "j", "t", "node", "fp"])
+
+    return nodes.select("node", *lanes).mapInArrow(run, "lane int, part int, cell int, i int, j int, t int, node long, fp long")
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -272,11 +289,11 @@ def _candidates(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.n
     """Numbers of queries and of the entries within their thresholds, some CHUNK at a time."""
     width = len(plan.bits[part])
     low = width - plan.cell_bits
-    v = plan.values(entry[:, 0], part) & ((1 << low) - 1)
+    v = plan.values(entry, part) & ((1 << low) - 1)
     order = np.argsort(v, kind="stable")
     sorted_v = v[order]
     table = np.searchsorted(sorted_v, np.arange((1 << low) + 1)) if low <= 20 else None
-    q = plan.values(query[:, 0], part)
+    q = plan.values(query, part)
     prefix = q >> low
     by = {}
     for key in np.unique(np.stack([prefix, t], 1), axis=0):
@@ -308,11 +325,11 @@ def _candidates(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.n
 
 
 def _links(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The root of each entry and query (one row each; columns of lanes) under the links between queries and entries."""
+    """The root of each entry and query under the links between queries and entries."""
     n = len(entry)
     label = np.arange(n + len(query))
     for x, e in _candidates(plan, part, cell, entry, query, t):
-        differ = _ones(query[x, 0] ^ entry[e, 0])
+        differ = _ones(query[x] ^ entry[e])
         ok = (differ <= plan.radius) & (label[n + x] != label[e])
         x, e = x[ok], e[ok]
         if len(x):
@@ -335,57 +352,46 @@ def _spanning(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
     return order[np.concatenate(kept)]
 
 
-def _pairs(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.ndarray, t: np.ndarray, ids: np.ndarray, comp: np.ndarray | None, whole: int) -> pd.DataFrame:
-    """Pairs of nodes (ids of the entries, then of the queries) within the radius and, all lanes together, within whole: a spanning
-    forest of the closest, or, with comp, all between different ones."""
+def _pairs(plan: Plan, part: int, cell: int, entry: np.ndarray, query: np.ndarray, t: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """A spanning forest of the closest pairs (u, v, far) of nodes (ids of the entries, then of the queries) within the radius."""
     n = len(entry)
     nodes, at = np.unique(ids, return_inverse=True)
     held = np.empty((3, 0), np.int64)
     for x, e in _candidates(plan, part, cell, entry, query, t):
-        ok = (_ones(query[x, 0] ^ entry[e, 0]) <= plan.radius) & (at[n + x] != at[e])
-        if comp is not None:
-            ok &= comp[n + x] != comp[e]
-        x, e = x[ok], e[ok]
-        far = _ones(query[x] ^ entry[e]).sum(axis=1, dtype=np.int64)
-        ok = far <= whole
+        far = _ones(query[x] ^ entry[e]).astype(np.int64)
+        ok = (far <= plan.radius) & (at[n + x] != at[e])
         if not ok.any():
             continue
         a, b = at[n + x[ok]], at[e[ok]]
         held = np.concatenate([held, np.stack([np.minimum(a, b), np.maximum(a, b), far[ok]])], axis=1)
-        if comp is None and held.shape[1] > CHUNK:
+        if held.shape[1] > CHUNK:
             held = held[:, _spanning(*held)]
-    held = held[:, _spanning(*held)] if comp is None else np.unique(held, axis=1)
-    return pd.DataFrame({"u": nodes[held[0]], "v": nodes[held[1]]})
-
+    held = held[:, _spanning(*held)]
+    return pd.DataFrame({"u": nodes[held[0]], "v": nodes[held[1]], "far": held[2]})
 
-def forest(nodes: DataFrame, radius: int, whole: int | None = None) -> DataFrame:
-    """Edges (u, v) between nodes (node, fp0, ...) whose components are those of all links: fp0 within radius.
 
-    With whole, edges are themselves pairs with all lanes together within whole; if nodes have a comp, all such pairs of different ones.
-    """
+def forest(nodes: DataFrame, radius: int, direct: bool = False) -> DataFrame:
+    """Edges (u, v, far) between nodes (node, fp0, ...) whose components are those of all links, some lane within radius; if direct, edges are links themselves."""
     lanes = [c for c in nodes.columns if c.startswith("fp")]
-    more = [c for c in nodes.columns if c == "comp"]
-    n = nodes.count()
-    plan = nodes.sparkSession.sparkContext.broadcast(make_plan(nodes, n, radius))
+    plans = nodes.sparkSession.sparkContext.broadcast(make_plans(nodes, nodes.count(), radius, lanes))
 
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        lane = own[lanes].to_numpy(np.int64)
-        t, node = own["t"].to_numpy(), own["node"].to_numpy()
+        fp, t, node = (own[c].to_numpy(np.int64) for c in ("fp", "t", "node"))
         entries, queries = np.flatnonzero(t < 0), np.flatnonzero(t >= 0)
         if not len(entries) or not len(queries):
-            return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+            return pd.DataFrame({"u": [], "v": [], "far": []}, dtype=np.int64)
         both = np.concatenate([entries, queries])
-        args = plan.value, int(key[0]), int(key[1]), lane[entries], lane[queries], t[queries]
-        if whole is not None:
-            return _pairs(*args, node[both], own["comp"].to_numpy()[both] if more else None, whole)
+        args = plans.value[key[0]], int(key[1]), int(key[2]), fp[entries], fp[queries], t[queries]
+        if direct:
+            return _pairs(*args, node[both])
         label, ids = _links(*args), node[both]
         # An entry and a query may be the same node.
         far = np.flatnonzero(label != np.arange(len(label)))
-        found = pd.DataFrame({"u": ids[far], "v": ids[label[far]]})
+        found = pd.DataFrame({"u": ids[far], "v": ids[label[far]], "far": 0})
         return found[found["u"] != found["v"]].drop_duplicates()
 
-    dealt = _dealt(nodes, plan, lanes + more)
-    return settle(dealt.groupBy("part", "cell", "i", "j").applyInPandas(run, "u long, v long").distinct())
+    found = _dealt(nodes, plans, lanes).groupBy("lane", "part", "cell", "i", "j").applyInPandas(run, "u long, v long, far long")
+    return settle(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("far").alias("far")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -405,75 +411,142 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _proposed(nodes: DataFrame, radius: int, lanes: int) -> DataFrame:
-    """Distinct pairs u < v that forest() finds with any of the lanes as the first; together, at most FAR of the bits differ."""
-    few = nodes.limit(FEW + 1).toArrow()
-    if few.num_rows <= FEW:
-        node, lane = few.column("node").to_numpy(), np.stack([few.column(f"fp{k}").to_numpy() for k in range(lanes)], axis=1)
-        comp = few.column("comp").to_numpy() if "comp" in nodes.columns else None
-        held = [np.empty((3, 0), np.int64)]
-        for k in range(len(node)):
-            far = _ones(lane[k] ^ lane[k + 1 :]).sum(axis=1, dtype=np.int64)
-            at = np.flatnonzero((far <= BITS * lanes // FAR) & (True if comp is None else comp[k] != comp[k + 1 :]))
-            held.append(np.stack([np.full(len(at), k), k + 1 + at, far[at]]))
-        u, v, far = np.concatenate(held, axis=1)
-        use = _spanning(u, v, far) if comp is None else slice(None)
-        u, v = node[u[use]], node[v[use]]
-        return settle(nodes.sparkSession.createDataFrame(pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}), "u long, v long"))
-    found = None
-    for k in range(lanes):
-        turned = nodes.select(*[c for c in nodes.columns if not c.startswith("fp")], *[F.col(f"fp{(k + j) % lanes}").alias(f"fp{j}") for j in range(lanes)])
-        own = forest(turned, radius, BITS * lanes // FAR)
-        found = own if found is None else found.unionByName(own)
-    return settle(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose bags of shingles have the similarity, from a text of each node (first.key names its row)."""
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Bags:
+    """Bags of shingles, each a sorted set of hashes, of which one can be compared with many at once."""
+
+    def __init__(self, bags: list[bytes]):
+        self.sizes = np.array([len(b) // 8 for b in bags])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.unique(np.frombuffer(b"".join(bags), np.uint64), return_inverse=True)[1]
+        self.marks = np.zeros(len(self.ids), bool)
+
+    def alike(self, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the others, as numbers of bags, have the similarity with one; a bag of nothing has it with none."""
+        size = self.sizes[others]
+        own = self.ids[self.starts[one] : self.starts[one] + self.sizes[one]]
+        self.marks[own] = True
+        where = np.repeat(self.starts[others] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        hits = np.concatenate([[0], np.cumsum(self.marks[self.ids[where]])])
+        self.marks[own] = False
+        ends = np.cumsum(size)
+        both = hits[ends] - hits[ends - size]
+        return (both > 0) & (both >= similarity * (self.sizes[one] + size - both) - 1e-9)
+
+
+def resolved(bags: Bags, similarity: float) -> np.ndarray:
+    """The root of each bag under all pairs of the similarity: from each bag reached, those not reached yet are looked at."""
+    n = len(bags.sizes)
+    label, left = np.arange(n), np.arange(n)
+    while len(left) > 1:
+        root, front, left = left[0], [left[0]], left[1:]
+        while front and len(left):
+            hit = bags.alike(front.pop(), left, similarity)
+            if hit.any():
+                label[left[hit]] = root
+                front += left[hit].tolist()
+                left = left[~hit]
+    return label
+
+
+def _bags_of(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """members (node, grp, key) with their bag, from the text of the row that key names."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [numbered(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("node"), pa.array(found, pa.binary())], ["grp", "node", "bag"])
+
+    rows = possible(text_batches(docs).select(row_key(docs), F.col("text").cast("string").alias("text")), "key", members, "key").dropDuplicates(["key"])
+    return settle(rows.join(members, "key").select("grp", "node", "text").mapInArrow(cut, "grp long, node long, bag binary"))
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) that have the similarity."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(both > 0 and both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            ok = [bool(Bags([x.as_py(), y.as_py()]).alike(0, np.array([1]), similarity)[0]) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = settle(nodes.join(ends, "node").select("node", F.col("first.key").alias("key")))
-    texts = docs.select(row_key(docs), F.col("text").cast("string").alias("text")).join(wanted, "key").select("node", "text")
-    held = settle(text_batches(texts).mapInArrow(bags, "node long, bag binary").dropDuplicates(["node"]))
-    x, y = held.select(F.col("node").alias("u"), F.col("bag").alias("x")), held.select(F.col("node").alias("v"), F.col("bag").alias("y"))
+    x, y = bags.select(F.col("node").alias("u"), F.col("bag").alias("x")), bags.select(F.col("node").alias("v"), F.col("bag").alias("y"))
     return settle(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"))
 
 
+def _rooted(df: DataFrame, roots: DataFrame, name: str, as_: str) -> DataFrame:
+    return df.join(roots.select(F.col("node").alias(name), F.col("root").alias(as_)), name, "left").withColumn(as_, F.coalesce(as_, name))
+
+
+def _blocks(size: str = "bytes", n: str = "n"):
+    return F.greatest(F.ceil(F.col(size) / BLOCK), F.ceil(F.col(n) / MOST), F.lit(1)).cast("int")
+
+
 def _similar_roots(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, lanes: int, similarity: float) -> DataFrame:
     """node and root of every node that a link of the similarity reaches (roots left out)."""
-    names = [f"fp{k}" for k in range(lanes)]
-    pairs = _proposed(nodes.select("node", *names), radius, lanes)
-    good = _verified(docs, nodes, pairs, shingle, similarity)
-    roots = settle(components(good))
-
-    def rooted(df: DataFrame, name: str) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
-
-    # Where all pairs of a group's forest hold, it is one component; else its parts may be linked by pairs that no forest held.
-    failed = settle(rooted(rooted(pairs, "u"), "v").filter("u_root <> v_root").select("u"))
-    if failed.isEmpty():
-        return roots
-    groups = settle(components(pairs))
-    groups = groups.unionByName(groups.select("root", F.col("root").alias("node")).distinct()).select("node", "root")
-    split = groups.join(failed.withColumnRenamed("u", "node"), "node").select("root").distinct()
-    parts = groups.join(split, "root").select("node").join(nodes, "node").select("node", *names)
-    parts = settle(rooted(parts, "node").withColumnRenamed("node_root", "comp"))
-    rest = settle(_proposed(parts, radius, lanes).join(pairs, ["u", "v"], "left_anti"))
-    return components(good.unionByName(_verified(docs, nodes, rest, shingle, similarity)))
+    pairs = forest(nodes.select("node", *[f"fp{k}" for k in range(lanes)]), radius, direct=True)
+    groups = components(pairs).select("node", F.col("root").alias("grp"))
+    groups = groups.unionByName(groups.select(F.col("grp").alias("node"), "grp").distinct())
+    members = settle(groups.join(nodes, "node").select("node", "grp", F.col("first.key").alias("key")))
+    bags = _bags_of(docs, members, shingle)
+    sizes = bags.groupBy("grp").agg(F.sum(F.octet_length("bag")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    tasks = max(total["bytes"] // BLOCK, total["n"] // MOST) + 1
+    large = settle(sizes.withColumn("blocks", _blocks()).filter("blocks > 1").select("grp", "blocks"))
+    large = F.broadcast(large) if large.count() <= SMALL else large  # two numbers for each group beyond a block
+
+    def resolve(table: pa.Table) -> pa.Table:
+        grp, node = (table.column(c).to_numpy() for c in ("grp", "node"))
+        order = np.argsort(grp, kind="stable")
+        u, v = [], []
+        for own in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
+            label = resolved(Bags(table.column("bag").take(pa.array(own)).to_pylist()), similarity) if len(own) > 1 else np.zeros(1, np.int64)
+            far = np.flatnonzero(label != np.arange(len(own)))
+            u.append(node[own[far]])
+            v.append(node[own[label[far]]])
+        return pa.table([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (u, v)], ["u", "v"])
+
+    own = bags.join(large, "grp", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), "blocks")).otherwise(-1))
+    task = F.when(F.col("block") < 0, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.col("grp"))
+    links = settle(own.withColumn("task", task).select("task", "block", "grp", "node", "bag").groupBy("task", "block").applyInArrow(resolve, "u long, v long"))
+    if not large.isEmpty():
+        links = _across(bags.join(large, "grp"), pairs, links, similarity)
+    roots = components(links)
+    free(bags, members, pairs)
+    return roots
+
+
+def _across(bags: DataFrame, pairs: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """links with those between the blocks of large groups; bags (grp, node, bag, blocks) are of these."""
+    nodes = settle(bags.select("grp", "node", "blocks"))
+    mine = settle(_rooted(nodes.select("node"), links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "part"))
+    ends = [mine.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part")) for c in "uv"]
+    apart = pairs.join(ends[0], "u").join(ends[1], "v").filter("u_part <> v_part")
+    closest = apart.groupBy(F.least("u_part", "v_part").alias("a"), F.greatest("u_part", "v_part").alias("b")).agg(F.min(F.struct("far", "u", "v")).alias("p"))
+    links = settle(links.unionByName(_verified(settle(closest.select("p.u", "p.v")), bags, similarity)))
+    parts = settle(_rooted(nodes, components(links), "node", "part"))
+    most = parts.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.min(F.struct((-F.col("n")).alias("n"), "part")).alias("m")).select("grp", F.col("m.part").alias("largest"))
+    others = settle(parts.join(most, "grp").filter("part <> largest").select("node", "part"))
+    if others.isEmpty():
+        return links
+    outside = bags.join(others, "node")
+    rows = settle(outside.groupBy("grp").agg(F.sum(F.octet_length("bag")).alias("bytes"), F.count(F.lit(1)).alias("n")).select("grp", _blocks().alias("rows")))
+    # Each block of all nodes meets each block of those outside the largest part.
+    every = bags.join(parts.select("node", "part"), "node").join(rows, "grp").select("grp", F.pmod(F.xxhash64("node"), "blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("j"), F.lit(False).alias("outside"), "node", "part", "bag")
+    few = outside.join(rows, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), "rows").alias("j"), F.lit(True).alias("outside"), "node", "part", "bag")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, part, out = (table.column(c).to_numpy() for c in ("node", "part", "outside"))
+        own, u, v = Bags(table.column("bag").to_pylist()), [], []
+        inside = np.flatnonzero(~out)
+        for k in np.flatnonzero(out):
+            far = inside[part[inside] != part[k]]
+            hit = far[own.alike(k, far, similarity)]
+            hit = hit[np.unique(part[hit], return_index=True)[1]]
+            u += [node[k]] * len(hit)
+            v += node[hit].tolist()
+        return pa.table([pa.array(x, pa.int64()) for x in (u, v)], ["u", "v"])
+
+    found = every.unionByName(few).groupBy("grp", "i", "j").applyInArrow(compare, "u long, v long")
+    return settle(links.unionByName(found))
 
 
 def similar(docs: DataFrame, shingle: int, radius: int, lanes: int, similarity: float) -> DataFrame:

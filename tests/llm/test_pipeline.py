@@ -84,3 +84,18 @@ def test_mixing_of_null_and_repeated_ids(spark, corpus):
     got = Counter((r["doc_id"], r["source"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, corpus).collect())
     assert got == Counter({text[k]: n for k, n in want.items() if n})
     assert any(k[0] is None for k in got)
+
+
+def test_stages_carry_any_columns(spark, corpus):
+    """Columns that are named like what the stages make come back as they were."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    names = ["lang_pred", "score", "known", "key", "first", "node", "dup_id", "dup_key", "stays", "n", "leak_doc_id", "leak_text_hash", "mix_key", "mix_nth", "mix_copies", "mix_copy", "carried0", "a.b"]
+    clash = docs.select("*", *[(docs["doc_id"] * k).alias(c) for k, c in enumerate(names, 1)])
+    stage = dict(corpus_pipeline.STAGES)
+    for name in ("language", "near_duplicates", "decontamination", "mixing"):
+        plain, got = stage[name](spark, docs, corpus), stage[name](spark, clash, corpus)
+        assert got.columns == clash.columns
+        assert ids(got) == ids(plain)
+        for r in got.collect():
+            assert [r[c] for c in names] == [r["doc_id"] * k for k in range(1, len(names) + 1)]
+    assert stage["sharding"](spark, clash, corpus).count() == docs.count()
