@@ -45,6 +45,15 @@ def header_columns(spark: SparkSession, path: str, wanted: list[str]) -> list[st
     return [c for c in wanted if c in have]
 
 
+def newest_table(spark: SparkSession, root: str, prefix: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """The most recent of the tables ``<prefix>_DD.MM.YYYY.csv`` below root, each a CSV folder; an error if there is none."""
+    folders = list_files(spark, root).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path")).distinct()
+    found = newest(file_parts(folders).filter(F.col("base") == prefix).filter("layout = 'dated'")).limit(1).collect()
+    if not found:
+        raise ValueError(f"no table {prefix} below {root}")
+    return read_csv(spark, found[0]["path"], schema)
+
+
 class Registry:
     """Names of frames; a source is a registered frame, a path, or a base name below root."""
 
@@ -100,6 +109,11 @@ def write_generation(df: DataFrame, root: str, fold: int, gen: int) -> str:
     return path
 
 
+def read_generations(spark: SparkSession, root: str) -> DataFrame:
+    """All generations of all folds, with fold and gen as columns; filters on them prune folders."""
+    return spark.read.parquet(root)
+
+
 def typed(c: Column, kind: str) -> Column:
     """A text cell as a type, null where it is none."""
     return c.try_cast(kind)

@@ -33,3 +33,14 @@ def upsert_newest(path: str, keys: list[str], version: str):
         top.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def run_once(result: DataFrame, path: str) -> DataFrame:
+    """Takes all that a stream has now through an aggregation and leaves its whole result as a Parquet table."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table")
+
+    query = result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(f"{path}/table")
