@@ -166,6 +166,12 @@ def z_against(df: DataFrame, value: str, group: str, control: str) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumn("z", F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd")  # one row
 
 
+def z_within(df: DataFrame, value: str, group: str) -> DataFrame:
+    """df with ``z``: the value against mean and sample deviation of its group; moments are joined, a large group is not sorted in one task."""
+    stats = df.groupBy(group).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    return df.join(stats, group, "left").withColumn("z", F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd")
+
+
 def correlations(left: DataFrame, right: DataFrame) -> DataFrame:
     """(f, g, r) of every feature of left with every feature of right over common ids."""
     both = left.select("id", F.col("feature").alias("f"), F.col("value").alias("x")).join(right.select("id", F.col("feature").alias("g"), F.col("value").alias("y")), "id")

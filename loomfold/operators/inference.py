@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,6 +138,66 @@ def monte_carlo_by(df: DataFrame, id_col: str, stratum: str, group: str, level:
     return bh(out, "p", families, ties=[stratum])
 
 
+#: Cells of a table of counts (outcome by predictors' levels) that a model is fitted on, at most; the driver holds them.
+MOST_CELLS = 1_000_000
+
+
+def _multinomial(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (predictors by classes but the first) and their covariance from counts y (patterns by classes), by Newton's method."""
+    n, (p, k) = y.sum(axis=1), (x.shape[1], y.shape[1] - 1)
+    beta = np.zeros((p, k))
+    for _ in range(100):
+        chance = _softmax(x @ beta)[:, 1:]
+        slope = (x.T @ (y[:, 1:] - n[:, None] * chance)).T.ravel()
+        spread = n[:, None, None] * (np.eye(k) * chance[:, :, None] - chance[:, :, None] * chance[:, None, :])
+        curve = np.einsum("ip,iab,iq->apbq", x, spread, x).reshape(k * p, k * p) + 1e-10 * np.eye(k * p)
+        step = np.linalg.solve(curve, slope).reshape(k, p).T
+        beta += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-10:
+            break
+    return beta, np.linalg.inv(curve)
+
+
+def _softmax(eta: np.ndarray) -> np.ndarray:
+    e = np.exp(np.c_[np.zeros(len(eta)), eta] - np.maximum(0, eta.max(axis=1, initial=0))[:, None])
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def predicted_probabilities(df: DataFrame, outcome: str, factor: str, adjusted: list[str] = (), z: float = 1.959963984540054) -> DataFrame:
+    """(model, level, outcome, estimate, low, high): the chance of each outcome at each level of a factor, by multinomial logit.
+
+    ``unadjusted`` has the factor alone; ``adjusted``, if others are given, the mean over all rows as if each had the level. Intervals are by the delta
+    method. Rows with a null among these columns are left out. Only the counts of the columns' levels leave the cluster.
+    """
+    names = [factor, *adjusted]
+    cells = df.select(outcome, *names).dropna().groupBy(outcome, *names).agg(F.count(F.lit(1)).alias("n"))
+    if cells.count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} combinations of levels")
+    counts = cells.toPandas().astype({c: str for c in (outcome, *names)})
+    told, levels = sorted(counts[outcome].unique()), {c: sorted(counts[c].unique()) for c in names}
+
+    def coded(rows: pd.DataFrame, used: list[str]) -> np.ndarray:
+        return np.column_stack([np.ones(len(rows)), *[(rows[c] == v).to_numpy(float) for c in used for v in levels[c][1:]]])
+
+    out = []
+    for model, used in [("unadjusted", [factor]), *([("adjusted", names)] if adjusted else [])]:
+        table = counts.pivot_table(index=used, columns=outcome, values="n", aggfunc="sum", fill_value=0).reindex(columns=told, fill_value=0)
+        patterns, weight = table.index.to_frame(index=False), table.to_numpy(float).sum(axis=1)
+        if len(told) < 2:
+            out += [(model, v, told[0], 1.0, 1.0, 1.0) for v in levels[factor] if told]
+            continue
+        beta, cov = _multinomial(coded(patterns, used), table.to_numpy(float))
+        for v in levels[factor]:
+            x = coded(patterns.assign(**{factor: v}), used)
+            chance = _softmax(x @ beta)
+            for k, name in enumerate(told):
+                slope = chance[:, [k]] * ((np.arange(1, len(told)) == k) - chance[:, 1:])
+                jac = np.einsum("i,ia,ip->ap", weight / weight.sum(), slope, x).ravel()
+                estimate, se = float(weight @ chance[:, k] / weight.sum()), float(np.sqrt(max(0.0, jac @ cov @ jac)))
+                out.append((model, v, name, estimate, estimate - z * se, estimate + z * se))
+    return df.sparkSession.createDataFrame(out, "model string, level string, outcome string, estimate double, low double, high double")
+
+
 def group_table(df: DataFrame, group: str, values: list[str]) -> DataFrame:
     """(variable, level of the comparison or null for all rows, n, mean, sd): group columns and the overall one in one pass."""
     long = df.unpivot([group], values, "variable", "value").select("variable", F.col(group).alias("level"), F.col("value").cast("double").alias("value"))

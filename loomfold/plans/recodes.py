@@ -159,7 +159,14 @@ def components_of(s, d):
     return rounded(quality.component_table({"features": own, "scaled": own.withColumn("x", F.transform("x", lambda v: v * 3.0))}), 6, "value")
 
 
+def site_chances(s, d, adjusted=()):
+    c = table(s, d, "customer").select("c_mktsegment", (F.col("c_nationkey") % 2).alias("site"), (F.col("c_custkey") % 3).alias("recruit"))
+    return rounded(inference.predicted_probabilities(c, "c_mktsegment", "site", list(adjusted)), 5, "estimate", "low", "high")
+
+
 QUERIES = {
+    "site_probabilities": site_chances,
+    "site_probabilities_adjusted": lambda s, d: site_chances(s, d, ["recruit"]),
     "code_shift": coded,
     "simple_recodes": years,
     "override_rows": overridden,
@@ -214,6 +221,8 @@ CHI_SQL = "select {by}, sum(n * n / (nr * nc)) as s, any_value(total) as total,
 ONSET_SQL = ", ".join(f"min(case when {w} then l_shipdate::date end) as {n}_onset, round(date_diff('day', min(case when {w} then l_shipdate::date end), date '2002-01-01') / 365.25::double, 6) as {n}_years" for n, w in (("symptoms", "true"), ("lifetime", "am"), ("past_year", "am and bm")))
 
 ORACLES = {
+    # With the factor alone the model is saturated: its chances are the shares.
+    "site_probabilities": "with n as (select c_nationkey % 2 as site, c_mktsegment as outcome, count(*)::double as n from customer group by all), p as (select *, n / sum(n) over (partition by site) as p, sum(n) over (partition by site) as whole from n) select 'unadjusted' as model, site::varchar as level, outcome, round(p, 5) as estimate, round(p - 1.959963984540054::double * sqrt(p * (1 - p) / whole), 5) as low, round(p + 1.959963984540054::double * sqrt(p * (1 - p) / whole), 5) as high from p",
     "code_shift": "select p_partkey, case when p_size % 6 <= 3 then p_size % 6 + 1 else p_size % 6 end as item, p_size - 5 as other from part",
     "simple_recodes": "select c_custkey, round(c_custkey / 12.0::double, 8) as years, case when c_nationkey < 3 then 0 when c_nationkey = 3 then 1 else c_nationkey end as t, left(c_mktsegment, 2) as site from customer",
     "override_rows": "select o_orderkey, case o_orderkey when 1 then 'X' when 3 then null else o_orderstatus end as o_orderstatus from orders",

@@ -204,3 +204,17 @@ def test_fitness_has_every_objective(spark):
     got = {r["ind"]: r.asDict() for r in evolve.fitness(spark.createDataFrame(rows, "ind long, boot long, view string, id long, label long, score double")).collect()}
     assert set(evolve.OBJECTIVES) <= set(got[0])
     assert got[0]["ari_final"] == got[0]["ccc_final"] == got[0]["coassoc_final"] == got[0]["ari_least"] == 1 and got[1]["ari_views"] == 1
+
+
+def test_adjusted_chances_standardise_over_the_other_factor(spark):
+    """A saturated pattern of counts: with a factor that says nothing more, adjusted chances are the shares; a constant outcome is certain."""
+    rows = [(o, s, r) for s in "ab" for r in "xy" for o, n in (("k", 4 if s == "a" else 8), ("l", 6), ("m", 10)) for _ in range(n)]
+    frame = spark.createDataFrame(rows, "o string, s string, r string")
+    got = {(r["model"], r["level"], r["outcome"]): r for r in inference.predicted_probabilities(frame, "o", "s", ["r"]).collect()}
+    for level, n in (("a", 4), ("b", 8)):
+        for model in ("unadjusted", "adjusted"):
+            r, p = got[model, level, "k"], n / (n + 16)
+            assert abs(r["estimate"] - p) < 1e-6 and abs(r["high"] - r["estimate"] - 1.96 * (p * (1 - p) / (2 * (n + 16))) ** 0.5) < 1e-3
+    only = inference.predicted_probabilities(frame.filter("o = 'k'"), "o", "s").collect()
+    assert [r["estimate"] for r in only] == [1.0, 1.0]
+    assert inference.predicted_probabilities(frame.limit(0), "o", "s").count() == 0
