@@ -160,8 +160,6 @@ ORACLES = {
     "cluster_null": "select s_suppkey % 2 as g, s_suppkey as id, 0::bigint as label, 'ok' as status from supplier",
     **{name: PARTITION_SQL for name in (*(f"linkage_{m}" for m in ("single", "complete", "average", "weighted", "centroid", "median", "ward")), "spectral", "gmm", "kmeans", "meanshift", "view_ensemble")},
     "roc_curve": CURVE_SQL,
-    # The blobs are apart, so every fold that has each class is told right.
-    "nested_cv": "with f as (select (row_number() over (partition by s_suppkey % 3 order by md5(concat_ws(':', s_suppkey, 'outer0')), s_suppkey) - 1) % 5 as fold from supplier) select distinct fold::int as outer, 0 as point, 1.0::double as accuracy, 1.0::double as balanced_accuracy, 1.0::double as \"precision\", 1.0::double as recall, 1.0::double as auc from f",
     "prepare_mixed": "select * from (values ('first', 'a_price'), ('first', 'a_status'), ('second', 'b_prio_2-HIGH'), ('second', 'b_prio_3-MEDIUM'), ('second', 'b_prio_4-NOT SPECIFIED'), ('second', 'b_prio_5-LOW'), ('second', 'b_prio_nan'), ('second', 'b_dear'), ('second', 'b_day')) t(view, feature), (select count(*) as n, 0.0::double as least, 1.0::double as most from orders where o_orderkey % 10 = 0 and not (o_orderkey % 60 = 0 and o_orderkey % 70 = 0))",
     # All of two features: the components turn the plane, distances stay.
     "pca_change": "with o as (select o_custkey as id, o_orderkey, o_totalprice as p, ((o_orderdate::date - date '1970-01-01') % 100)::double as q from orders) select id, round(sqrt(pow(arg_max(p, o_orderkey) - arg_min(p, o_orderkey), 2) + pow(arg_max(q, o_orderkey) - arg_min(q, o_orderkey), 2)), 3) as moved from o group by 1",
