@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import quantiles
 from ..sources.store import stored
 
 
@@ -59,12 +60,12 @@ def apply_power(long: DataFrame, params: DataFrame) -> DataFrame:
 
 def fit_scale(long: DataFrame, kind: str = "standard") -> DataFrame:
     """(feature, centre, scale): standard (population deviation), minmax or robust (median, quartile range); scale 0 becomes 1."""
-    centre, scale = {
-        "standard": (F.avg("value"), F.stddev_pop("value")),
-        "minmax": (F.min("value"), F.max("value") - F.min("value")),
-        "robust": (F.percentile("value", 0.5), F.percentile("value", 0.75) - F.percentile("value", 0.25)),
-    }[kind]
-    fitted = long.groupBy("feature").agg(centre.cast("double").alias("centre"), scale.cast("double").alias("scale"))
+    if kind == "robust":
+        fitted = quantiles(long, ["feature"], "value", {"centre": 0.5, "low": 0.25, "high": 0.75}).select("feature", "centre", (F.col("high") - F.col("low")).alias("scale"))
+        fitted = long.select("feature").distinct().join(fitted, "feature", "left")
+    else:
+        centre, scale = {"standard": (F.avg("value"), F.stddev_pop("value")), "minmax": (F.min("value"), F.max("value") - F.min("value"))}[kind]
+        fitted = long.groupBy("feature").agg(centre.cast("double").alias("centre"), scale.cast("double").alias("scale"))
     return fitted.withColumn("scale", F.when(F.col("scale") == 0, F.lit(1.0)).otherwise(F.col("scale")))
 
 

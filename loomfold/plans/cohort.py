@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..operators import clean, features, longitudinal, match
 from ..sources import tables as sources
 from ..sources.tables import table
@@ -61,6 +62,13 @@ def positive(s, d):
     return clean.positive_level(table(s, d, "part").select(F.col("p_brand").alias("variable"), F.expr(LEVEL).alias("level"), F.col("p_partkey").alias("pos")))
 
 
+def distribution(s, d):
+    e = table(s, d, "events")
+    sums = e.groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("se"), F.min("value").alias("least"), F.max("value").alias("most"))
+    cuts = {f"q{int(1000 * q)}": q for q in (0.025, 0.25, 0.5, 0.75, 0.975)}
+    return rounded(sums.join(quantiles(e, ["event_type"], "value", cuts), "event_type", "left"), 6, "mean", "sd", "se", *cuts, "least", "most")
+
+
 def orders_by_day(s, d):
     return table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"), F.max(F.expr("case when o_orderstatus = 'F' then o_orderkey end")).alias("last_id"))
 
@@ -162,7 +170,7 @@ QUERIES = {
     "pivot": lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0),
     "top_n": lambda s, d: table(s, d, "events").select("event_type", "event_id", "value", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("value"), "event_id")).alias("place")).filter("place <= 3"),
     "cumsum": lambda s, d: rounded(table(s, d, "events").groupBy("event_type").agg(F.sum("value").alias("v")).select("event_type", (F.sum("v").over(W.orderBy(F.desc("v")))).alias("upto")), 4, "upto"),
-    "dist_summary": lambda s, d: rounded(table(s, d, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("se"), *[F.percentile("value", q).alias(f"q{int(1000 * q)}") for q in (0.025, 0.25, 0.5, 0.75, 0.975)], F.min("value").alias("least"), F.max("value").alias("most")), 6, "mean", "sd", "se", "q25", "q250", "q500", "q750", "q975", "least", "most"),
+    "dist_summary": distribution,
     "z_within_label": lambda s, d: rounded(features.z_within(table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", "c_mktsegment").select("c_custkey", "z"), 8, "z"),
     "composition": lambda s, d: rounded(longitudinal.composition(table(s, d, "customer").select(F.expr("case when c_custkey % 10 = 0 then -1 else c_nationkey % 4 end").alias("label"))), 8, "share"),
     "paired_change": lambda s, d: rounded(changes(s, d), 6, "shift").select("id", "label", "later", "switched"),

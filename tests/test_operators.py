@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomfold.functions.quantiles import quantiles
 from loomfold.operators import assemble, clean, cluster, evolve, features, fusion, inference, match, pipeline, resample, search, stability
 from loomfold.sources import tables
 from loomfold.streaming import latest
@@ -218,3 +219,17 @@ def test_adjusted_chances_standardise_over_the_other_factor(spark):
     only = inference.predicted_probabilities(frame.filter("o = 'k'"), "o", "s").collect()
     assert [r["estimate"] for r in only] == [1.0, 1.0]
     assert inference.predicted_probabilities(frame.limit(0), "o", "s").count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=501).round(2), "b": np.r_[np.zeros(300), [1e9]], "c": np.array([4.0]), "d": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, own in groups.items() for v in own] + [("a", None), ("a", float("nan")), ("e", None)]
+    wanted = {"q0": 0.0, "q25": 0.025, "q500": 0.5, "q750": 0.75, "q1": 1.0}
+    for buckets in (1024, 3):
+        got = {r["g"]: r for r in quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", wanted, buckets).collect()}
+        assert set(got) == set(groups)
+        for g, own in groups.items():
+            assert np.allclose([got[g][n] for n in wanted], np.quantile(own, list(wanted.values())))
