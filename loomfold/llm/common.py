@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: A maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH = 1000
+BATCH = 250
 #: Bits of a bitmap at most, as a power of two: 16 MB.
 MAP_BITS = 27
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

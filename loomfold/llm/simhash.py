@@ -38,11 +38,11 @@ SEED, BITS = 42, 64
 #: Fingerprints, of smallest hash, from which the grouping of bits is fitted; it affects speed only.
 SAMPLE = 4096
 #: Entries of a cell beyond which it is split; candidates held at once; candidates that a probe costs as much as.
-CELL, CHUNK, PROBE_COST = 1 << 18, 1 << 21, 2.0
+CELL, CHUNK, PROBE_COST = 1 << 18, 1 << 18, 2.0
 #: Leading bits of a partition's values that are counted, at most: with one lane, with more.
 MOST_BITS = 16, 13
 #: Bytes of bags, and nodes, that a task compares; rows of a small table that is broadcast.
-BLOCK, MOST, SMALL = 8 << 20, 4096, 100_000
+BLOCK, MOST, SMALL = 4 << 20, 4096, 100_000
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
