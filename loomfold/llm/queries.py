@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, leaks, mixing, shards, simhash, substrings, toxicity, url_filter
+from . import alignment, chat, clusters, exact_dedup, host_rules, language, leaks, mixing, shards, simhash, substrings, toxicity, url_filter
 from .common import table
 
 
@@ -21,10 +21,15 @@ QUERIES = {
     "op8_kneser_ney_toxicity": toxicity.query,
     "op9_minimax_shards": _over("documents", shards.shard),
     "op10_source_mix": _over("documents", mixing.mix),
+    "op11_host_rules": _over("documents", host_rules.query),
+    "op12_block_norm_clusters": clusters.query,
+    "op13_event_alignment": alignment.query,
 }
 
 ORACLES = {
     "op2_perspective_rotation": chat.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_host_rules": host_rules.ORACLE_SQL,
+    "op12_block_norm_clusters": clusters.ORACLE_SQL,
 }
