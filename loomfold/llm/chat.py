@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import settle
+
 PART = 512
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -22,6 +24,30 @@ def _safe(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
+def _pieces(own: DataFrame, part: int) -> DataFrame:
+    """own with piece: within a conversation and part, each part turns in the order of turn, role and text are one.
+
+    A part has more rows than numbers only where numbers repeat or are null. Those alone are ranked, and in no single task, as one of them may hold
+    most rows: dealt by ranges of the order, equal rows among them by a row number, ranked within a range, and moved on by what the ranges before hold.
+    """
+    which = ["conv_id", "part"]
+    large = settle(own.groupBy(*which).count().filter(F.col("count") > part).select(F.col("conv_id").alias("conv_id_"), F.col("part").alias("part_")))
+    if large.isEmpty():
+        return own.withColumn("piece", F.lit(0).cast("long"))
+    is_large = F.col("conv_id").eqNullSafe(F.col("conv_id_")) & (F.col("part") == F.col("part_"))
+    order = ["turn", "role", "text", "row"]
+    dealt = own.join(large, is_large, "left_semi").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*which, *order)
+    dealt = settle(dealt.withColumn("range", F.spark_partition_id()))
+    counts = dealt.groupBy(*which, "range").count()
+    before = F.coalesce(F.sum("count").over(W.partitionBy(*which).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("conv_id").alias("conv_id_"), F.col("part").alias("part_"), F.col("range").alias("range_"), before.alias("before"))
+    nth = F.row_number().over(W.partitionBy(*which, "range").orderBy(*order)) - 1
+    ranked = dealt.withColumn("nth", nth).join(counts, is_large & (F.col("range") == F.col("range_")))
+    ranked = ranked.withColumn("piece", F.floor((F.col("before") + F.col("nth")) / part).cast("long"))
+    rest = own.join(large, is_large, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    return rest.unionByName(ranked.select(*rest.columns))
+
+
 def rotate(conversations: DataFrame, system=("system",), part: int = PART) -> DataFrame:
     """One row per conversation, participant and part: conv_id, speaker, part, piece, n_turns, text, mask.
 
@@ -32,9 +58,7 @@ def rotate(conversations: DataFrame, system=("system",), part: int = PART) -> Da
     """
     own = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text"))
     own = own.withColumn("part", F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long"))
-    # A part has more rows than numbers only where numbers repeat or are null.
-    nth = F.row_number().over(W.partitionBy("conv_id", "part").orderBy("turn", "role", "text"))
-    own = own.withColumn("piece", F.floor((nth - 1) / part).cast("long"))
+    own = _pieces(own, part)
     parts = own.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = own.filter(~F.col("role").isin(*system)).select(F.col("conv_id").alias("conv_id_"), F.col("role").alias("speaker")).distinct()
     rows = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv_id_"))).drop("conv_id_")

@@ -22,7 +22,9 @@ from .common import WORD, row_key, settle
 GOLDEN = (5**0.5 - 1) / 2
 #: Per-source totals are held by the driver; more sources than this are refused.
 MAX_SOURCES = 100_000
-WEIGHTS, MOST, BUCKETS, CHUNK = (5, 2, 1), 3, 512, 65_536
+WEIGHTS, MOST, CHUNK = (5, 2, 1), 3, 65_536
+#: Hash buckets of a source at least, and the rows of a bucket for which there are more.
+BUCKETS, BUCKET_ROWS = 512, 65_536
 
 
 def water_fill(sizes: list[int], weights=WEIGHTS, most: float = MOST) -> list[float]:
@@ -49,16 +51,19 @@ class Mix:
 
     Size is the number of words of the whole text; null and empty texts have 0, and take none. A null source is a source, after
     all others. Sources without words have target 0. Rows that repeat an id are documents of their own. Columns besides
-    these three are not read. An empty table gives empty results.
+    these three are not read. A text of any length is counted whole, in its row. An empty table gives empty results.
+
+    A document's place in its stream is a hash of its id, source and text, so null ids are spread like others; the buckets of a stream grow with the rows.
     """
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = 1024):
         self.spark, self.most, self.block = docs.sparkSession, most, block
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        self.docs = settle(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h"), row_key(docs, "source")))
-        rows = self.docs.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+        self.docs = settle(docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit("mix"), row_key(docs, "source")).alias("h"), row_key(docs, "source")))
+        rows = self.docs.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
         if len(rows) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
+        self.bucket_bits = max(BUCKETS, sum(r["n"] for r in rows) // BUCKET_ROWS).bit_length() - 1
         # Code points and UTF-8 bytes sort alike; Python compares code points.
         rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["size"] for r in rows]
@@ -108,7 +113,7 @@ class Mix:
     def streams(self) -> DataFrame:
         """Each document's place in its source's shuffled stream: doc_id, sid, size, source_size, target, first_word."""
         named = self._table().select("sid", F.col("source").alias("source_"), "source_size", "target")
-        own = self.docs.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("source_"))).withColumn("bucket", F.shiftrightunsigned("h", 64 - int(math.log2(BUCKETS))))
+        own = self.docs.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("source_"))).withColumn("bucket", F.shiftrightunsigned("h", 64 - self.bucket_bits))
         before = own.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
         before = before.withColumn("before", F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         within = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "key").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")

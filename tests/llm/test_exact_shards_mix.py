@@ -14,18 +14,18 @@ def dedup_rows():
     base = ["".join(rng.choice("ab \n") for _ in range(n)) for n in (0, 1, 7, 8, 9, 16, 17, 40, 41, 100)]
     rows = [(k, rng.choice(base)) for k in range(80)]
     spaced = [(100 + k, " " + "\t".join(t) + "\x0b") for k, t in enumerate(base)]
-    return [*rows, *spaced, (200, None), (201, ""), (None, base[5]), (3, "another text of the same id"), (4, rows[4][1]), (300, "twice told"), (300, "twicetold"), (301, "a bc"), (301, "ab c"), (301, "a bc")]
+    return [*rows, *spaced, (200, None), (201, ""), (None, base[5]), (3, "another text of the same id"), (4, rows[4][1]), (300, "twice told"), (300, "twicetold"), (301, "a bc"), (301, "ab c"), (301, "a bc"), (None, None), (None, None), (302, "longlong" * 3000), (303, "long long" * 2999 + "longlong"), (302, "longlong" * 3000)]
 
 
 def brute_dedup(rows):
     groups = defaultdict(list)
     norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
-    for d, t in rows:
-        groups[norm(t)].append((-len(t or ""), d is None, d or 0, hashlib.sha256((t or "").encode()).digest(), d, t or ""))
+    for n, (d, t) in enumerate(rows):
+        groups[norm(t)].append((-len(t or ""), d is None, d or 0, hashlib.sha256((t or "").encode()).digest(), n))
     out = []
-    for d, t in rows:
-        keep, text = min(groups[norm(t)])[4:]
-        out.append((d, keep, len(groups[norm(t)]), d == keep and (t or "") == text, hashlib.sha256(norm(t).encode()).hexdigest()))
+    for n, (d, t) in enumerate(rows):
+        first = min(groups[norm(t)])[-1]
+        out.append((d, rows[first][0], len(groups[norm(t)]), n == first, hashlib.sha256(norm(t).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -92,6 +92,20 @@ def test_shards_hold_every_row_once(spark):
     assert shards.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_null_ids_are_spread_over_buckets(spark):
+    docs = spark.range(2000).selectExpr("cast(null as long) as doc_id", "'a' as source", "concat('w ', id) as text")
+    mix = mixing.Mix(docs)
+    assert mix.streams().select("h").distinct().count() == 2000 and mix.bucket_bits == 9
+    assert mixing.Mix(docs.withColumn("text", F.lit("same words"))).taken().agg(F.sum("taken")).first()[0] == 4000
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    docs = spark.range(5000).selectExpr("id as doc_id", "'a' as source", "'x y' as text")
+    mix = mixing.Mix(docs)
+    assert mix.bucket_bits == 12 and mix.taken().agg(F.sum("taken")).first()[0] == 10_000
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 10, 10]) == pytest.approx([18.75, 7.5, 3.75])
     got = mixing.water_fill([10, 100, 1000])

@@ -55,6 +55,16 @@ def test_rotation_cuts_parts_of_repeated_and_null_turns(spark):
     assert text == brute_render(sorted(((-1 if n is None else n, r, t) for c, n, r, t in turns if c == 1)), "ann")[0]
 
 
+def test_one_part_with_most_turns_is_ranked_in_ranges(spark):
+    """Null turns, repeated rows among them: pieces are those of a single sort, though no task sorts the part alone."""
+    turns = [(1, None, "ann", f"n{k % 90:03}") for k in range(3000)] + [(1, 5, "bob", "again")] * 2000 + [(2, k, "ann", "x") for k in range(5)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = [r for r in chat.rotate(frame, part=64).collect() if r["speaker"] == "ann"]
+    assert max(r["n_turns"] for r in got) == 64 and len(got) == 47 + 32 + 1
+    text = "".join(r["text"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["part"], r["piece"])))
+    assert text == brute_render(sorted(((-1 if n is None else n, r, t) for c, n, r, t in turns if c == 1)), "ann")[0]
+
+
 def rule(host, path):
     best = max(((h, p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), key=lambda r: len(r[0] + r[1]), default=None)
     return best
