@@ -205,15 +205,18 @@ def min_cluster_size(d: np.ndarray, labels: np.ndarray, least: int) -> np.ndarra
 
 
 def together(x: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, share of five clusterers of raw rows that put two in one cluster): what every linkage of an ensemble starts from."""
+    """(distances, how many of the four members without a linkage put two rows in one cluster): what every linkage of an ensemble starts from."""
     x = np.asarray(x, float)
     d, k = distances(x), min(k, len(x))
-    members = [cut(linkage(d, "ward"), len(x), k), spectral(knn_affinity(x), k, seed), gaussian_mixture(x, k, seed), kmeans(x, k, seed), mean_shift(x)]
-    return d, np.mean([m[:, None] == m for m in members], axis=0)
+    members = [spectral(knn_affinity(x), k, seed), gaussian_mixture(x, k, seed), kmeans(x, k, seed), mean_shift(x)]
+    return d, np.sum([m[:, None] == m for m in members], axis=0)
 
 
-def cut_together(d: np.ndarray, share: np.ndarray, k: int, method: str = "average", least: int = 0) -> np.ndarray:
-    labels = cut(linkage(1 - share, "average" if method == "ward" else method), len(d), min(k, len(d)))
+def cut_together(d: np.ndarray, same: np.ndarray, k: int, method: str = "average", least: int = 0) -> np.ndarray:
+    """The fifth member by the linkage, and the co-association of all five cut by the same linkage (Ward's too, on these distances)."""
+    k = min(k, len(d))
+    own = cut(linkage(d, method), len(d), k)
+    labels = cut(linkage(1 - (same + (own[:, None] == own)) / 5, method), len(d), k)
     return min_cluster_size(d, labels, least)
 
 

@@ -67,6 +67,7 @@ def chi2_upper(x: float, df: float) -> float:
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     """Exact test of a 2 x 2 table: tables of the same margins that are no likelier."""
+    a, b, c, d = int(a), int(b), int(c), int(d)  # a column with nulls comes as floats
     row, col, n = a + b, a + c, a + b + c + d
     choose = lambda p, q: lgamma(p + 1) - lgamma(q + 1) - lgamma(p - q + 1)
     chance = lambda k: exp(choose(row, k) + choose(n - row, col - k) - choose(n, col))

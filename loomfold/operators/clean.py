@@ -53,14 +53,15 @@ def parse_notes(dictionary: DataFrame, name: str = "name", notes: str = "notes")
     """(name, code, label, n_codes) from notes ``code=label;code=label`` of two pairs at least.
 
     What stands from -900 on is left out. A code is any text before the first equals sign, its label the text up to the next one. Notes
-    whose codes all mean missing give none.
+    whose codes all mean missing give none. A code that a note repeats has its first label; n_codes counts the pairs.
     """
     text = F.regexp_replace(F.coalesce(notes, F.lit("")), r"(?s)-900.*$", "")
     parts = F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p.contains("="))
     pairs = F.transform(parts, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("code"), F.trim(F.split_part(p, F.lit("="), F.lit(2))).alias("label")))
     rows = dictionary.select(F.col(name).alias("name"), pairs.alias("pairs")).filter(F.size("pairs") >= 2)
     rows = rows.filter(F.exists("pairs", lambda p: ~p["code"].isin(*UNCODED_KEYS)))
-    return rows.select("name", F.size("pairs").cast("long").alias("n_codes"), F.explode("pairs").alias("p")).select("name", "p.code", "p.label", "n_codes")
+    first = F.filter("pairs", lambda p, k: F.array_position(F.col("pairs.code"), p["code"]) == k + 1)
+    return rows.select("name", F.size("pairs").cast("long").alias("n_codes"), F.explode(first).alias("p")).select("name", "p.code", "p.label", "n_codes")
 
 
 def recode(values: DataFrame, codes: DataFrame) -> DataFrame:
@@ -266,10 +267,10 @@ def missing_filter_views(views: dict[str, DataFrame], keys: list[str], col_share
 
 
 def usable_tables(df: DataFrame, group: str, columns: list[str], least: int = 30) -> DataFrame:
-    """(variable, usable): whether both of the first two groups, in order, have more than least values."""
-    long = df.select(F.col(group).alias("_g"), *[F.col(c).isNotNull().cast("long").alias(c) for c in columns]).filter("_g is not null")
-    counts = long.groupBy("_g").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("_g").limit(2).unpivot(["_g"], columns, "variable", "n")
-    return counts.groupBy("variable").agg(((F.count(F.lit(1)) == 2) & (F.min("n") > least)).alias("usable"))
+    """(variable, usable): whether both of the first two groups, in order, have more than least rows; a row without a value counts."""
+    counts = df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n")).orderBy("_g").limit(2)
+    both = counts.agg(((F.count(F.lit(1)) == 2) & (F.min("n") > least)).alias("usable"))
+    return both.select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("variable"), F.coalesce("usable", F.lit(False)).alias("usable"))
 
 
 def epoch(c: Column) -> Column:

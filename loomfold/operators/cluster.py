@@ -144,7 +144,7 @@ def _by_view(points, population: DataFrame, boots: DataFrame, views: list[str],
     for v in views:
         own = population.select(F.lit(v).alias("view"), F.col(f"k_{v}").cast("long").alias("k"), F.col(f"linkage_{v}").alias("linkage"))
         settings = own if settings is None else settings.unionByName(own)
-    # The members of an ensemble know the number of clusters, not the linkage: one row for each number.
+    # Four of an ensemble's five members know the number of clusters only and are shared by its linkages: one row for each number.
     grid = boots.crossJoin(settings.groupBy("view", "k").agg(F.sort_array(F.collect_set("linkage")).alias("linkages")))  # resamples by settings is the work to be done
 
     def run(batches):

@@ -102,6 +102,10 @@ def knn_impute(long: DataFrame, k: int = 7, reference: DataFrame | None = None)
     return joined.select("id", "feature", F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("has") > 0, F.coalesce("filled", "mean")).alias("value"))
 
 
+#: Levels of a text column that become columns, at most.
+MOST_LEVELS = 1000
+
+
 def fit_ordinal(long: DataFrame, specs: DataFrame) -> DataFrame:
     """(feature, level, code) from the first label set (set_id, level, code) that has all levels observed in a text feature."""
     seen = long.filter("value is not null").select("feature", F.col("value").alias("level")).distinct()
@@ -117,33 +121,38 @@ def dummy_code(df: DataFrame, id_col: str, specs: DataFrame, frozen: dict | None
     levels (set_id, level, code), other text as indicators of all levels but the first and of null.
 
     specs is a parameter: a table of label sets, in order of set_id. With frozen the same columns result for other rows; unknown levels
-    have no indicator and no code.
+    have no indicator and no code. Text of more than MOST_LEVELS levels and no label set is no category and raises an error.
     """
     kinds = {f.name: f.dataType for f in df.schema if f.name != id_col}
     text = [c for c, k in kinds.items() if isinstance(k, T.StringType)]
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
     if frozen is None:
         frozen = {"codes": {}, "levels": {}}
         if text:
-            long = df.select(*text).unpivot([], text, "feature", "value").filter("value is not null")
+            each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), named(c).alias("value")) for c in text])).alias("r")
+            long = df.select(each).select("r.*").filter("value is not null").distinct()
             for r in fit_ordinal(long, specs).collect():  # rows of a label set for each coded column
                 frozen["codes"].setdefault(r["feature"], {})[r["level"]] = float(r["code"])
             rest = [c for c in text if c not in frozen["codes"]]
             for c in rest:
                 frozen["levels"][c] = []
-            # Levels become columns, so they are few by what they are for.
-            for r in long.filter(F.col("feature").isin(rest)).distinct().orderBy("feature", "value").collect():
+            levels = long.filter(F.col("feature").isin(rest))
+            wide = sorted(r["feature"] for r in levels.groupBy("feature").count().filter(F.col("count") > MOST_LEVELS).collect())
+            if wide:
+                raise ValueError(f"more than {MOST_LEVELS} levels: {', '.join(wide)}")
+            for r in levels.orderBy("feature", "value").collect():  # at most MOST_LEVELS rows a column
                 frozen["levels"][r["feature"]].append(r["value"])
 
     def number(c: str) -> list[Column]:
         if c in frozen["codes"]:
             pairs = [F.lit(x) for pair in frozen["codes"][c].items() for x in pair]
-            return [F.element_at(F.create_map(*pairs), F.col(c).cast("string")).alias(c)]
+            return [F.element_at(F.create_map(*pairs), named(c).cast("string")).alias(c)]
         if c in frozen["levels"]:
-            hot = [F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in frozen["levels"][c][1:]]
-            return [*hot, F.col(c).isNull().cast("int").alias(f"{c}_nan")]
+            hot = [F.coalesce((named(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in frozen["levels"][c][1:]]
+            return [*hot, named(c).isNull().cast("int").alias(f"{c}_nan")]
         if isinstance(kinds[c], (T.DateType, T.TimestampType)):
-            return [(F.unix_micros(F.col(c).cast("timestamp")) * F.lit(1000)).alias(c)]
-        return [F.col(c).cast("int").alias(c) if isinstance(kinds[c], T.BooleanType) else F.col(c)]
+            return [(F.unix_micros(named(c).cast("timestamp")) * F.lit(1000)).alias(c)]
+        return [named(c).cast("int").alias(c) if isinstance(kinds[c], T.BooleanType) else named(c)]
 
     return df.select(id_col, *[n for c in kinds for n in number(c)]), frozen
 

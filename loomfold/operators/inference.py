@@ -69,11 +69,12 @@ def chi_square(rows: DataFrame, p: bool = False) -> DataFrame:
 
 
 def fisher(rows: DataFrame) -> DataFrame:
-    """(variable, p) of 2 x 2 variables: rows (variable, group, level), the first and the other of each in their order."""
-    low = rows.groupBy("variable").agg(F.min("group").alias("g"), F.min("level").alias("l"))
+    """(variable, p) of rows (variable, group, level); null but for two groups and two levels (margins.fisher takes any number)."""
+    rows = rows.filter("group is not null and level is not null")
+    low = rows.groupBy("variable").agg(F.min("group").alias("g"), F.min("level").alias("l"), F.max("group").alias("g2"), F.max("level").alias("l2"))
     cell = lambda g, l: F.sum(((F.col("group") == F.col("g")) == F.lit(g)).cast("int") * ((F.col("level") == F.col("l")) == F.lit(l)).cast("int"))
-    counts = rows.join(low, "variable").groupBy("variable").agg(cell(True, True).alias("a"), cell(True, False).alias("b"), cell(False, True).alias("c"), cell(False, False).alias("d"))
-    return counts.withColumn("p", pvalues.fisher_p("a", "b", "c", "d"))
+    counts = rows.join(low, "variable").groupBy("variable").agg(cell(True, True).alias("a"), cell(True, False).alias("b"), cell(False, True).alias("c"), cell(False, False).alias("d"), F.max(~F.col("group").isin(F.col("g"), F.col("g2")) | ~F.col("level").isin(F.col("l"), F.col("l2")) | (F.col("g") == F.col("g2")) | (F.col("l") == F.col("l2"))).alias("other"))
+    return counts.withColumn("p", pvalues.fisher_p(*[F.when(~F.col("other"), F.col(c)) for c in "abcd"])).drop("other")
 
 
 def bh(df: DataFrame, p: str, families: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:

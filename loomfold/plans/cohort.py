@@ -20,9 +20,9 @@ def values(spark, schema, *rows):
 
 
 #: A small dictionary.
-DICTIONARY = [("size", "1=tiny;2=small;3=medium"), ("brand", "0 = no; 1 = yes; -900=missing;-9=unknown"), ("free", None), ("one", "1=only"), ("seg", "BUILDING=B; HOUSEHOLD = H;note"), ("none", "-9=a;-3=b")]
-NOTES_SQL = "n(name, notes) as (values ('size', '1=tiny;2=small;3=medium'), ('brand', '0 = no; 1 = yes; -900=missing;-9=unknown'), ('free', null), ('one', '1=only'), ('seg', 'BUILDING=B; HOUSEHOLD = H;note'), ('none', '-9=a;-3=b'))"
-CODES_SQL = "c as (select name, trim(split_part(p, '=', 1)) as code, trim(split_part(p, '=', 2)) as label from (select name, unnest(string_split(case when strpos(notes, '-900') > 0 then left(notes, strpos(notes, '-900') - 1) else notes end, ';')) as p from n) where contains(p, '=')), k as (select *, count(*) over (partition by name) as n_codes, bool_and(code in ('-900', '-300', '-7', '-998', '-997', '-9', '-3')) over (partition by name) as uncoded from c)"
+DICTIONARY = [("size", "1=tiny;2=small;3=medium"), ("brand", "0 = no; 1 = yes; -900=missing;-9=unknown"), ("free", None), ("one", "1=only"), ("seg", "BUILDING=B; HOUSEHOLD = H;note"), ("none", "-9=a;-3=b"), ("type", "0=even;1=a;1=b;2=c")]
+NOTES_SQL = "n(name, notes) as (values ('size', '1=tiny;2=small;3=medium'), ('brand', '0 = no; 1 = yes; -900=missing;-9=unknown'), ('free', null), ('one', '1=only'), ('seg', 'BUILDING=B; HOUSEHOLD = H;note'), ('none', '-9=a;-3=b'), ('type', '0=even;1=a;1=b;2=c'))"
+CODES_SQL = "c as (select name, pos, trim(split_part(p, '=', 1)) as code, trim(split_part(p, '=', 2)) as label from (select name, unnest(string_split(part, ';')) as p, generate_subscripts(string_split(part, ';'), 1) as pos from (select name, case when strpos(notes, '-900') > 0 then left(notes, strpos(notes, '-900') - 1) else notes end as part from n)) where contains(p, '=')), k as (select * exclude (pos, nth) from (select *, count(*) over (partition by name) as n_codes, bool_and(code in ('-900', '-300', '-7', '-998', '-997', '-9', '-3')) over (partition by name) as uncoded, row_number() over (partition by name, code order by pos) as nth from c) where nth = 1)"
 
 
 def notes(s):
@@ -32,8 +32,8 @@ def notes(s):
 def recoded(s, d):
     """Whole maps, one that is whole but for missing codes, and one with a value left over."""
     codes = clean.parse_notes(notes(s))
-    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr("case when p_partkey % 9 = 0 then '-9' when p_partkey % 10 = 0 then null else cast(p_size % 3 + 1 as string) end").alias("size"), (F.col("p_size") % 4).cast("string").alias("brand"), F.lit("BUILDING").alias("seg"))
-    return clean.recode(p.unpivot(["id"], ["size", "brand", "seg"], "name", "value").select("name", "id", "value"), codes)
+    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr("case when p_partkey % 9 = 0 then '-9' when p_partkey % 10 = 0 then null else cast(p_size % 3 + 1 as string) end").alias("size"), (F.col("p_size") % 4).cast("string").alias("brand"), F.lit("BUILDING").alias("seg"), (F.col("p_size") % 2).cast("string").alias("type"))
+    return clean.recode(p.unpivot(["id"], ["size", "brand", "seg", "type"], "name", "value").select("name", "id", "value"), codes)
 
 
 def gappy_events(s, d):
@@ -185,7 +185,7 @@ ORACLES = {
     "scan_filter_project": "select l_orderkey, l_linenumber from lineitem where l_shipdate >= timestamp '1998-01-01' and l_discount > 0.05::double",
     "sentinel_null": "select p_partkey, p_name, case when p_size in (9, 19) then null else p_size end as p_size from part",
     "parse_notes": f"with {NOTES_SQL}, {CODES_SQL} select name, code, label, n_codes from k where n_codes >= 2 and not uncoded",
-    "recode_notes": f"with {NOTES_SQL}, {CODES_SQL}, v as (select 'size' as name, p_partkey as id, case when p_partkey % 9 = 0 then '-9' when p_partkey % 10 = 0 then null else (p_size % 3 + 1)::varchar end as value from part union all select 'brand', p_partkey, (p_size % 4)::varchar from part union all select 'seg', p_partkey, 'BUILDING' from part), j as (select v.*, k.label from v left join k on v.name = k.name and v.value = k.code and n_codes >= 2 and not uncoded), f as (select name, bool_and(label is not null) as whole from j where value not in ('-300', '-900', 'N/A', '<NA>', 'NA', '-7', '-997', '-998', '-9', '-3') group by name) select j.name, id, value, case when label is null then value when whole then label else value || '=' || label end as recoded from j join f on j.name = f.name",
+    "recode_notes": f"with {NOTES_SQL}, {CODES_SQL}, v as (select 'size' as name, p_partkey as id, case when p_partkey % 9 = 0 then '-9' when p_partkey % 10 = 0 then null else (p_size % 3 + 1)::varchar end as value from part union all select 'brand', p_partkey, (p_size % 4)::varchar from part union all select 'seg', p_partkey, 'BUILDING' from part union all select 'type', p_partkey, (p_size % 2)::varchar from part), j as (select v.*, k.label from v left join k on v.name = k.name and v.value = k.code and n_codes >= 2 and not uncoded), f as (select name, bool_and(label is not null) as whole from j where value not in ('-300', '-900', 'N/A', '<NA>', 'NA', '-7', '-997', '-998', '-9', '-3') group by name) select j.name, id, value, case when label is null then value when whole then label else value || '=' || label end as recoded from j join f on j.name = f.name",
     "categorical_infer": f"with {NOTES_SQL} select name, len(list_filter(list_distinct(regexp_extract_all(coalesce(notes, ''), '(-?\\d+)\\s*=', 1)), lambda x: not list_contains(['-9', '-99', '999', '-900', '-3', '-7', '-300'], x))) >= 2 as categorical from n",
     "unit_convert": "with o as (select o_orderkey as id, o_totalprice as v, (['F', '°F', 'deg fahrenheit', 'Celsius', 'FAH', null])[o_orderkey % 6 + 1] as tu, (['in', 'Inches', 'internal', 'cm', '2 in', 'line'])[o_orderkey % 6 + 1] as hu, (['lbs', 'Pounds', 'kg', 'LB', 'g', null])[o_orderkey % 6 + 1] as wu from orders) select id, round(case when contains(lower(tu), 'fah') or contains(lower(tu), '°f') then (v - 32) * 5 / 9 else v end, 6) as temp, 'Celsius' as temp_unit, round(case when contains(lower(hu), 'inch') or regexp_matches(lower(hu), '(^|[^a-z0-9_])in($|[^a-z0-9_])') then v * 2.54::double else v end, 6) as height, 'cm' as height_unit, round(case when contains(lower(wu), 'lb') or contains(lower(wu), 'pound') then v * 0.45359237::double else v end, 6) as weight, 'kg' as weight_unit from orders join o on o_orderkey = id",
     "not_assessed": "select event_id, case when event_id % 10 = 0 then null else event_type end as t from events",

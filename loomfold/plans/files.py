@@ -69,11 +69,11 @@ def generations(s, d):
     return sources.read_generations(s, root).filter("fold = 0").select("s_suppkey", F.col("fold").cast("int").alias("fold"), F.col("gen").cast("int").alias("gen"))
 
 
-def streamed(s, d, result):
+def streamed(s, d, result, keys):
     root = folder(s)
     table(s, d, "events").write.parquet(f"{root}/in")
     stream = s.readStream.schema(table(s, d, "events").schema).parquet(f"{root}/in")
-    return latest.run_once(result(stream), f"{root}/out")
+    return latest.run_once(result(stream), f"{root}/out", keys)
 
 
 QUERIES = {
@@ -84,8 +84,8 @@ QUERIES = {
     "newest_table": newest,
     "dictionary_read": dictionary,
     "generation_store": generations,
-    "stream_earliest": lambda s, d: streamed(s, d, lambda e: latest.earliest_dates(e.withColumn("day", F.col("ts").cast("date")), "user_id", "day")),
-    "stream_windows": lambda s, d: streamed(s, d, lambda e: latest.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")).select(F.col("start").cast("date").alias("day"), "event_type", "count"),
+    "stream_earliest": lambda s, d: streamed(s, d, lambda e: latest.earliest_dates(e.withColumn("day", F.col("ts").cast("date")), "user_id", "day"), ["user_id"]),
+    "stream_windows": lambda s, d: streamed(s, d, lambda e: latest.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), ["start", "event_type"]).select(F.col("start").cast("date").alias("day"), "event_type", "count"),
 }
 
 ORACLES = {

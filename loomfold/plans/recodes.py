@@ -229,7 +229,7 @@ ORACLES = {
     "dose_rewrite": "select p_partkey, case when p_size % 5 = 0 or p_size % 7 = 0 then 0 else p_size end as \"Dose_a\", case when p_size % 3 = 0 then null else p_size end as plain, case when p_size % 4 = 0 then 0 else p_retailprice end as \"on_MED\" from part",
     "listed_flags": "select c_custkey, case when c_custkey in (select o_custkey from orders where o_orderstatus = 'P') then 'Discovery' else 'Test' end as sample, c_custkey in (select o_custkey from orders where o_orderpriority = '5-LOW' and o_totalprice > 100000) as ineligible from customer",
     "not_applicable": "select 'a' as \"column\" from customer where c_custkey % 50 = 0 having count(*) > 0 union all select 'b' from customer where c_custkey % 20 = 1 having count(*) > 0 union all select 'c' from customer where c_custkey = 7 having count(*) > 0",
-    "usable_tables": "with g as (select distinct o_orderstatus as g from orders order by 1 limit 2), n as (select g, count(case when o_orderkey % 3 = 0 then 1 end) as often, count(case when o_orderkey % 400 = 0 then 1 end) as rare, count(case when o_orderstatus = 'F' then 1 end) as one from orders join g on o_orderstatus = g group by 1) select 'often' as variable, min(often) > 30 and count(*) = 2 as usable from n union all select 'rare', min(rare) > 30 and count(*) = 2 from n union all select 'one', min(one) > 30 and count(*) = 2 from n",
+    "usable_tables": "with n as (select o_orderstatus, count(*) as n from orders group by 1 order by 1 limit 2) select variable, min(n) > 30 and count(*) = 2 as usable from n, (values ('often'), ('rare'), ('one')) v(variable) group by 1",
     "relabel": "select o_orderkey, case o_orderstatus when 'F' then 'done' when 'O' then 'open' end as state from orders",
     "epoch_number": "select event_id, epoch_us(ts) * 1000 as ns, epoch_us(ts::date::timestamp) * 1000 as day_ns from events",
     "append_constants": "select * from region union all select 90, 'added' union all select 91, null",

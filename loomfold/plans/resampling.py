@@ -74,7 +74,10 @@ db as (select 1 / (1 + avg(w)) as davies_bouldin from (select a.label, max((a.s
 
 def supplier_distances(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("a"))
-    return s.join(s.select(F.col("i").alias("j"), F.col("a").alias("b")), F.expr("i < j")).select("i", "j", F.abs(F.col("a") - F.col("b")).alias("d"))
+    block = lambda c, name: F.pmod(F.xxhash64(c), F.lit(8)).alias(name)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))
+    left, right = s.select("i", "a", block("i", "row"), every.alias("column")), s.select(F.col("i").alias("j"), F.col("a").alias("b"), block("i", "column"), every.alias("row"))
+    return left.join(right, ["row", "column"]).filter("i < j").select("i", "j", F.abs(F.col("a") - F.col("b")).alias("d"))
 
 
 SKEWED = "case when s_suppkey % 20 = 0 then 3 when s_suppkey % 10 = 1 then 2 when s_suppkey % 3 = 0 then 1 else 0 end"

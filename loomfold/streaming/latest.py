@@ -12,7 +12,7 @@ def earliest_dates(stream: DataFrame, key: str, date: str) -> DataFrame:
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Counts per window and key; events later than the watermark are left out."""
+    """Counts per window and key; written in append or update mode (run_once), events later than the watermark are left out and their windows' state is dropped."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key).count().select(F.col("w.start").alias("start"), key, "count")
 
 
@@ -35,12 +35,16 @@ def upsert_newest(path: str, keys: list[str], version: str):
     return write
 
 
-def run_once(result: DataFrame, path: str) -> DataFrame:
-    """Takes all that a stream has now through an aggregation and leaves its whole result as a Parquet table."""
+def run_once(result: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Takes all that a stream has now through an aggregation, in update mode, and gives its whole result: the last row told for each key.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table")
+    A batch writes its changed keys under its number, so one that runs again writes the same; a later call goes on from the checkpoint.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
-    query = result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query = result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.read.schema(result.schema).parquet(f"{path}/table")
+    told = result.sparkSession.read.option("basePath", f"{path}/table").parquet(f"{path}/table")
+    return told.groupBy(*keys).agg(F.max_by(F.struct(*result.columns), "batch").alias("r")).select("r.*")
