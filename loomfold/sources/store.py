@@ -30,9 +30,17 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Deleted when the program ends."""
+    """df, written and read again; deleted by free(), or when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomfold_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        _forget(df.sparkSession, df._loomfold_path)
