@@ -41,7 +41,6 @@ def gappy_events(s, d):
 
 
 GAPPY_SQL = "e as (select event_id, case when event_id % 7 = 0 then null else value end as a, case when event_id % 2 = 0 then null else user_id end as b, case when event_id % 3 = 0 then null else event_type end as c from events)"
-FILES = [("/r/a_01.02.2023.csv",), ("/r/a_13.01.2024.csv",), ("/r/b_05.05.2022.csv",), ("/r/csv/7/part-1.csv",), ("/r/csv/9/part-1.csv",), ("/r/basetable/a_01.01.2025.csv",), ("/r/csv/part-2.csv",)]
 
 
 def units(s, d):
@@ -104,12 +103,6 @@ def two_sources(s, d):
     return rounded(match.completeness_choice(one, two, "event_id", ["a", "b"]), 6, "a", "b")
 
 
-def aliases(s, d):
-    rows = [("x", "Var X", "xx, x_old", "Yes", "No", "num", "Mood", None), ("y", "Var Y", None, "yes", "Yes", "cat", "Cognition", "0=a;1=b"), ("z", "Var Z", "zz", "No", "Yes", "num", "Mood", None)]
-    dictionary = values(s, ", ".join(f"{c} string" for c in sources.DICTIONARY), *rows)
-    return sources.variables(dictionary, ["x", "id"]).select("ElementName", "Modality", "alias_of")
-
-
 def first_orders(s, d, order):
     o = table(s, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.col("o_totalprice").alias("price"), (F.unix_date(F.col("o_orderdate").cast("date")) % 100).cast("double").alias("day"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(order, "o_orderkey"))
@@ -126,9 +119,7 @@ ORDERS_SQL = "o as (select o_custkey as id, o_orderkey, o_totalprice as p, ((o_o
 QUERIES = {
     "scan_filter_project": lambda s, d: table(s, d, "lineitem").filter("l_shipdate >= timestamp'1998-01-01' and l_discount > 0.05").select("l_orderkey", "l_linenumber"),
     "sentinel_null": lambda s, d: clean.sentinels_to_null(table(s, d, "part").select("p_partkey", "p_name", "p_size"), (9, 19), ["p_size"]),
-    "parse_notes": lambda s, d: clean.parse_notes(notes(s)),
     "recode_notes": recoded,
-    "categorical_infer": lambda s, d: notes(s).select("name", clean.is_categorical(F.col("notes")).alias("categorical")),
     "unit_convert": units,
     "not_assessed": lambda s, d: table(s, d, "events").select("event_id", clean.not_assessed_to_null(F.expr("case when event_id % 10 = 0 then 'Not Assessed' else event_type end")).alias("t")),
     "multi_hot_code": lambda s, d: table(s, d, "part").select("p_partkey", *[((F.col("p_size") % k) == 0).cast("int").alias(f"f{k}") for k in (2, 3, 5, 7)]).select("p_partkey", clean.multi_hot({2: "f2", 3: "f3", 5: "f5", 7: "f7"}).alias("code")),
@@ -141,7 +132,6 @@ QUERIES = {
     "shared_ids": lambda s, d: clean.shared_ids([table(s, d, "customer").select(F.col("c_custkey").alias("id")), table(s, d, "orders").select(F.col("o_custkey").alias("id")), table(s, d, "events").select(F.col("user_id").alias("id"))], "id"),
     "variable_types": typed,
     "positive_level": positive,
-    "parse_p": lambda s, d: values(s, "id long, t string", (1, "<0.001"), (2, ">0.99"), (3, " 0.25"), (4, "n/a"), (5, None)).select("id", clean.parse_p(F.col("t")).alias("p")),
     "group_flag": lambda s, d: table(s, d, "orders").select("o_orderkey", clean.flag_group(F.expr("nullif(o_orderstatus, 'P')"), "F").alias("g")).filter("g is not null"),
     "test_id_exclusion": lambda s, d: table(s, d, "customer").filter(~F.col("c_name").rlike("[05]$")).join(table(s, d, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey", "left_anti").select("c_custkey"),
     "outer_coalesce": lambda s, d: match.outer_coalesce(orders_by_day(s, d), events_by_day(s, d), ["day"], ["last_id"]).select("day", "n", "n_events", "last_id"),
@@ -155,8 +145,6 @@ QUERIES = {
     "reference_dates": references,
     "earliest_row": lambda s, d: match.first_by(table(s, d, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type"),
     "first_non_null": lambda s, d: match.first_non_null(table(s, d, "events").withColumn("v", F.expr("case when event_id % 3 = 0 then null else event_id end")).withColumn("t", F.expr("case when event_id % 4 = 0 then null else event_type end")), "user_id", F.struct("ts", "event_id"), ["v", "t"]),
-    "latest_file": lambda s, d: sources.newest(sources.file_parts(values(s, "path string", *FILES)).filter("layout = 'dated'")).select("path", "base"),
-    "latest_version": lambda s, d: sources.newest(sources.file_parts(values(s, "path string", *FILES)).filter("layout <> 'dated'").withColumn("base", F.lit("part")), "version").select("path", "version"),
     "completeness_choice": two_sources,
     "row_total_null_aware": lambda s, d: rounded(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("case when l_orderkey % 2 = 0 then null else l_quantity end").alias("a"), F.expr("case when l_orderkey % 3 = 0 then null else l_tax end").alias("b"), F.expr("case when l_orderkey % 5 = 0 then null else l_discount end").alias("c")).select("l_orderkey", "l_linenumber", match.row_total(["a", "b", "c"]).alias("total"), match.row_total(["a", "b", "c"], True).cast("double").alias("filled")), 6, "total", "filled"),
     "masked_min_date": masked,
@@ -165,7 +153,6 @@ QUERIES = {
     "intersect_ids": lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id")).intersect(table(s, d, "events").select("user_id")),
     "except_ids": lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id")).exceptAll(table(s, d, "events").select("user_id").distinct()),
     "explode_alias": lambda s, d: table(s, d, "part").select("p_partkey", F.explode(F.split(F.col("p_name"), r"\s+")).alias("word")).distinct(),
-    "dictionary_variables": aliases,
     "unpivot": lambda s, d: table(s, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation")).unpivot(["c_custkey"], ["c_acctbal", "nation"], "variable", "value"),
     "pivot": lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0),
     "top_n": lambda s, d: table(s, d, "events").select("event_type", "event_id", "value", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("value"), "event_id")).alias("place")).filter("place <= 3"),
@@ -184,9 +171,7 @@ QUERIES = {
 ORACLES = {
     "scan_filter_project": "select l_orderkey, l_linenumber from lineitem where l_shipdate >= timestamp '1998-01-01' and l_discount > 0.05::double",
     "sentinel_null": "select p_partkey, p_name, case when p_size in (9, 19) then null else p_size end as p_size from part",
-    "parse_notes": f"with {NOTES_SQL}, {CODES_SQL} select name, code, label, n_codes from k where n_codes >= 2 and not uncoded",
     "recode_notes": f"with {NOTES_SQL}, {CODES_SQL}, v as (select 'size' as name, p_partkey as id, case when p_partkey % 9 = 0 then '-9' when p_partkey % 10 = 0 then null else (p_size % 3 + 1)::varchar end as value from part union all select 'brand', p_partkey, (p_size % 4)::varchar from part union all select 'seg', p_partkey, 'BUILDING' from part union all select 'type', p_partkey, (p_size % 2)::varchar from part), j as (select v.*, k.label from v left join k on v.name = k.name and v.value = k.code and n_codes >= 2 and not uncoded), f as (select name, bool_and(label is not null) as whole from j where value not in ('-300', '-900', 'N/A', '<NA>', 'NA', '-7', '-997', '-998', '-9', '-3') group by name) select j.name, id, value, case when label is null then value when whole then label else value || '=' || label end as recoded from j join f on j.name = f.name",
-    "categorical_infer": f"with {NOTES_SQL} select name, len(list_filter(list_distinct(regexp_extract_all(coalesce(notes, ''), '(-?\\d+)\\s*=', 1)), lambda x: not list_contains(['-9', '-99', '999', '-900', '-3', '-7', '-300'], x))) >= 2 as categorical from n",
     "unit_convert": "with o as (select o_orderkey as id, o_totalprice as v, (['F', '°F', 'deg fahrenheit', 'Celsius', 'FAH', null])[o_orderkey % 6 + 1] as tu, (['in', 'Inches', 'internal', 'cm', '2 in', 'line'])[o_orderkey % 6 + 1] as hu, (['lbs', 'Pounds', 'kg', 'LB', 'g', null])[o_orderkey % 6 + 1] as wu from orders) select id, round(case when contains(lower(tu), 'fah') or contains(lower(tu), '°f') then (v - 32) * 5 / 9 else v end, 6) as temp, 'Celsius' as temp_unit, round(case when contains(lower(hu), 'inch') or regexp_matches(lower(hu), '(^|[^a-z0-9_])in($|[^a-z0-9_])') then v * 2.54::double else v end, 6) as height, 'cm' as height_unit, round(case when contains(lower(wu), 'lb') or contains(lower(wu), 'pound') then v * 0.45359237::double else v end, 6) as weight, 'kg' as weight_unit from orders join o on o_orderkey = id",
     "not_assessed": "select event_id, case when event_id % 10 = 0 then null else event_type end as t from events",
     "multi_hot_code": "select p_partkey, case when p_size % 7 = 0 then 7 when p_size % 5 = 0 then 5 when p_size % 3 = 0 then 3 when p_size % 2 = 0 then 2 end as code from part",
@@ -199,7 +184,6 @@ ORACLES = {
     "shared_ids": "select c_custkey as id from customer intersect select o_custkey from orders intersect select user_id from events",
     "variable_types": "with c as (select * from customer), t(variable, n, zero_one) as (select 'c_acctbal', count(distinct c_acctbal), bool_and(c_acctbal in (0, 1)) from c union all select 'flag', count(distinct c_nationkey % 2), bool_and(c_nationkey % 2 in (0, 1)) from c union all select 'three', count(distinct c_nationkey % 3), bool_and(c_nationkey % 3 in (0, 1)) from c union all select 'far', count(distinct c_nationkey > 4), false from c), x(variable, n) as (select 'c_mktsegment', count(distinct c_mktsegment) from c union all select 'single', 1 union all select 'two', count(distinct c_nationkey > 4) from c) select variable, case when zero_one then 'binary' else 'continuous' end as kind from t union all select variable, case when n = 2 then 'binary' when n > 2 then 'categorical' end from x union all select 'logical', 'binary' union all select 'none', null",
     "positive_level": f"with r as (select p_brand as variable, {LEVEL} as level, p_partkey as pos from part), l as (select variable, level, min(pos) as pos from r group by all), h as (select variable, arg_min(level, pos) as hit from l where lower(level) in ('1', 'yes', 'true', 'positive', 'present', 'high', 'case', 'chr') group by 1), o as (select variable, list_sort(list(level)) as levels from l group by 1) select o.variable, case when len(levels) > 1 then coalesce(hit, levels[2]) end as level from o left join h using (variable)",
-    "parse_p": "select id, p from (values (1::bigint, 0.001::double), (2, 0.99), (3, 0.25), (4, null), (5, null)) t(id, p)",
     "group_flag": "select o_orderkey, case o_orderstatus when 'F' then 1 else 0 end as g from orders where o_orderstatus in ('F', 'O')",
     "test_id_exclusion": "select c_custkey from customer where not regexp_matches(c_name, '[05]$') and c_nationkey not in (select n_nationkey from nation where n_regionkey = 0)",
     "outer_coalesce": "with o as (select o_orderdate::date as day, count(*) as n, max(case when o_orderstatus = 'F' then o_orderkey end) as last_id from orders group by 1), e as (select ts::date as day, count(*) as n_events, max(event_id) as last_id from events group by 1) select coalesce(o.day, e.day) as day, n, n_events, coalesce(o.last_id, e.last_id) as last_id from o full join e on o.day = e.day",
@@ -213,8 +197,6 @@ ORACLES = {
     "reference_dates": "select o_custkey as user_id, min(o_orderdate::date) as ref_date from orders where o_orderstatus = 'F' group by 1",
     "earliest_row": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts, event_id) as k from events) where k = 1",
     "first_non_null": "select user_id, arg_min(case when event_id % 3 = 0 then null else event_id end, (ts, event_id)) filter (where event_id % 3 <> 0) as v, arg_min(event_type, (ts, event_id)) filter (where event_id % 4 <> 0) as t from events group by user_id",
-    "latest_file": "select * from (values ('/r/a_13.01.2024.csv', 'a'), ('/r/b_05.05.2022.csv', 'b')) t(path, base)",
-    "latest_version": "select '/r/csv/part-2.csv' as path, 9999 as version",
     "completeness_choice": f"with {GAPPY_SQL}, o as (select event_id, a, b::double as b from e where event_id % 5 < 4), t as (select event_id, case when event_id % 4 = 0 then null else a + 1 end as a, coalesce(b::double, -1) as b from e), n as (select (select count(a) from o) >= (select count(a) from t) as pa, (select count(b) from o) >= (select count(b) from t) as pb) select event_id, round(case when pa then coalesce(o.a, t.a) else coalesce(t.a, o.a) end, 6) as a, round(case when pb then coalesce(o.b, t.b) else coalesce(t.b, o.b) end, 6) as b from t full join o using (event_id), n",
     "row_total_null_aware": "with l as (select l_orderkey, l_linenumber, case when l_orderkey % 2 = 0 then null else l_quantity end as a, case when l_orderkey % 3 = 0 then null else l_tax end as b, case when l_orderkey % 5 = 0 then null else l_discount end as c from lineitem) select l_orderkey, l_linenumber, round(case when coalesce(a, b, c) is not null then coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) end, 6) as total, round(coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0), 6)::double as filled from l",
     "masked_min_date": "with o as (select l_orderkey, min(case when (l_orderkey + l_linenumber) % 2 = 1 then l_shipdate::date end) as onset from lineitem group by 1) select l_orderkey, onset, round(date_diff('day', onset, date '2002-01-01') / 365.25::double, 6) as years from o",
@@ -223,7 +205,6 @@ ORACLES = {
     "intersect_ids": "select c_custkey as id from customer intersect select user_id from events",
     "except_ids": "select c_custkey as id from customer except select user_id from events",
     "explode_alias": "select distinct p_partkey, unnest(regexp_split_to_array(p_name, '\\s+')) as word from part",
-    "dictionary_variables": "select * from (values ('x', 'Mood', null), ('xx', 'Mood', 'x'), ('x_old', 'Mood', 'x'), ('y', 'Cognition', null), ('id', null, null)) t(ElementName, Modality, alias_of)",
     "unpivot": "select c_custkey, 'c_acctbal' as variable, c_acctbal as value from customer union all select c_custkey, 'nation', c_nationkey::double from customer",
     "pivot": "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as F, count(*) filter (where o_orderstatus = 'O') as O, count(*) filter (where o_orderstatus = 'P') as P from orders group by 1",
     "top_n": "select event_type, event_id, value, place from (select *, row_number() over (partition by event_type order by value desc, event_id)::int as place from events) where place <= 3",

@@ -54,14 +54,6 @@ def newest(s, d):
     return sources.newest_table(s, root, "meta", "n_nationkey long")
 
 
-ROWS = [("x", "Var X", "xx", "Yes", "No", "num", "Mood", "0=a;1=b"), ("y", "Var Y", None, "no", "Yes", "cat", "Sleep", None)]
-
-
-def dictionary(s, d):
-    path = sources.write_dated(s.createDataFrame(ROWS, ", ".join(f"{c} string" for c in sources.DICTIONARY)), folder(s), "meta", "a")
-    return sources.read_dictionary(s, path).select("ElementName", "Aliases", "Modality", "Notes")
-
-
 def generations(s, d):
     root = folder(s)
     for fold, gen in ((0, 1), (0, 2), (1, 1)):
@@ -82,7 +74,6 @@ QUERIES = {
     "csv_files": listed,
     "csv_header": header,
     "newest_table": newest,
-    "dictionary_read": dictionary,
     "generation_store": generations,
     "stream_earliest": lambda s, d: streamed(s, d, lambda e: latest.earliest_dates(e.withColumn("day", F.col("ts").cast("date")), "user_id", "day"), ["user_id"]),
     "stream_windows": lambda s, d: streamed(s, d, lambda e: latest.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), ["start", "event_type"]).select(F.col("start").cast("date").alias("day"), "event_type", "count"),
@@ -94,7 +85,6 @@ ORACLES = {
     "csv_files": "select distinct o_orderstatus as status from orders",
     "csv_header": "select column_name as name from (describe customer) where column_name in ('c_name', 'absent', 'c_acctbal')",
     "newest_table": "select n_nationkey from nation where n_nationkey % 3 = 1",
-    "dictionary_read": "select * from (values ('x', 'xx', 'Mood', '0=a;1=b'), ('y', null, 'Sleep', null)) t(\"ElementName\", \"Aliases\", \"Modality\", \"Notes\")",
     "generation_store": "select s_suppkey, 0 as fold, (s_suppkey % 3 + 1)::int as gen from supplier where s_suppkey % 3 < 2",
     "stream_earliest": "select user_id, min(ts::date) as ref_date from events group by 1",
     "stream_windows": "select ts::date as day, event_type, count(*) as count from events group by all",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, features, inference, match, quality, report, resample, search
+from ..operators import clean, features, inference, match, quality, report, resample
 from ..sources.tables import table
 from .cohort import GAPPY_SQL, first_orders, gappy_events, rounded
 from .resampling import labels as label_sets
@@ -111,15 +111,6 @@ def diagnosed(s, d):
     return report.diagnostics(c, scores, 20)
 
 
-def decoded(s, d):
-    people = search.population(s, 20, {"k_u": [2, 3], "linkage_u": ["a", "b"], "k_v": [4, 5], "linkage_v": ["c", "d"], "pre_linkage": ["e"], "k_final": [2, 3], "fusion": ["agreement"]}, "g1")
-    out = report.decode_genes(people, ["u", "v"])
-    return out.select("ind", F.concat_ws(",", F.transform("ks", lambda k: k.cast("string"))).alias("ks"), F.concat_ws(",", "linkages").alias("linkages"), "pre_linkage", "k_final", "fusion")
-
-
-DRAW = "('0x' || substr(md5(concat_ws(':', ind, '{}', 'g1')), 1, 8))::bigint % 2 + 1"
-
-
 def axis(s, d):
     o = table(s, d, "orders").groupBy(F.concat_ws(" | ", "o_orderstatus", "o_orderpriority").alias("x")).agg(F.min("o_orderkey").alias("pos"))
     return report.axis_positions(o)
@@ -193,7 +184,6 @@ QUERIES = {
     "top_correlates": correlates,
     "top_changes": changes_by_feature,
     "diagnostics": diagnosed,
-    "decode_genes": decoded,
     "axis_positions": axis,
     "dummy_code": dummies,
     "as_matrix": lambda s, d: features.as_matrix(table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey").select("id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b")),
@@ -249,7 +239,6 @@ ORACLES = {
     "top_correlates": "with e as (select vec_id as id, k, embedding[k + 1]::double as v from embeddings, range(0, 64) t(k)), c as (select 'd' || a.k as f, 'd' || b.k as g, round(corr(a.v, b.v), 8) as r from e a join e b on a.id = b.id and a.k < 4 and b.k >= 32 group by all), t as (select f, 'positive' as side, (row_number() over (partition by f order by r desc, g))::int as place, g, r from c union all select f, 'negative', (row_number() over (partition by f order by r, g))::int, g, r from c) select f, side, place, g, round(r, 6) as r from t where place <= 3",
     "top_changes": "with c as (select event_type, 'f' || (user_id % 7) as feature, avg(case when event_id % 2 = 0 then value else -value end) as change from events group by all) select feature, round(max(abs(change)), 6) as most from c group by 1 order by max(abs(change)) desc, feature limit 4",
     "diagnostics": "select p_partkey as ind, p_size * 10 + p_partkey % 7 as rank, p_retailprice as ari_u, -p_retailprice as ari_v from part order by rank, ind limit 20",
-    "decode_genes": f"select ind, concat_ws(',', ([2, 3])[{DRAW.format('k_u')}], ([4, 5])[{DRAW.format('k_v')}]) as ks, concat_ws(',', (['a', 'b'])[{DRAW.format('linkage_u')}], (['c', 'd'])[{DRAW.format('linkage_v')}]) as linkages, 'e' as pre_linkage, ([2, 3])[{DRAW.format('k_final')}] as k_final, 'agreement' as fusion from range(0, 20) t(ind)",
     "axis_positions": "with b as (select o_orderstatus || ' | ' || o_orderpriority as x, o_orderstatus as modality, min(o_orderkey) as pos from orders group by all), o as (select modality, min(pos) as first from b group by 1), a as (select x, b.modality, false as spacer, first, pos from b join o on b.modality = o.modality union all select modality || ' ', modality, true, first, null from o where first < (select max(first) from o)) select x, modality, spacer, sum(case when spacer then 0.25::double else 1.0::double end) over (order by first, pos nulls last) as x_pos from a",
     "dummy_code": "select o_orderkey, (case when o_orderkey % 11 = 0 then null when o_orderstatus = 'F' then 5 when o_orderstatus = 'O' then 6 else 7 end)::double as status, " + ", ".join(f"coalesce((o_orderkey % 9 <> 0 and o_orderpriority = '{v}')::int, 0) as \"prio_{v.replace('-', '_').replace(' ', '_')}\"" for v in ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + ", (o_orderkey % 9 = 0)::int as prio_nan, (o_totalprice > 100000)::int as dear, epoch_us(o_orderdate::timestamp) * 1000 as \"at\", o_totalprice as price from orders",
     "as_matrix": "select c_custkey as id, c_nationkey::double as a, c_acctbal as b from customer",

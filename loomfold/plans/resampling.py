@@ -100,13 +100,6 @@ def permuted(s, d):
     return t.select("s_suppkey", "permuted")
 
 
-FOLDS = [(1, "ward", 2), (1, "average", 3), (2, "average", 3), (2, "ward", 2), (3, "single", 4)]
-
-
-def folds(spark):
-    return spark.createDataFrame(FOLDS, "k long, linkage string, k_final long")
-
-
 QUERIES = {
     "subsample_md5": lambda s, d: resample.subsample(table(s, d, "customer").select("c_custkey"), "c_custkey", "s1"),
     "merge_resample_md5": lambda s, d: resample.merge_resample(table(s, d, "nation").select("n_nationkey"), "n_nationkey", "m1"),
@@ -136,9 +129,6 @@ QUERIES = {
     "compactness": lambda s, d: rounded(quality.compactness(supplier_distances(s, d)), 8, "compactness"),
     "pareto_front": lambda s, d: search.pareto_front(parts(s, d), ["size", "cheap"]).select("p_partkey", "size", "cheap"),
     "ideal_point": lambda s, d: rounded(search.ideal_distance(parts(s, d), ["size", "cheap"]), 8, "distance").select("p_partkey", "distance"),
-    "population_init": lambda s, d: search.population(s, 50, {"k": [2, 3, 4, 5], "linkage": ["average", "complete", "ward"], "fusion": ["agreement", "consensus"]}, "g0"),
-    "mode_params": lambda s, d: search.mode_params(folds(s), ["k", "linkage", "k_final"]),
-    "crossover": lambda s, d: s.range(6).select("id", F.array_join(search.crossover(F.sequence(F.lit(1), F.lit(5)), F.sequence(F.lit(11), F.lit(15)), F.col("id").cast("int")), ",").alias("genes")),
 }
 
 SCORES_SQL = "(i - p * q / (n * (n - 1) / 2)) / ((p + q) / 2 - p * q / (n * (n - 1) / 2))"
@@ -173,7 +163,4 @@ ORACLES = {
     "compactness": "select round(1 - (avg(d) - min(d)) / (max(d) - min(d)), 8) as compactness from (select abs(a.s_acctbal - b.s_acctbal) as d from supplier a join supplier b on a.s_suppkey < b.s_suppkey)",
     "pareto_front": "with p as (select p_partkey, p_size::double as size, -p_retailprice as cheap from part) select * from p where not exists (select 1 from p q where q.size >= p.size and q.cheap >= p.cheap and (q.size > p.size or q.cheap > p.cheap))",
     "ideal_point": "with p as (select p_partkey, p_size::double as size, -p_retailprice as cheap from part), r as (select min(size) as a, max(size) as b, min(cheap) as c, max(cheap) as d from p) select p_partkey, round(sqrt(pow(1 - (size - a) / (b - a), 2) + pow(1 - (cheap - c) / (d - c), 2)), 8) as distance from p, r",
-    "population_init": "select ind, [2, 3, 4, 5][('0x' || substr(md5(concat_ws(':', ind, 'k', 'g0')), 1, 8))::bigint % 4 + 1] as k, ['average', 'complete', 'ward'][('0x' || substr(md5(concat_ws(':', ind, 'linkage', 'g0')), 1, 8))::bigint % 3 + 1] as linkage, ['agreement', 'consensus'][('0x' || substr(md5(concat_ws(':', ind, 'fusion', 'g0')), 1, 8))::bigint % 2 + 1] as fusion from range(0, 50) t(ind)",
-    "mode_params": "with f(k, linkage, k_final) as (values (1, 'ward', 2), (1, 'average', 3), (2, 'average', 3), (2, 'ward', 2), (3, 'single', 4)) select (select k from f group by k order by count(*) desc, k limit 1)::bigint as k, (select linkage from f group by linkage order by count(*) desc, linkage limit 1) as linkage, (select k_final from f group by k_final order by count(*) desc, k_final limit 1)::bigint as k_final",
-    "crossover": "select id, array_to_string(range(1, id + 1) || range(id + 11, 16), ',') as genes from range(0, 6) t(id)",
 }

@@ -110,11 +110,6 @@ def heat(s, d):
     return rounded(inference.heatmap(c, "c_mktsegment", ["c_acctbal", "c_custkey"], {"europe": "true"}), 6, "value", "z")
 
 
-def differences(s, d):
-    tests = s.createDataFrame([("c1", "a", 0.256, 0.0404), ("c2", "a", 0.514, 0.2), ("c1", "b", -0.333, 0.0118)], "comparison string, variable string, effect double, q double")
-    return inference.differences_summary(tests, ["c1", "c2"])
-
-
 def customers(s, d):
     return table(s, d, "customer").withColumn("g", (F.col("c_nationkey") < 12).cast("int"))
 
@@ -157,7 +152,6 @@ QUERIES = {
     "monte_carlo_chi2": lambda s, d: rounded(inference.monte_carlo_chi2(customers(s, d), "c_custkey", "g", "c_mktsegment", 20), 8, "chi2", "p"),
     "group_table": lambda s, d: rounded(inference.group_table(table(s, d, "customer").withColumn("key", F.col("c_custkey").cast("double")), "c_mktsegment", ["c_acctbal", "key"]), 6, "mean", "sd"),
     "comparison_table": lambda s, d: rounded(inference.comparison_table(by_nation(s, d), segments(s, d), GROUPS), 6, "statistic", "effect", "p", "q"),
-    "diff_summary": differences,
     "heatmap_data": heat,
     "level_proportion": lambda s, d: rounded(inference.level_shares(table(s, d, "events"), "user_id", "event_type"), 8, "share"),
     "contingency": lambda s, d: match.contingency(table(s, d, "orders"), "o_orderstatus", "o_orderpriority"),
@@ -189,7 +183,6 @@ ORACLES = {
     "perm_pvalue": "with o as (select c_custkey as id, (c_nationkey < 12)::int as g, c_acctbal as v from customer), " + perm_sql("perm", "z as (select b, avg(case when g = 1 then v end) - avg(case when g = 0 then v end) as d from dealt group by b), s as (select avg(case when g = 1 then v end) - avg(case when g = 0 then v end) as observed from o)") + " select round(observed, 8) as observed, round((sum(case when abs(d) >= abs(observed) - 1e-9 then 1 else 0 end) + 1) / (count(*) + 1), 8) as p from z, s group by observed",
     "monte_carlo_chi2": "with o as (select c_custkey as id, (c_nationkey < 12)::int as g, c_mktsegment as v from customer), " + perm_sql("mc", MC_CHI("dealt", "n", "b") + ", " + MC_CHI("o", "s", "0")) + " select round(sx.chi2, 8) as chi2, round((sum(case when nx.chi2 >= sx.chi2 - 1e-9 then 1 else 0 end) + 1) / (count(*) + 1), 8) as p from nx, sx group by sx.chi2",
     "group_table": "with l as (select c_mktsegment as level, 'c_acctbal' as variable, c_acctbal as v from customer union all select c_mktsegment, 'key', c_custkey::double from customer) select variable, level, count(v) as n, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as sd from l group by grouping sets ((variable, level), (variable))",
-    "diff_summary": "select * from (values ('a', 'ES=0.26; FDR=0.040', 'ES=0.51; FDR=0.200'), ('b', 'ES=-0.33; FDR=0.012', null)) t(variable, c1, c2)",
     "heatmap_data": "with g as (select c_mktsegment as level, avg(c_acctbal) as c_acctbal, avg(c_custkey::double) as c_custkey, avg(case when c_nationkey % 5 = 0 then 1.0::double else 0.0::double end) as europe from customer group by 1), l as (unpivot g on c_acctbal, c_custkey, europe into name variable value value) select variable, level, round(value, 6) as value, round((value - avg(value) over w) / stddev_samp(value) over w, 6) as z from l window w as (partition by variable)",
     "level_proportion": "select user_id, event_type, count(*) as n, round(count(*)::double / sum(count(*)) over (partition by user_id)::double, 8) as share from events group by user_id, event_type",
     "contingency": "select s.o_orderstatus, p.o_orderpriority, count(o.o_orderkey) as n from (select distinct o_orderstatus from orders) s cross join (select distinct o_orderpriority from orders) p left join orders o on o.o_orderstatus = s.o_orderstatus and o.o_orderpriority = p.o_orderpriority group by all",
