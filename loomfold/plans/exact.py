@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import margins, stability
+from ..operators import demographics, margins, stability
 from ..sources.tables import table
 from .resampling import BOOTS_SQL, SCORES_SQL, boots
 
@@ -83,3 +83,54 @@ ORACLES = {
     "fisher_levels": _FISHER,
     "margin_tables": f"with {_NATION}, {_CHI}, m as (select a.test, g, l from (select distinct test, g from c) a join (select distinct test, l from c) b on a.test = b.test) select x.test as nation, x.n, round(chi2, 6) as chi2, df, string_agg(coalesce(e.n, 0)::bigint::varchar, ',' order by m.g, m.l) as cells from x join m using (test) left join e using (test, g, l) group by all",
 }
+
+
+def people(s, d):
+    """Customers in two and in three groups, with numbers, classes of two and of five levels, and gaps."""
+    c = table(s, d, "customer")
+    gap = F.expr("case when c_custkey % 17 = 0 then null else c_mktsegment end")
+    return c.select((F.col("c_nationkey") < 12).cast("string").alias("two"), F.concat(F.lit("g"), F.col("c_nationkey") % 3).alias("three"), F.expr("case when c_custkey % 13 = 0 then null else c_acctbal end").alias("balance"), F.col("c_custkey").alias("number"), gap.alias("segment"), F.when(F.col("c_acctbal") > 4000, "rich").otherwise("poor").alias("wealth"))
+
+
+ORDER = [("segment", "Segment"), ("balance", "Balance"), ("absent", "Absent"), ("wealth", "Wealth"), ("number", "Number")]
+
+
+def compared(group):
+    def run(s, d):
+        found = demographics.demographic_table(people(s, d), ORDER, group)
+        return found.select("position", "label", "level", "place", "group", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round("share", 8).alias("share"), "test", F.round("statistic", 6).alias("statistic"), F.round("effect", 8).alias("effect"))
+
+    return run
+
+
+def compared_sql(group, first, second):
+    """The same from cells and moments; first and second are the parts of the tests that depend on the number of groups."""
+    return f"""with c as (select (c_nationkey < 12)::varchar as two, 'g' || c_nationkey % 3 as three, case when c_custkey % 13 = 0 then null else c_acctbal end as balance, c_custkey::double as number, case when c_custkey % 17 = 0 then null else c_mktsegment end as segment,
+    case when c_acctbal > 4000 then 'rich' else 'poor' end as wealth from customer), o as (select {group} as g, * from c),
+  num as (select g, 'balance' as v, balance as x from o union all select g, 'number', number from o), cls as (select g, 'segment' as v, segment as l from o where segment is not null union all select g, 'wealth', wealth from o),
+  m as (select v, g, count(x)::double as n, avg(x) as m, var_samp(x) as s from num where x is not null group by v, g), w as (select v, count(x)::double as n, avg(x) as grand, var_pop(x) * count(x) as total from num group by v),
+  t as ({first}), e as ({second}),
+  k as (select v, g, l, count(*)::double as n from cls group by all), ch as (select v, sum(n) as n, sum(n) * (sum(n * n / (ng * nl)) - 1) as chi, least(count(distinct g), count(distinct l)) - 1 as q, count(distinct l) as levels
+    from (select *, sum(n) over (partition by v, g) as ng, sum(n) over (partition by v, l) as nl from k) group by v),
+  tests as (select v, '{"welch_t" if group == "two" else "one_way"}' as test, statistic, effect from t join e using (v) union all select v, case when levels = 2 then 'fisher' else 'chi_square' end, chi, sqrt(chi / (n * q)) from ch),
+  lines as (select v, null::varchar as l, 0::bigint as place, g, count(x) as n, avg(x) as m, stddev_samp(x) as s, null::double as share from num group by grouping sets ((v, g), (v))
+    union all select v, null, 0, g, count(*), null, null, null from cls group by grouping sets ((v, g), (v))
+    union all select a.v, a.l, b.place, a.g, a.n, null, null, a.n::double / b2.n from (select v, l, g, count(*) as n from cls group by grouping sets ((v, l, g), (v, l))) a
+      join (select v, l, row_number() over (partition by v order by count(*) desc, l) as place from cls group by v, l) b on a.v = b.v and a.l = b.l join (select v, g, count(*) as n from cls group by grouping sets ((v, g), (v))) b2 on a.v = b2.v and a.g is not distinct from b2.g),
+  d(position, v, label) as (values (0::bigint, 'segment', 'Segment'), (1, 'balance', 'Balance'), (2, 'wealth', 'Wealth'), (3, 'number', 'Number')), ok as (select min(n) > 30 and count(*) = 2 as ok from (select g, count(*) as n from o group by g order by g limit 2))
+  select position, label, l as level, place, g as "group", lines.n, round(m, 6) as mean, round(s, 6) as sd, round(share, 8) as share, case when place = 0 and g is null then test end as test, round(case when place = 0 and g is null then statistic end, 6) as statistic,
+    round(case when place = 0 and g is null then effect end, 8) as effect from lines join d using (v) join tests using (v), ok where ok"""
+
+
+_PAIR = "(select v, max(n) filter (g = 'false') as n0, max(n) filter (g = 'true') as n1, max(m) filter (g = 'false') as m0, max(m) filter (g = 'true') as m1, max(s) filter (g = 'false') as s0, max(s) filter (g = 'true') as s1 from m group by v)"
+_ONE_WAY = """select v, (b / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1) * lam) as statistic from (select v, k, sum(w * (m - swm / sw) * (m - swm / sw)) as b, sum((1 - w / sw) * (1 - w / sw) / (n - 1)) as lam
+  from (select v, n, m, n / s as w, sum(n / s) over (partition by v) as sw, sum(n / s * m) over (partition by v) as swm, (count(*) over (partition by v))::double as k from m) group by v, k)"""
+QUERIES |= {
+    "demographic_two": compared("two"),
+    "demographic_three": compared("three"),
+    "demographic_p": lambda s, d: demographics.demographic_table(people(s, d), ORDER, "three").filter("test is not null").select("variable", "test", F.round("p", 8).alias("p"), F.round("q", 8).alias("q"), "shown"),
+}
+ORACLES |= {
+    "demographic_two": compared_sql("two", f"select v, (m0 - m1) / sqrt(s0 / n0 + s1 / n1) as statistic from {_PAIR}", f"select v, (m1 - m0) / sqrt(((n0 - 1) * s0 + (n1 - 1) * s1) / (n0 + n1 - 2)) as effect from {_PAIR}"),
+    "demographic_three": compared_sql("three", _ONE_WAY, "select v, sum(m.n * (m - grand) * (m - grand)) / any_value(total) as effect from m join w using (v) group by v"),
+}
