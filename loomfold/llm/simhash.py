@@ -11,11 +11,13 @@ sub-cells of entries and queries, each pair of which is a task of its own: no ta
 a spanning forest of the links it finds, not the links, so a group of n yields fewer than n rows from each task.
 Components come from alternating large and small stars over those edges.
 
-With a similarity, fingerprints only propose: several independent ones (lanes), each within a small radius, so that what is compared does not
-grow with the square of the corpus. The components of what they propose are groups, whose pairs are all compared by the Jaccard similarity
-of their bags of shingles. Bags are shipped once, to a task for many groups; a group of more than BLOCK bytes or MOST nodes is cut into
-blocks. Each block is resolved for itself, then the closest proposed pairs between parts of different blocks are verified, and then
-the nodes outside the group's largest part are compared with all others: only they meet every block.
+With a similarity of shingle bags, a radius is no bound: at 0.8 a seventh of the bits differ, and a radius of as much holds a fixed share of all pairs, however
+many partitions. So the search by radius proposes only the pairs that it finds at constant cost (RADIUS), and bands of least hashes propose the others: each bag has
+BANDS names, each of ROWS least hashes, and a pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8, 0.12 at 0.5, below 10^-5 at 0.15.
+A document is proposed with the first of each of its names, so proposals grow with the documents alone. The components of what is proposed are
+groups, whose pairs are all compared by the Jaccard similarity of their bags. Bags are shipped once, to a task for many groups; a group of more than
+BLOCK bytes or MOST nodes is cut into blocks. Each block is resolved for itself, then the closest proposed pairs between parts of different blocks are
+verified, and then the nodes outside the group's largest part are compared with all others: only they meet every block.
 """
 
 from __future__ import annotations
@@ -42,7 +44,10 @@ CELL, CHUNK, PROBE_COST = 1 << 18, 1 << 18, 2.0
 #: Leading bits of a partition's values that are counted, at most: with one lane, with more.
 MOST_BITS = 16, 13
 #: Bytes of bags, and nodes, that a task compares; rows of a small table that is broadcast.
-BLOCK, MOST, SMALL = 4 << 20, 4096, 100_000
+BLOCK, MOST, SMALL = 2 << 20, 2048, 100_000
+#: Search by radius beside the bands of a similarity; names of a bag and least hashes of a name.
+RADIUS, BANDS, ROWS = 3, 34, 8
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -99,21 +104,35 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame
     return text_batches(own).mapInArrow(run, T.StructType([own.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names]]))
 
 
-def _bag_prints(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """doc_id, key (of doc_id and text), node (of the bag of shingles) and fingerprints of the numbered bag, of every row of docs."""
-    names = [f"fp{k}" for k in range(lanes)]
+def names_of(h: np.ndarray) -> np.ndarray:
+    """The BANDS names of a bag of hashes, none for an empty one: hashes of ROWS least products each."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, len(h), 1024):
+        np.minimum(least, (h[k : k + 1024, None] * _FACTORS).min(axis=0), out=least)
+    least, out = least.reshape(BANDS, ROWS), _mixed(np.arange(BANDS, dtype=np.uint64), 1)
+    for k in range(ROWS):
+        out = _mixed(out ^ least[:, k], 1)
+    return out.view(np.int64)
+
+
+def _bag_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, key (of doc_id and text), node (of the bag of shingles), fp0 (fingerprint) and names of the numbered bag, of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            node, fp, names = [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 h = numbered(shingle_hashes(text.as_py(), shingle))
-                found.append([int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64)), *[simhash(_mixed(h, k) if k else h) for k in range(lanes)]])
-            columns = np.array(found, np.int64).reshape(-1, lanes + 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *[pa.array(c) for c in columns.T]], ["doc_id", "key", "node", *names])
+                node.append(int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64)))
+                fp.append(simhash(h))
+                names.append(names_of(h))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "key", "node", "fp0", "names"])
 
     own = docs.select("doc_id", row_key(docs), F.col("text").cast("string").alias("text"))
-    return text_batches(own).mapInArrow(run, T.StructType([own.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("key", "node", *names)]]))
+    more = [T.StructField(n, T.LongType()) for n in ("key", "node", "fp0")]
+    return text_batches(own).mapInArrow(run, T.StructType([own.schema["doc_id"], *more, T.StructField("names", T.ArrayType(T.LongType()))]))
 
 
 class Plan:
@@ -395,19 +414,23 @@ def forest(nodes: DataFrame, radius: int, direct: bool = False) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the component's smallest node) of every node that has an edge (u, v); roots themselves are left out."""
+    """node and root (the component's smallest node) of every node that has an edge (u, v); roots themselves are left out. A round's tables go when the next has its own."""
     edges = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = settle(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        free(edges, least)
         least = settle(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        free(large, least)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._loomfold_path = edges._loomfold_path
+            return out
         before = now
 
 
@@ -480,9 +503,21 @@ def _blocks(size: str = "bytes", n: str = "n"):
     return F.greatest(F.ceil(F.col(size) / BLOCK), F.ceil(F.col(n) / MOST), F.lit(1)).cast("int")
 
 
-def _similar_roots(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, lanes: int, similarity: float) -> DataFrame:
+def proposed(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (u, v, far) of nodes (node, fp0, names): a forest of those within the radius, and each node with the first of those that share a name."""
+    rows = nodes.select("node", "fp0", F.explode("names").alias("name"))
+    first = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp0")).alias("first")).filter("n > 1")
+    both = rows.join(first.select("name", F.col("first.node").alias("v"), F.col("first.fp0").alias("fp")), "name").filter("node <> v")
+    near = both.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"), F.bit_count(F.col("fp0").bitwiseXOR(F.col("fp"))).cast("long").alias("far")).distinct()
+    within = forest(nodes.select("node", "fp0"), radius, direct=True)
+    out = settle(near.unionByName(within).groupBy("u", "v").agg(F.min("far").alias("far")))
+    free(within)
+    return out
+
+
+def _similar_roots(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
     """node and root of every node that a link of the similarity reaches (roots left out)."""
-    pairs = forest(nodes.select("node", *[f"fp{k}" for k in range(lanes)]), radius, direct=True)
+    pairs = proposed(nodes, radius)
     groups = components(pairs).select("node", F.col("root").alias("grp"))
     groups = groups.unionByName(groups.select(F.col("grp").alias("node"), "grp").distinct())
     members = settle(groups.join(nodes, "node").select("node", "grp", F.col("first.key").alias("key")))
@@ -549,39 +584,43 @@ def _across(bags: DataFrame, pairs: DataFrame, links: DataFrame, similarity: flo
     return settle(links.unionByName(found))
 
 
-def similar(docs: DataFrame, shingle: int, radius: int, lanes: int, similarity: float) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, key (row_key), fp0.. and first, the row of its group that comes first: doc_id and key.
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, key (row_key), fp0 and first, the row of its group that comes first: doc_id and key.
 
-    Rows whose bags of shingles have the Jaccard similarity are linked, and groups are what links reach; equal bags always are (two of no
-    shingle too). A null doc_id comes after all others.
+    Rows whose bags of shingles have the Jaccard similarity are linked if they are proposed (see the module), and groups are what links reach; equal bags always are
+    (two of no shingle too). A null doc_id comes after all others. A text of any length is cut whole, in its row.
     """
-    prints, names = settle(_bag_prints(docs, shingle, lanes)), [f"fp{k}" for k in range(lanes)]
+    prints = settle(_bag_prints(docs, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    nodes = settle(prints.groupBy("node", *names).agg(first))
-    roots = settle(_similar_roots(docs, nodes, shingle, radius, lanes, similarity))
-    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = settle(prints.groupBy("node", "fp0").agg(first, F.first("names").alias("names")))  # equal for equal bags
+    roots = settle(_similar_roots(docs, nodes, shingle, radius, similarity))
+    labelled = nodes.drop("names").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = settle(labelled.groupBy("root").agg(F.min("first").alias("first")))
     labels = settle(labelled.select("root", "node").join(least, "root").select("node", "first"))
-    return prints.join(labels, "node").select("doc_id", "key", *names, "first")
+    free(nodes, roots, least)
+    return prints.join(labels, "node").select("doc_id", "key", "fp0", "first")
 
 
-def near_dups(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: int = 1, similarity: float | None = None) -> DataFrame:
+def near_dups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, lanes: int = 1, similarity: float | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fp0.., component_id (the smallest doc_id that links reach, its own included).
 
-    With similarity, a link is a pair that any lane proposes, of that Jaccard similarity of shingle bags or more (see similar).
+    With similarity, a link is a pair of that Jaccard similarity of shingle bags or more that is proposed (see similar); there is one lane then.
     Texts without a word have fingerprint 0 and are linked like any other; null texts are such. A null doc_id
-    counts as larger than any other. Rows that repeat are rows of their own. Other columns are not read. An empty table gives an empty result.
+    counts as larger than any other. Rows that repeat are rows of their own. A text of any length is cut whole, in its row. Other columns are not read.
+    An empty table gives an empty result.
     """
     if similarity is not None:
-        return similar(docs, shingle, radius, lanes, similarity).withColumn("component_id", F.col("first.doc_id")).drop("key", "first")
+        return similar(docs, shingle, similarity, radius).withColumn("component_id", F.col("first.doc_id")).drop("key", "first")
     prints = settle(fingerprints(docs, shingle, lanes))
     names = [f"fp{k}" for k in range(lanes)]
     node = F.col("fp0") if lanes == 1 else F.xxhash64(*names)
     nodes = settle(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node))
-    roots = components(forest(nodes.select("node", *names), radius))
+    links = forest(nodes.select("node", *names), radius)
+    roots = components(links)
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = settle(labelled.groupBy("root").agg(F.min("first").alias("component_id")))
     labels = settle(labelled.select("root", *names).join(first, "root").select(*names, "component_id"))
+    free(nodes, links, roots, first)
     return prints.join(labels, names).select("doc_id", *names, "component_id")
 
 

@@ -71,7 +71,7 @@ def test_similarity_links_edited_copies_only(spark):
     other = [f"v{rng.randrange(5000)}" for _ in range(400)]
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(other)), (4, " ".join(base))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_dups(docs, shingle=5, radius=9, lanes=8, similarity=0.8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_dups(docs, shingle=5, similarity=0.8).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
@@ -118,5 +118,5 @@ def test_similarity_is_that_of_the_shingles(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for most in (simhash.MOST, 4):  # then groups are cut into blocks
         monkeypatch.setattr(simhash, "MOST", most)
-        got = {r["doc_id"]: r["component_id"] for r in simhash.near_dups(docs, shingle=5, radius=9, lanes=8, similarity=0.8).collect()}
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_dups(docs, shingle=5, similarity=0.8).collect()}
         assert got == {d: find(d) for d in root}
