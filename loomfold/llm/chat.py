@@ -54,7 +54,7 @@ def rotate(conversations: DataFrame, system=("system",), part: int = PART) -> Da
     mask is an array of (start, end) character ranges of text, from 0: what the assistant's turns say, with their end mark. A
     null role is the participant ``unknown``; a null or empty text is an empty turn; null turns come first, in part -1. Turns of
     equal number stand in the order of role and text; rows that repeat are repeated turns; null conversation ids are one
-    conversation. A conversation of system turns alone has no participant and no row. Other columns are not read. An empty table gives none.
+    conversation. A conversation of system turns alone has no participant and no row. A text of any length is one turn, rendered whole. Other columns are not read. An empty table gives none.
     """
     own = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text"))
     own = own.withColumn("part", F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long"))

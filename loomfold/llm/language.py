@@ -153,7 +153,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is a language of the model, or ``und`` with score 0 if the text is null or has no letter, or nothing was
     learned. score is the language's part of all languages' corrected counts; known is the share of the text's n-grams that it knows.
-    Ties go to the language first in code point order. Repeated rows stay; an empty table gives an empty result.
+    Ties go to the language first in code point order. Repeated rows stay. A text of any length counts with all its
+    n-grams, some at a time. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["lang_pred", "score", "known"]

@@ -111,7 +111,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """One row per distinct document (doc_id, text_hash) and item it holds: doc_id, text_hash, item_id, start_word, n_words, similarity.
 
     The best window is told, of equal ones the first that anchors align. An item of fewer than SHINGLE words is one shingle, its whole
-    sequence, and so is a text: they match if they are equal. Null texts and texts without a word hold and match nothing. Items of equal words are each told; rows of docs that repeat are told once. Null ids are ids like any other. Other columns
+    sequence, and so is a text: they match if they are equal. Null texts and texts without a word hold and match nothing. Items of equal words are each told; rows of docs that repeat are told once. Null ids are ids like any other. A text of any length is cut whole, in its row. Other columns
     are not read. An empty table on either side gives none.
     """
     items, names = _items(benchmark)

@@ -125,7 +125,7 @@ def shard(docs: DataFrame, n: int = 16) -> DataFrame:
 
     Size is the UTF-8 bytes of the text plus 1; a null text has none and counts as empty, so null and empty texts are one
     group. Groups are never split. Slots are numbered from 0 without gaps in each shard; rows that repeat are all
-    placed. Other columns are not read. An empty table gives an empty result.
+    placed. A text of any length is measured whole and moved nowhere. Other columns are not read. An empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))

@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """One row per row of docs (doc_id, text): doc_id, kept (the bytes left), n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text is an empty one; texts shorter than length keep all. Rows that repeat are documents that hold each other's text. A null
-    doc_id is an id like any other. Spans are maximal removed runs. Other columns are not read; an empty table gives an empty result.
+    doc_id is an id like any other. Spans are maximal removed runs. A text of any length is cut into runs of its own, in its row. Other columns are not read; an empty table gives an empty result.
     """
     own = _keyed(docs)
     spans = covered(own, length, gram).select(F.col("doc_id").alias("doc_id_"), F.col("text_hash").alias("text_hash_"), "spans")

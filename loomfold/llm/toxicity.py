@@ -251,7 +251,7 @@ def _with_evidence(docs: DataFrame, model: Model) -> DataFrame:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text, ...) without text, with score (0 to 1) and predicted (1 if score is at least THRESHOLD).
 
-    Null and empty texts have no evidence and get the curve's value there. Repeated rows stay; columns named like the
+    Null and empty texts have no evidence and get the curve's value there. A text of any length is scored whole. Repeated rows stay; columns named like the
     results are replaced; an empty table gives an empty result.
     """
     return _with_evidence(docs, model).drop(*NAMES).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

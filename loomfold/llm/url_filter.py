@@ -79,7 +79,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """One row per row of pages (page_id, url): page_id, host, path, rule, verdict, listed.
 
     listed (url) holds raw URLs in any form and with repeats. A null url or one without ``://`` has an empty host and path,
-    fits no rule, is in no list and is allowed. Rows that repeat stay; other columns are not read; an empty page
+    fits no rule, is in no list and is allowed. A url of any length is read whole. Rows that repeat stay; other columns are not read; an empty page
     table gives an empty result and an empty list blocks nothing.
     """
     own = pages.select("page_id", canonical(F.col("url")).alias("url"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))

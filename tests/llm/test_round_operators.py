@@ -173,3 +173,18 @@ def test_segments_give_the_tokens_of_whole_texts(monkeypatch):
 def test_linked_pairs_are_bounded_by_the_vocabularies():
     words = alignment.Vocabularies([b"a", b"ba", b"cb"], [b"a", b"ca", b"b"])
     assert words.pairs.tolist() == [0, 1, 3, 8]  # a-a, a-ca, ba-a, cb-b
+
+
+def test_very_long_texts_are_handled_whole(spark):
+    """One text of two megabytes and its copy with an end of its own, among short ones: shards, near duplicates, sources and addresses."""
+    from loomfold.llm import mixing, shards, simhash, url_filter
+
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, long, "a"), (2, long + " and more", "a"), (3, "short text", "a"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in shards.shard(docs).collect()} == {d: len(t or "") + 1 for d, t, _ in rows}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_dups(docs, shingle=5, similarity=0.8).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {1: 300_000, 2: 300_002, 3: 2, 4: 0}
+    url = "http://example.com/de/" + "x" * 1_000_000
+    found = url_filter.url_filter(spark.createDataFrame([(1, url)], "page_id long, url string"), docs.selectExpr("text as url").limit(0)).first()
+    assert (len(found["path"]), found["rule"], found["verdict"]) == (len(url) - 18, "example.com/de/", "block")
