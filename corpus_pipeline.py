@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 writes every stage as Parquet into the shared folder and reads it again, so a lost executor costs a stage's tasks at most.
 
 A row is a document of its own: ids may be null or repeat. Stages read doc_id, text, lang and source; any other columns, whatever their names,
-are carried along. An empty table gives an empty one.
+are carried along. A text of any length is handled whole, in its row. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null texts and texts without a word are one group; a text of fewer than five words is near those of the same words.
     """
     own, named = _plain(docs)
-    found = simhash.similar(own, shingle=5, radius=9, lanes=8, similarity=0.8)
+    found = simhash.similar(own, shingle=5, similarity=0.8)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     rows = settle(found.groupBy(F.col("doc_id").alias("dup_id"), F.col("key").alias("dup_key")).agg(F.min(stays).alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1"))
     same = own["doc_id"].eqNullSafe(F.col("dup_id")) & (row_key(own) == F.col("dup_key"))
