@@ -2,9 +2,12 @@
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loomfold.operators import fusion, quality, stability, trees
+from loomfold.functions import kernels
+from loomfold.operators import fusion, linkages, quality, stability, trees
 from loomfold.plans import resampling
 
 
@@ -77,3 +80,23 @@ def test_distances_are_not_made_by_the_task_that_reads_the_table(spark, tmp_path
     found = resampling.supplier_distances(spark, str(tmp_path))
     assert found.count() == 50 * 49 // 2
     assert "Broadcast" not in plan(found) and found.rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("method", kernels.LINKAGES)
+def test_linkage_in_rounds_is_that_of_a_matrix(spark, monkeypatch, method):
+    monkeypatch.setattr(linkages, "LAST", 12)
+    monkeypatch.setattr(linkages, "BLOCK", 25)
+    x = np.random.default_rng(3).normal(size=(50, 2))
+    merges = kernels.linkage(kernels.distances(x), method)
+    points = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
+    tree = linkages.merge_tree(points, method)
+    assert np.allclose(sorted(r["height"] for r in tree.collect()), sorted(merges[:, 2]), atol=1e-6)
+    label = kernels.cut(merges, 50, 6)
+    first = [3 * int(np.flatnonzero(label == c).min()) for c in label]
+    assert rows(linkages.linked(points, method, 6)) == [(3 * i, f) for i, f in enumerate(first)]
+
+
+def test_linkages_of_one_point_and_of_a_table_hold_no_group_of_all(spark):
+    one = spark.createDataFrame([(1, [0.0])], "id long, x array<double>")
+    for method in kernels.LINKAGES:
+        assert rows(linkages.linked(one, method, 3)) == [(1, 1)]
