@@ -20,7 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,7 +63,8 @@ class Known:
 
     def __init__(self, known: np.ndarray, values: np.ndarray, default: np.ndarray):
         order = np.argsort(known)
-        self.known, self.values = known[order], np.c_[values[:, order], default].astype(np.float32)
+        self.known, self.values = known[order], np.empty((len(values), len(known) + 1), np.float32)
+        self.values[:, :-1], self.values[:, -1] = values[:, order], default
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         h, back = np.unique(h, return_inverse=True)  # sorted, the search stays in the cache
@@ -77,7 +79,13 @@ class Model:
     """P(w) of words, l(v) of the words before, max(n(vw) - D, 0) / n(v) of pairs; None where a class has no text."""
 
     def __init__(self, levels: tuple[Known, Known, Known] | None):
-        self.levels, self.weights = levels, np.zeros(EVIDENCE + 1)
+        self.levels, self.weights, self.sent = levels, np.zeros(EVIDENCE + 1), None
+
+    def shared(self, spark: SparkSession) -> tuple[Broadcast, np.ndarray]:
+        """The levels as one broadcast, sent once for the calibration and all scores, and the weights."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(Model(self.levels))
+        return self.sent, self.weights
 
     def ratios(self, h: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log P(. | toxic) - log P(. | ordinary) of each word alone and after the word before it."""
@@ -122,7 +130,11 @@ class Model:
         self.weights = w
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + evidence @ self.weights[1:], -30, 30)))
+        return curve(evidence, self.weights)
+
+
+def curve(evidence: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[0] + evidence @ weights[1:], -30, 30)))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -193,23 +205,29 @@ def _levels(pairs: DataFrame, corpus: DataFrame) -> tuple[Known, Known, Known] |
         return None
     sums = corpus.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     share = 1.0 / (sums["n"] + sums["v"])
-    column = lambda t, name: t.column(name).to_numpy().astype(float)
-    known = follows.filter(f"greatest(c0, c1) > {DISCOUNT} or most > {DISCOUNT}").join(corpus, "w").select("w", "c0", "c1", "n").toArrow()
-    shared = (column(known, "n") + 1) * share
-    word = [(np.maximum(column(known, f"c{k}") - DISCOUNT, 0) + f[int(k)] * shared) / c[int(k)] for k in both]
+    shared = (F.col("n") + F.lit(1)) * F.lit(share)
+    word = [((F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) + F.lit(float(f[int(k)])) * shared) / F.lit(float(c[int(k)]))).alias(f"p{k}") for k in both]
+    known = follows.filter(f"greatest(c0, c1) > {DISCOUNT} or most > {DISCOUNT}").join(corpus, "w").select(F.col("w").alias("h"), *word)
     after = settle(pairs.groupBy("v").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in both], *[F.sum(off(f"n{k}")).alias(f"f{k}") for k in both], again).filter(f"most > {DISCOUNT}"))
-    context = after.toArrow()
-    freed = [np.divide(column(context, f"f{k}"), column(context, f"n{k}"), out=np.ones(len(context)), where=column(context, f"n{k}") > 0) for k in both]
+    context = after.select(F.col("v").alias("h"), *[F.when(F.col(f"n{k}") > 0, F.col(f"f{k}") / F.col(f"n{k}")).otherwise(1.0).alias(f"p{k}") for k in both])
     taken = pairs.filter(f"greatest(n0, n1) > {DISCOUNT}").join(after.select("v", F.col("n0").alias("all0"), F.col("n1").alias("all1")), "v")
-    found = taken.select("v", "w", *[F.coalesce(F.try_divide(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)), F.col(f"all{k}")), F.lit(0.0)).alias(f"p{k}") for k in both]).toArrow()
-    key = pair_hash(found.column("v").to_numpy(), found.column("w").to_numpy())
-    free(follows, after)
+    found = taken.select("v", "w", *[F.coalesce(F.try_divide(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)), F.col(f"all{k}")), F.lit(0.0)).cast("float").alias(f"p{k}") for k in both])
     # Of a word that is not known only the ratio counts, not how common it is.
-    return (
-        Known(known.column("w").to_numpy(), np.array(word), f / c * share),
-        Known(context.column("v").to_numpy(), np.array(freed), np.ones(2)),
-        Known(key, np.array([column(found, f"p{k}") for k in both]), np.zeros(2)),
-    )
+    out = _known(known, f / c * share), _known(context, np.ones(2)), _known(found.mapInArrow(_hashed, "h long, p0 float, p1 float"), np.zeros(2))
+    free(follows, after)
+    return out
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = pair_hash(batch.column("v").to_numpy(), batch.column("w").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("p0"), batch.column("p1")], ["h", "p0", "p1"])
+
+
+def _known(level: DataFrame, default: np.ndarray) -> Known:
+    """A level from rows (h, p0, p1), which come to the driver in 16 bytes each."""
+    rows = level.select("h", F.col("p0").cast("float"), F.col("p1").cast("float")).toArrow()
+    return Known(rows.column("h").to_numpy(), np.array([rows.column("p0").to_numpy(), rows.column("p1").to_numpy()]), default)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
@@ -227,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
 
 
 def _with_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, weights = model.shared(docs.sparkSession)
     names = [*NAMES, "score"]
     kept = docs.drop("text", *names)
     columns = kept.columns
@@ -241,7 +259,7 @@ def _with_evidence(docs: DataFrame, model: Model) -> DataFrame:
                     found.append(shared.value.evidence(held))
                     held = []
             found = np.concatenate([*found, shared.value.evidence(held)])
-            more = [pa.array(x) for x in (*found.T, shared.value.score(found))]
+            more = [pa.array(x) for x in (*found.T, curve(found, weights))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *more], [*columns, *names])
 
     schema = T.StructType([*kept.schema, *[T.StructField(n, T.DoubleType()) for n in names]])

@@ -297,3 +297,15 @@ def test_kneser_ney_probabilities_equal_plain_ones(spark):
         assert got[1] == pytest.approx(want, abs=1e-4)
         if words:
             assert model.evidence([toxicity.words(b""), toxicity.words(text.encode())])[1, 0] == pytest.approx(sum(want) / len(want), abs=1e-4)
+
+
+def test_toxicity_sends_its_levels_once_as_narrow_rows(spark, monkeypatch):
+    """Before, every use of a model pickled it for a broadcast anew, and the driver held rows of 32 bytes and wider copies."""
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    docs = spark.createDataFrame([(k, f"word{k % 5} word{k % 3} {'bad bad' if k % 2 else 'good good'}") for k in range(1, 80)], "doc_id long, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    for _ in range(2):
+        assert toxicity.score(docs, model).count() == 79
+    assert len(sent) == 1
+    assert all(level.values.dtype == "float32" for level in model.levels)
