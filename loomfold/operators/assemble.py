@@ -36,9 +36,9 @@ def assemble(files: list[DataFrame], wanted: list[str], timepoint: str, **option
     spine = rows.select("id").distinct()
     at_visit = F.col("visit").isin(*visits)
     reference = rows.filter(at_visit).groupBy("id").agg(F.min("date").alias("ref_date"))
-    # A variable that has visits anywhere is taken at the visit only; others by the nearest date.
+    # A variable that has visits anywhere is taken at the visit only; others by the nearest date. One row a variable: dealt by it, a few tasks would read all values.
     dated = rows.groupBy("variable").agg(F.max(F.col("visit").isNotNull()).alias("has_visit"))
-    known = rows.filter("value is not null").join(dated, "variable").filter(~F.col("has_visit") | at_visit).join(reference, "id", "left")
+    known = rows.filter("value is not null").join(F.broadcast(dated), "variable").filter(~F.col("has_visit") | at_visit).join(reference, "id", "left")
     gap = F.abs(F.datediff("date", "ref_date"))
     picked = first_by(known.select("id", "variable", "value", gap.alias("gap"), "date"), ["id", "variable"], [F.col("gap"), F.col("date"), F.col("value")])
     wide = picked.groupBy("id").pivot("variable", wanted).agg(F.min("value"))
