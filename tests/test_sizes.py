@@ -3,11 +3,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomfold.functions import kernels
-from loomfold.operators import fusion, linkages, quality, stability, trees
+from loomfold.operators import features, fusion, linkages, quality, stability, trees
 from loomfold.plans import resampling
 
 
@@ -100,3 +101,29 @@ def test_linkages_of_one_point_and_of_a_table_hold_no_group_of_all(spark):
     one = spark.createDataFrame([(1, [0.0])], "id long, x array<double>")
     for method in kernels.LINKAGES:
         assert rows(linkages.linked(one, method, 3)) == [(1, 1)]
+
+
+def test_imputation_meets_in_blocks_and_repeats_are_one_question(spark, monkeypatch):
+    """Before, every row with a gap was joined with every donor; equal rows are now asked once, and equal donors give k at most."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    x[rng.random(x.shape) < 0.15] = np.nan
+    x = np.concatenate([x, x[:60], x[:60]])
+    rows = [(k, f, None if np.isnan(v) else float(v)) for k, row in enumerate(x) for f, v in zip("abc", row, strict=True)]
+    long = spark.createDataFrame(rows, "id long, feature string, value double")
+    square = (x[:, None] - x) ** 2
+    far = np.round(np.sqrt(3 / np.maximum(1, (~np.isnan(square)).sum(2)) * np.nansum(square, axis=2)), 9)
+    far[(~np.isnan(square)).sum(2) == 0] = np.inf
+    want = {}
+    for k, c in np.argwhere(np.isnan(x)):
+        near = sorted((far[k, j], j) for j in range(len(x)) if not np.isnan(x[j, c]) and np.isfinite(far[k, j]))[:7]
+        want[k, "abc"[c]] = np.mean([x[j, c] for _, j in near]) if near else None
+    for asked, given in ((512, 4096), (7, 11)):
+        monkeypatch.setattr(features, "QUERIES_AT_ONCE", asked)
+        monkeypatch.setattr(features, "DONORS_AT_ONCE", given)
+        got = {(r["id"], r["feature"]): r["value"] for r in features.knn_impute(long).collect()}
+        assert len(got) == len(rows)
+        assert {k: got[k] for k in want} == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
+    met = features._offers(["a", "b", "c"], 7)
+    table = pa.table({"id": [1, 2, 3, 4], "x": [[1.0, None, 2.0], [1.0, 3.0, 2.0], [1.0, 4.0, 2.0], [None, 9.0, None]], "gives": [False, True, True, True], "p": [0] * 4, "q": [0] * 4})
+    assert met(table).column("donor").to_pylist() == [2, 3]
