@@ -127,3 +127,30 @@ def test_imputation_meets_in_blocks_and_repeats_are_one_question(spark, monkeypa
     met = features._offers(["a", "b", "c"], 7)
     table = pa.table({"id": [1, 2, 3, 4], "x": [[1.0, None, 2.0], [1.0, 3.0, 2.0], [1.0, 4.0, 2.0], [None, 9.0, None]], "gives": [False, True, True, True], "p": [0] * 4, "q": [0] * 4})
     assert met(table).column("donor").to_pylist() == [2, 3]
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "weighted", "centroid", "ward"])
+def test_linkage_of_repeated_points_is_that_of_a_matrix(spark, monkeypatch, method):
+    """Before, of equal points one pair a round could merge."""
+    monkeypatch.setattr(linkages, "LAST", 12)
+    monkeypatch.setattr(linkages, "BLOCK", 25)
+    monkeypatch.setattr(trees, "BLOCK", 9)
+    x = np.repeat(np.random.default_rng(8).normal(size=(30, 2)), 3, axis=0)
+    merges = kernels.linkage(kernels.distances(x), method)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    tree = linkages.merge_tree(points, method)
+    assert np.allclose(sorted(r["height"] for r in tree.collect()), sorted(merges[:, 2]), atol=1e-6)
+    first, again = trees.collapsed(points)
+    assert first.count() == 30 and again.count() == 60
+
+
+def test_spanning_tree_meets_only_slabs_that_are_near(spark, monkeypatch):
+    """Before, each round compared all pairs of blocks."""
+    met, real = [], trees._met
+    monkeypatch.setattr(trees, "BLOCK", 20)
+    monkeypatch.setattr(trees, "_met", lambda at, pairs, tasks: met.append(pairs.count()) or real(at, pairs, tasks))
+    points = spark.createDataFrame([(k, [k * 0.1, (k % 2) * 0.5]) for k in range(200)], "id long, x array<double>")
+    tree = trees.spanning_tree(points)
+    want = sorted(m[2] for m in kernels.linkage(kernels.distances(np.array([[k * 0.1, (k % 2) * 0.5] for k in range(200)])), "single"))
+    assert np.allclose(sorted(r["height"] for r in tree.collect()), want)
+    assert max(met) < 30  # of 55 pairs of ten slabs
