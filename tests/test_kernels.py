@@ -127,3 +127,21 @@ def test_svm_separates(kind):
     assert (model.predict(x) == truth).mean() > 0.95
     assert np.allclose(model.probabilities(x).sum(axis=1), 1)
     assert len(model.importance(x, truth)) == 2
+
+
+def test_svm_holds_no_matrix_of_its_rows(monkeypatch):
+    """Before, fit made the kernel of all rows with all rows, and the score all pairs of two classes."""
+    from loomfold.functions import svm
+
+    shapes, real = [], svm.kernel
+    monkeypatch.setattr(svm, "kernel", lambda x, y, *more: shapes.append((len(x), len(y))) or real(x, y, *more))
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 1.0, size=(200, 2)) for c in (0, 3, 6)])
+    y = np.repeat([0, 1, 2], 200)
+    for kind in ("linear", "rbf", "poly"):
+        model = svm.SVM(kind=kind, rounds=5).fit(x, y)
+        p = model.probabilities(x)
+        told = svm.scores(y, model.predict(x), p, model.classes)
+        pairs = [((p[y == c, k][:, None] > p[y != c, k]).mean() + (p[y == c, k][:, None] == p[y != c, k]).mean() / 2) for k, c in enumerate(model.classes)]
+        assert np.isclose(told["auc"], np.mean(pairs)) and np.allclose(svm.diagonal(x, kind, model.g), np.diag(real(x, x, kind, model.g)))
+    assert max(a for a, _ in shapes) <= svm.STRIP
