@@ -56,7 +56,7 @@ def dips(s, d):
 QUERIES = {
     "single_linkage_tree": lambda s, d: trees.spanning_tree(chains(s, d)).select("u", "v", F.round("height", 8).alias("height")),
     "single_linkage_cut": lambda s, d: trees.single_linkage(chains(s, d), k=2),
-    "consensus_tree": lambda s, d: trees.tree_heights(trees.consensus_tree(stability.co_association(labels(s, d)), labels(s, d).select("id")).withColumn("height", F.round("height", 8))),
+    "consensus_tree": lambda s, d: trees.tree_heights(trees.consensus_tree_of(*stability.consensus_kinds(labels(s, d), [])).withColumn("height", F.round("height", 8))),
     "kmeans_rows": lambda s, d: named(mixtures.kmeans(clouds(s, d), 3)[0]),
     "kmeans_centres": centres,
     "mixture_rows": likelihood,
