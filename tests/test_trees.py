@@ -67,3 +67,18 @@ def test_consensus_tree_equals_dense_linkage(spark):
     lone = spark.createDataFrame([(1,), (2,), (9,)], "id long")
     got = trees.consensus_tree(spark.createDataFrame([(1, 2, 0.75)], "i long, j long, m double"), lone).collect()
     assert sorted(map(tuple, got)) == [(1, 2, 0.25), (1, 9, 1.0)]
+
+
+@pytest.mark.parametrize(("few", "many"), [(0, 10**6), (0, 40)])
+def test_links_of_a_long_chain_are_joined(spark, monkeypatch, few, many):
+    """Before, more than FEW links took a round of joins for each step along a chain of random names."""
+    monkeypatch.setattr(trees, "FEW", few)
+    monkeypatch.setattr(trees, "MANY", many)
+    names = random.Random(3).sample(range(10_000), 400)
+    links = [(a, b) for k, (a, b) in enumerate(zip(names, names[1:], strict=False)) if k % 100 != 99]
+    comps = spark.createDataFrame([(k, k) for k in names], "id long, comp long")
+    calls, real = [], trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df: calls.append(1) or real(df))
+    got = dict(map(tuple, trees.merged(comps, spark.createDataFrame(links, "u long, v long")).collect()))
+    assert got == {k: min(names[i // 100 * 100 : i // 100 * 100 + 100]) for i, k in enumerate(names)}
+    assert len(calls) < 30
