@@ -154,3 +154,19 @@ def test_spanning_tree_meets_only_slabs_that_are_near(spark, monkeypatch):
     want = sorted(m[2] for m in kernels.linkage(kernels.distances(np.array([[k * 0.1, (k % 2) * 0.5] for k in range(200)])), "single"))
     assert np.allclose(sorted(r["height"] for r in tree.collect()), want)
     assert max(met) < 30  # of 55 pairs of ten slabs
+
+
+@pytest.mark.parametrize("centres", [0, 10**6])
+@pytest.mark.parametrize("method", ["complete", "average", "weighted"])
+def test_linkages_compare_near_clusters_only(spark, monkeypatch, method, centres):
+    """Before, every round made the distances of all points."""
+    for name, value in (("LAST", 40), ("CENTRES", centres), ("BLOCK", 20), ("PART", 2)):
+        monkeypatch.setattr(linkages, name, value)
+    monkeypatch.setattr(trees, "BLOCK", 30)
+    monkeypatch.setattr(linkages, "_nearest", None)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 2)) * [8, 1]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    tree = linkages.merge_tree(points, method).collect()
+    want = kernels.linkage(kernels.distances(x), method)
+    assert sorted(r["height"] for r in tree) == pytest.approx(sorted(m[2] for m in want))
